@@ -516,6 +516,11 @@ ORACLE: dict[str, str] = {
         sql="SELECT account_id, subnet_id, subnet_name AS resource_name FROM occupancy"
         " WHERE total_resources = 0",
     ),
+    "q14_subnets_without_interfaces": _q(
+        "subnet", "instance", "interface", ctes=_OCCUPANCY_CTES.strip(),
+        sql="SELECT account_id, subnet_id, subnet_name AS resource_name FROM occupancy"
+        " WHERE network_interface_count = 0",
+    ),
     "q15_roles_trusting": _q(
         "role",
         sql="SELECT account_id, arn, resource_name FROM live"

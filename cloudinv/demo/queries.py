@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cloudinv import schema as S
 from cloudinv.demo import files, items
 from cloudinv.demo.items import AS_OF, INGESTED, table
-from cloudinv.functions.jsonpath import json_scalar, json_value, tag
+from cloudinv.functions.jsonpath import json_scalar, json_value
 from cloudinv.functions.times import parse_ts
 from cloudinv.functions.vectors import norm, normalize
 from cloudinv.operators import audit, maintenance, relations, retrieval, shaping, stats
@@ -155,8 +155,7 @@ def export_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unpack_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, out = _delivered(spark, sf_dir), workspace(spark, "lines")
     snapshots.unpack(spark, source, out, files.REGION, files.DAYS[0])
-    lines = spark.read.text(out)
-    return lines.select(
+    return spark.read.text(out).select(
         json_scalar(F.col("value"), "$.resourceId").alias("resource_id"),
         json_scalar(F.col("value"), "$.awsAccountId").alias("account_id"),
         json_value(F.col("value"), "$.configuration").alias("configuration"),
@@ -202,7 +201,8 @@ def exploded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def identified_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shaping.flatten_items(_exploded(spark, sf_dir), INGESTED)
-    return rows.groupBy(tag("aws:cf:stack").alias("stack")).agg(F.count(F.lit(1)).alias("items"))
+    stacks = shaping.probe(rows, {"stack": "$['aws:cf:stack']"}, column="tags")
+    return stacks.groupBy("stack").agg(F.count(F.lit(1)).alias("items"))
 
 
 def json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,9 +243,9 @@ def of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def has_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = json_scalar(F.col("configuration"), "$.kmsKeyId")
     rows = shaping.of_type(_live(spark, sf_dir), S.VOLUME, S.DB_INSTANCE)
-    return rows.where(shaping.has_value(key)).select("resource_id", key.alias("key_id"))
+    keyed = shaping.probe(rows, {"key_id": "$.kmsKeyId"}, keep=("resource_id",))
+    return keyed.where(shaping.has_value(F.col("key_id")))
 
 
 def search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -488,6 +488,9 @@ QUERIES: dict[str, Query] = {
     "q12_top_vpcs": _catalogued(catalog.top_vpcs),
     "q13_orphan_keys": _catalogued(catalog.orphan_keys),
     "q14_empty_subnets": _catalogued(catalog.empty_subnets),
+    "q14_subnets_without_interfaces": _catalogued(
+        catalog.empty_subnets, children=(S.NETWORK_INTERFACE,)
+    ),
     "q15_roles_trusting": _catalogued(
         catalog.roles_trusting, "ec2.amazonaws.com", "sts:assumerole"
     ),

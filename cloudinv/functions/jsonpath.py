@@ -1,23 +1,29 @@
 """Probes into JSON text columns."""
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_STEP = re.compile(r"\.([^.\[\]]+)|\[(\d+)\]|\['([^']+)'\]")
 
 
 def _holds_string(json: Column, path: str) -> Column:
     value = F.try_variant_get(F.try_parse_json(json), path, "variant")
-    return F.schema_of_variant(value) == "STRING"
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
-def json_scalar(json: Column, path: str) -> Column:
-    """Text of a scalar member; NULL for a missing, null, object or array member.
+def _scalar(text: Column, json: Column, path: str) -> Column:
+    """The text unless it is an object or array; a string that merely starts like one
+    is kept, which only such values are looked at again for."""
+    container = text.startswith("{") | text.startswith("[")
+    return F.when(~container, text).when(_holds_string(json, path), text)
 
-    The built-in probe also returns objects and arrays as text. Only values that
-    look like one are looked at again, to keep strings that merely start alike.
-    """
-    text = F.get_json_object(json, path)
-    container = text.rlike(r"^[\[{]") & ~F.coalesce(_holds_string(json, path), F.lit(False))
-    return F.when(~container, text)
+
+def json_scalar(json: Column, path: str) -> Column:
+    """Text of a scalar member; NULL for a missing, null, object or array member."""
+    return _scalar(F.get_json_object(json, path), json, path)
 
 
 def json_value(json: Column, path: str) -> Column:
@@ -25,18 +31,59 @@ def json_value(json: Column, path: str) -> Column:
     return F.get_json_object(json, path)
 
 
-def json_int(json: Column, path: str) -> Column:
-    return F.get_json_object(json, path).try_cast("int")
+def _steps(path: str) -> list[str | int]:
+    found = list(_STEP.finditer(path, 1))
+    if not path.startswith("$") or not found or "$" + "".join(m[0] for m in found) != path:
+        raise ValueError(f"unsupported path: {path}")
+    return [int(m[2]) if m[2] is not None else m[1] or m[3] for m in found]
+
+
+def _tree(paths: list[list[str | int]]) -> dict:
+    root: dict = {}
+    for steps in paths:
+        node = root
+        for step in steps:
+            node = node.setdefault("[]" if isinstance(step, int) else step, {})
+    return root
 
 
-def json_double(json: Column, path: str) -> Column:
-    return F.get_json_object(json, path).try_cast("double")
+def _type(node: dict) -> T.DataType:
+    if not node:
+        return T.StringType()
+    if "[]" in node:
+        return T.ArrayType(_type(node["[]"]))
+    return T.StructType([T.StructField(name, _type(child)) for name, child in node.items()])
 
 
-def json_boolean(json: Column, path: str) -> Column:
-    return F.get_json_object(json, path).try_cast("boolean")
+def _walk(parsed: Column, steps: list[str | int]) -> Column:
+    for step in steps:
+        parsed = F.get(parsed, F.lit(step)) if isinstance(step, int) else parsed.getField(step)
+    return parsed
 
 
-def tag(name: str, tags: str = "tags") -> Column:
-    """A tag value; the bracket form allows names with colons and dots."""
-    return json_scalar(F.col(tags), f"$['{name}']")
+def with_members(
+    df: DataFrame, paths: dict[str, str], column: str = "configuration"
+) -> DataFrame:
+    """Add scalar members as text columns, all from one parse of the JSON column.
+
+    A path that leads into another one asks for an object, which has no scalar, and
+    its column is NULL unless the value is a scalar after all.
+    """
+    steps = {name: _steps(path) for name, path in paths.items()}
+
+    def leads_on(some: list) -> bool:
+        return any(len(o) > len(some) and o[: len(some)] == some for o in steps.values())
+
+    parsed = [n for n, s in steps.items() if not leads_on(s)]
+    schema = _type(_tree([steps[n] for n in parsed]))
+    json = F.col(column)
+    document = F.col("_members")
+    members = [
+        (
+            _scalar(_walk(document, steps[name]), json, path)
+            if name in parsed
+            else json_scalar(json, path)
+        ).alias(name)
+        for name, path in paths.items()
+    ]
+    return df.withColumn("_members", F.from_json(json, schema)).select(*df.columns, *members)

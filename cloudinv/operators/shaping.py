@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudinv.functions.jsonpath import json_scalar
+from cloudinv.functions.jsonpath import with_members
 from cloudinv.functions.text import contains_all
 from cloudinv.functions.times import instant, parse_ts
 from cloudinv.schema import OPERATIONAL_COLUMNS
@@ -83,5 +83,5 @@ def probe(
     df: DataFrame, paths: dict[str, str], keep: tuple[str, ...] = (), column: str = "configuration"
 ) -> DataFrame:
     """Project named JSON members next to the columns to keep."""
-    probes = [json_scalar(F.col(column), path).alias(name) for name, path in paths.items()]
-    return df.select(*keep, *probes)
+    rows = df.select(*dict.fromkeys((*keep, column)))
+    return with_members(rows, paths, column).select(*keep, *paths)

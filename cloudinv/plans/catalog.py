@@ -1,22 +1,18 @@
 """The inventory question catalogue: DataFrame functions over live rows.
 
-Every function takes live inventory rows. Filters on type reach the scan, payloads are
-probed in the scan stage, and children are counted before they are joined to parents.
+Every function takes live inventory rows. Filters on type reach the scan, the payload of
+a row is parsed once however many members are asked for, and children are counted before
+they are joined to parents.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudinv import schema as S
-from cloudinv.functions.jsonpath import json_boolean, json_int, json_scalar, tag
 from cloudinv.operators import stats
 from cloudinv.operators.shaping import has_value, of_type, probe, search_text
 
 
-def _conf(path: str):
-    return json_scalar(F.col("configuration"), path)
-
-
 def _histogram(df: DataFrame, count: str, *keys: str) -> DataFrame:
     return (
         df.groupBy(*keys)
@@ -25,6 +21,10 @@ def _histogram(df: DataFrame, count: str, *keys: str) -> DataFrame:
     )
 
 
+def _first(df: DataFrame, limit: int | None, *order) -> DataFrame:
+    return df if limit is None else df.orderBy(*order).limit(limit)
+
+
 def type_histogram(live: DataFrame, limit: int = 15) -> DataFrame:
     return stats.by_type(live, limit)
 
@@ -38,14 +38,14 @@ def top_accounts(live: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def largest_volumes(live: DataFrame, limit: int = 10) -> DataFrame:
-    conf = F.col("configuration")
+    paths = {"size": "$.size", "volume_type": "$.volumeType", "is_encrypted": "$.encrypted"}
     return (
-        of_type(live, S.VOLUME)
+        probe(of_type(live, S.VOLUME), paths, keep=("resource_id", "account_id"))
         .select(
             F.col("resource_id").alias("volume_id"),
-            json_int(conf, "$.size").alias("size_gib"),
-            _conf("$.volumeType").alias("volume_type"),
-            json_boolean(conf, "$.encrypted").alias("encrypted"),
+            F.col("size").try_cast("int").alias("size_gib"),
+            "volume_type",
+            F.col("is_encrypted").try_cast("boolean").alias("encrypted"),
             "account_id",
         )
         .orderBy(F.desc_nulls_last("size_gib"), "volume_id", "account_id")
@@ -58,7 +58,7 @@ def count_by_tag(
 ) -> DataFrame:
     """Resources per value of a tag; those without it form the NULL group."""
     rows = of_type(live, *types) if types else live
-    tagged = rows.select(tag(name).alias("tag_value"))
+    tagged = probe(rows, {"tag_value": f"$['{name}']"}, column="tags")
     return _histogram(tagged, "resource_count", "tag_value").limit(limit)
 
 
@@ -76,25 +76,24 @@ def engines_by_version(live: DataFrame) -> DataFrame:
 
 def instance_volumes(live: DataFrame, limit: int | None = 20) -> DataFrame:
     """Instances with their attached volumes, within an account."""
-    instances = of_type(live, S.INSTANCE).select(
-        "account_id",
-        "aws_region",
-        F.col("resource_id").alias("instance_id"),
-        F.col("resource_name").alias("instance_name"),
-        _conf("$.state.name").alias("instance_state"),
-        _conf("$.instanceType").alias("instance_type"),
-    )
-    volumes = of_type(live, S.VOLUME).select(
-        "account_id",
-        F.col("resource_id").alias("volume_id"),
-        _conf("$.volumeType").alias("volume_type"),
-        json_int(F.col("configuration"), "$.size").alias("size_gib"),
-        _conf("$.state.value").alias("volume_state"),
-        _conf("$.encrypted").alias("encrypted"),
-        _conf("$.attachments[0].instanceId").alias("instance_id"),
-        _conf("$.attachments[0].device").alias("device_name"),
-        _conf("$.attachments[0].deleteOnTermination").alias("delete_on_termination"),
-    )
+    instances = probe(
+        of_type(live, S.INSTANCE),
+        {"instance_state": "$.state.name", "instance_type": "$.instanceType"},
+        keep=("account_id", "aws_region", "resource_id", "resource_name"),
+    ).withColumnsRenamed({"resource_id": "instance_id", "resource_name": "instance_name"})
+    volumes = probe(
+        of_type(live, S.VOLUME),
+        {
+            "volume_type": "$.volumeType",
+            "size": "$.size",
+            "volume_state": "$.state.value",
+            "encrypted": "$.encrypted",
+            "instance_id": "$.attachments[0].instanceId",
+            "device_name": "$.attachments[0].device",
+            "delete_on_termination": "$.attachments[0].deleteOnTermination",
+        },
+        keep=("account_id", "resource_id"),
+    ).withColumnRenamed("resource_id", "volume_id")
     joined = instances.join(volumes, ["instance_id", "account_id"]).select(
         "account_id",
         "aws_region",
@@ -104,27 +103,22 @@ def instance_volumes(live: DataFrame, limit: int | None = 20) -> DataFrame:
         "instance_type",
         "volume_id",
         "volume_type",
-        "size_gib",
+        F.col("size").try_cast("int").alias("size_gib"),
         "volume_state",
         "encrypted",
         "device_name",
         "delete_on_termination",
     )
-    if limit is None:
-        return joined
-    return joined.orderBy(
-        "instance_id", F.asc_nulls_last("device_name"), "volume_id", "account_id"
-    ).limit(limit)
+    order = ("instance_id", F.asc_nulls_last("device_name"), "volume_id", "account_id")
+    return _first(joined, limit, *order)
 
 
 def function_roles(live: DataFrame, limit: int | None = 25) -> DataFrame:
     """Functions with the role they assume; a role ARN is unique across accounts."""
-    functions = of_type(live, S.FUNCTION).select(
-        F.col("account_id"),
-        F.col("resource_id").alias("function_id"),
-        F.col("resource_name").alias("function_name"),
-        _conf("$.runtime").alias("runtime"),
-        _conf("$.role").alias("role_arn"),
+    functions = probe(
+        of_type(live, S.FUNCTION),
+        {"runtime": "$.runtime", "role_arn": "$.role"},
+        keep=("account_id", "resource_id", "resource_name"),
     )
     roles = of_type(live, S.ROLE).select(
         F.col("arn").alias("role_arn"),
@@ -133,40 +127,42 @@ def function_roles(live: DataFrame, limit: int | None = 25) -> DataFrame:
     )
     joined = functions.join(roles, "role_arn").select(
         "account_id",
-        "function_id",
-        "function_name",
+        F.col("resource_id").alias("function_id"),
+        F.col("resource_name").alias("function_name"),
         "runtime",
         "role_arn",
         "role_name",
         "role_account_id",
     )
-    if limit is None:
-        return joined
-    return joined.orderBy("function_id", "account_id", "role_account_id").limit(limit)
+    return _first(joined, limit, "function_id", "account_id", "role_account_id")
 
 
 def volume_keys(live: DataFrame, limit: int | None = 25) -> DataFrame:
     """Encrypted volumes with the key that encrypts them; key ids are unique."""
-    volumes = of_type(live, S.VOLUME).select(
+    volumes = probe(
+        of_type(live, S.VOLUME),
+        {"encrypted": "$.encrypted", "key_id": "$.kmsKeyId"},
+        keep=("account_id", "resource_id"),
+    ).where(F.col("encrypted").try_cast("boolean"))
+    keys = (
+        probe(
+            of_type(live, S.KEY),
+            {"key_state": "$.keyState"},
+            keep=("resource_id", "arn", "account_id"),
+        )
+        .withColumnRenamed("resource_id", "key_id")
+        .withColumnRenamed("arn", "key_arn")
+        .withColumnRenamed("account_id", "key_account_id")
+    )
+    joined = volumes.join(keys, "key_id").select(
         "account_id",
         F.col("resource_id").alias("volume_id"),
-        json_boolean(F.col("configuration"), "$.encrypted").alias("encrypted"),
-        _conf("$.kmsKeyId").alias("key_id"),
+        "key_id",
+        "key_arn",
+        "key_account_id",
+        "key_state",
     )
-    keys = of_type(live, S.KEY).select(
-        F.col("resource_id").alias("key_id"),
-        F.col("arn").alias("key_arn"),
-        F.col("account_id").alias("key_account_id"),
-        _conf("$.keyState").alias("key_state"),
-    )
-    joined = (
-        volumes.where("encrypted")
-        .join(keys, "key_id")
-        .select("account_id", "volume_id", "key_id", "key_arn", "key_account_id", "key_state")
-    )
-    if limit is None:
-        return joined
-    return joined.orderBy("volume_id", "account_id", "key_account_id").limit(limit)
+    return _first(joined, limit, "volume_id", "account_id", "key_account_id")
 
 
 def subnet_occupancy(live: DataFrame) -> DataFrame:
@@ -175,8 +171,11 @@ def subnet_occupancy(live: DataFrame) -> DataFrame:
     Both kinds of children come from one scan and are counted in one aggregation.
     """
     children = (
-        of_type(live, S.INSTANCE, S.NETWORK_INTERFACE)
-        .select("account_id", "resource_type", _conf("$.subnetId").alias("subnet_id"))
+        probe(
+            of_type(live, S.INSTANCE, S.NETWORK_INTERFACE),
+            {"subnet_id": "$.subnetId"},
+            keep=("account_id", "resource_type"),
+        )
         .where(F.col("subnet_id").isNotNull())
         .groupBy("account_id", "subnet_id")
         .agg(
@@ -184,50 +183,40 @@ def subnet_occupancy(live: DataFrame) -> DataFrame:
             F.count_if(F.col("resource_type") == S.NETWORK_INTERFACE).alias("interfaces"),
         )
     )
-    subnets = of_type(live, S.SUBNET).select(
-        F.col("resource_id").alias("subnet_id"),
-        F.col("resource_name").alias("subnet_name"),
+    subnets = probe(
+        of_type(live, S.SUBNET),
+        {"az": "$.availabilityZone", "vpc_id": "$.vpcId", "cidr_block": "$.cidrBlock"},
+        keep=("account_id", "aws_region", "resource_id", "resource_name"),
+    ).withColumnsRenamed({"resource_id": "subnet_id", "resource_name": "subnet_name"})
+    zero = F.lit(0)
+    instances = F.coalesce("instances", zero)
+    interfaces = F.coalesce("interfaces", zero)
+    return subnets.join(children, ["account_id", "subnet_id"], "left").select(
+        "subnet_id",
+        "subnet_name",
         "account_id",
         "aws_region",
-        _conf("$.availabilityZone").alias("az"),
-        _conf("$.vpcId").alias("vpc_id"),
-        _conf("$.cidrBlock").alias("cidr_block"),
-    )
-    zero = F.lit(0)
-    return (
-        subnets.join(children, ["account_id", "subnet_id"], "left")
-        .withColumn("ec2_instance_count", F.coalesce("instances", zero))
-        .withColumn("network_interface_count", F.coalesce("interfaces", zero))
-        .select(
-            "subnet_id",
-            "subnet_name",
-            "account_id",
-            "aws_region",
-            "az",
-            "vpc_id",
-            "cidr_block",
-            "ec2_instance_count",
-            "network_interface_count",
-            (F.col("ec2_instance_count") + F.col("network_interface_count")).alias(
-                "total_resources"
-            ),
-        )
+        "az",
+        "vpc_id",
+        "cidr_block",
+        instances.alias("ec2_instance_count"),
+        interfaces.alias("network_interface_count"),
+        (instances + interfaces).alias("total_resources"),
     )
 
 
 def top_subnets(live: DataFrame, limit: int = 15) -> DataFrame:
-    return (
-        subnet_occupancy(live)
-        .orderBy(F.desc("total_resources"), "subnet_id", "account_id")
-        .limit(limit)
+    return _first(
+        subnet_occupancy(live), limit, F.desc("total_resources"), "subnet_id", "account_id"
     )
 
 
-def empty_subnets(live: DataFrame) -> DataFrame:
-    """Subnets no instance and no network interface lies in."""
+def empty_subnets(
+    live: DataFrame, children: tuple[str, ...] = (S.INSTANCE, S.NETWORK_INTERFACE)
+) -> DataFrame:
+    """Subnets in which no resource of the given types lies."""
     used = (
-        of_type(live, S.INSTANCE, S.NETWORK_INTERFACE)
-        .select("account_id", _conf("$.subnetId").alias("subnet_id"))
+        probe(of_type(live, *children), {"subnet_id": "$.subnetId"}, keep=("account_id",))
         .where(F.col("subnet_id").isNotNull())
         .distinct()
     )
@@ -245,7 +234,6 @@ def vpc_inventory(live: DataFrame) -> DataFrame:
     counted per VPC before the join; a VPC row that is listed several times multiplies
     the counts, as joining row by row would.
     """
-    vpc_id = F.coalesce(_conf("$.vpcId"), _conf("$.vpcConfig.vpcId"), _conf("$.dbSubnetGroup.vpcId"))
     kinds = {
         "ec2_instances": S.INSTANCE,
         "rds_instances": S.DB_INSTANCE,
@@ -253,8 +241,12 @@ def vpc_inventory(live: DataFrame) -> DataFrame:
         "network_interfaces": S.NETWORK_INTERFACE,
     }
     members = (
-        of_type(live, *kinds.values())
-        .select("account_id", "resource_type", vpc_id.alias("vpc_id"))
+        probe(
+            of_type(live, *kinds.values()),
+            {"own": "$.vpcId", "attached": "$.vpcConfig.vpcId", "group": "$.dbSubnetGroup.vpcId"},
+            keep=("account_id", "resource_type"),
+        )
+        .select("account_id", "resource_type", F.coalesce("own", "attached", "group").alias("vpc_id"))
         .where(has_value(F.col("vpc_id")))
         .groupBy("vpc_id", "account_id")
         .agg(
@@ -263,12 +255,10 @@ def vpc_inventory(live: DataFrame) -> DataFrame:
         )
     )
     info = (
-        of_type(live, S.VPC)
-        .select(
-            _conf("$.vpcId").alias("vpc_id"),
-            "account_id",
-            "aws_region",
-            _conf("$.cidrBlock").alias("cidr_block"),
+        probe(
+            of_type(live, S.VPC),
+            {"vpc_id": "$.vpcId", "cidr_block": "$.cidrBlock"},
+            keep=("account_id", "aws_region"),
         )
         .groupBy("vpc_id", "account_id", "aws_region", "cidr_block")
         .agg(F.count(F.lit(1)).alias("listed"))
@@ -284,23 +274,21 @@ def vpc_inventory(live: DataFrame) -> DataFrame:
 
 
 def top_vpcs(live: DataFrame, limit: int = 20) -> DataFrame:
-    return (
-        vpc_inventory(live)
-        .orderBy(
-            F.desc("total_resource_count"),
-            "vpc_id",
-            "account_id",
-            F.asc_nulls_last("aws_region"),
-            F.asc_nulls_last("cidr_block"),
-        )
-        .limit(limit)
+    return _first(
+        vpc_inventory(live),
+        limit,
+        F.desc("total_resource_count"),
+        "vpc_id",
+        "account_id",
+        F.asc_nulls_last("aws_region"),
+        F.asc_nulls_last("cidr_block"),
     )
 
 
 def used_keys(live: DataFrame) -> DataFrame:
     """Key ids that volumes and databases name in their configuration and buckets in
     their relationships, each once."""
-    configured = of_type(live, S.VOLUME, S.DB_INSTANCE).select(_conf("$.kmsKeyId").alias("key_id"))
+    configured = probe(of_type(live, S.VOLUME, S.DB_INSTANCE), {"key_id": "$.kmsKeyId"})
     related = (
         of_type(live, S.BUCKET)
         .select(F.explode(F.from_json("relationships", S.RELATIONSHIPS)).alias("edge"))
@@ -312,15 +300,10 @@ def used_keys(live: DataFrame) -> DataFrame:
 
 def orphan_keys(live: DataFrame) -> DataFrame:
     """Keys that nothing uses."""
-    return (
-        of_type(live, S.KEY)
-        .select(
-            F.col("resource_id").alias("key_id"),
-            "account_id",
-            _conf("$.keyState").alias("key_state"),
-        )
-        .join(used_keys(live), "key_id", "left_anti")
-    )
+    keys = probe(
+        of_type(live, S.KEY), {"key_state": "$.keyState"}, keep=("resource_id", "account_id")
+    ).withColumnRenamed("resource_id", "key_id")
+    return keys.join(used_keys(live), "key_id", "left_anti")
 
 
 def roles_trusting(live: DataFrame, *needles: str) -> DataFrame:
