@@ -10,10 +10,19 @@ _MIN_EPOCH = -62135596800
 _MAX_EPOCH = 253402300800
 
 _NUMBER = r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})"
+# The usual spelling needs one match and one cast; the others are brought into it.
+_USUAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
 _DATE = r"^\d{4}-\d{2}-\d{2}$"
-_DATETIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?"
+_DATETIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,9})?"
 _OFFSET = r"[+-]\d{2}:\d{2}(:\d{2})?$"
+_REWRITES = (
+    (r"Z", "+00:00"),
+    (r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})", "$1-$2-$3T$4:$5:$6"),
+    (r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})($|[+-])", "$1:00$2"),
+    (r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})($|[+-])", "$1:00$2"),
+    (r"(\d),(\d)", "$1.$2"),
+    (r"(:\d{2}(?:\.\d+)?)([+-]\d{2})(\d{2})$", "$1$2:$3"),
+)
 
 
 def instant(value) -> Column:
@@ -40,13 +49,13 @@ def parse_ts(text: Column) -> Column:
         (seconds >= _MIN_EPOCH) & (seconds < _MAX_EPOCH),
         F.timestamp_micros(F.round(seconds * 1_000_000).cast("bigint")),
     )
-    iso = F.regexp_replace(text, "Z", "+00:00")
-    iso = F.regexp_replace(iso, _COMPACT, "$1-$2-$3T$4:$5:$6")
-    iso = F.regexp_replace(iso, r"(:\d{2}(?:[.,]\d+)?)([+-]\d{2})(\d{2})$", "$1$2:$3")
-    iso = F.regexp_replace(iso, r"(\d),(\d)", "$1.$2")
+    usual = F.when(text.rlike(_USUAL), text.try_cast("timestamp"))
+    iso = text
+    for pattern, replacement in _REWRITES:
+        iso = F.regexp_replace(iso, pattern, replacement)
     with_zone = (
         F.when(iso.rlike(_DATE), F.concat(iso, F.lit("T00:00:00+00:00")))
         .when(iso.rlike(_DATETIME + "$"), F.concat(iso, F.lit("+00:00")))
         .when(iso.rlike(_DATETIME + _OFFSET), iso)
     )
-    return F.coalesce(from_epoch, with_zone.try_cast("timestamp"))
+    return F.coalesce(usual, from_epoch, with_zone.try_cast("timestamp"))

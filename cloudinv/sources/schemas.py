@@ -7,6 +7,24 @@ from cloudinv.functions.text import source_key
 
 _PROPERTIES = ".properties.json"
 
+# File names carry the colons of type names, which the check-sum layer over local disks
+# cannot handle. Other file systems ignore these options.
+_LOCAL_DISK = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+}
+
+
+def _named_texts(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """``resource_type, value`` of whole files, the type from the file name."""
+    name = F.element_at(F.split(source_key(F.col("_metadata.file_path")), "/"), -1)
+    return (
+        spark.read.options(**_LOCAL_DISK)
+        .option("pathGlobFilter", f"*{suffix}")
+        .text(root, wholetext=True)
+        .select(F.replace(name, F.lit(suffix), F.lit("")).alias("resource_type"), "value")
+    )
+
 
 def parse_schema_fields(files: DataFrame, text: str = "value") -> DataFrame:
     """``resource_type, path, type`` from texts holding one JSON object per type."""
@@ -16,24 +34,10 @@ def parse_schema_fields(files: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_schema_fields(spark: SparkSession, root: str) -> DataFrame:
-    """Read ``{type}.properties.json`` files; the type comes from the file name."""
-    name = F.element_at(F.split(source_key(F.col("_metadata.file_path")), "/"), -1)
-    files = (
-        spark.read.option("pathGlobFilter", f"*{_PROPERTIES}")
-        .text(root, wholetext=True)
-        .select("value", F.replace(name, F.lit(_PROPERTIES), F.lit("")).alias("resource_type"))
-    )
-    return parse_schema_fields(files)
+    """The fields of all ``{type}.properties.json`` files of a folder."""
+    return parse_schema_fields(_named_texts(spark, root, _PROPERTIES))
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """``resource_type, document`` from ``{type}.md`` files."""
-    name = F.element_at(F.split(source_key(F.col("_metadata.file_path")), "/"), -1)
-    return (
-        spark.read.option("pathGlobFilter", "*.md")
-        .text(root, wholetext=True)
-        .select(
-            F.regexp_replace(name, r"\.md$", "").alias("resource_type"),
-            F.col("value").alias("document"),
-        )
-    )
+    return _named_texts(spark, root, ".md").withColumnRenamed("value", "document")
