@@ -66,6 +66,9 @@ def with_members(
 ) -> DataFrame:
     """Add scalar members as text columns, all from one parse of the JSON column.
 
+    Exploding a one-element array keeps the parse in a step of its own. A plain column
+    would be copied into every filter over a member, and parse again there.
+
     A path that leads into another one asks for an object, which has no scalar, and
     its column is NULL unless the value is a scalar after all.
     """
@@ -86,4 +89,5 @@ def with_members(
         ).alias(name)
         for name, path in paths.items()
     ]
-    return df.withColumn("_members", F.from_json(json, schema)).select(*df.columns, *members)
+    parse = F.explode(F.array(F.from_json(json, schema))).alias("_members")
+    return df.select(*df.columns, parse).select(*df.columns, *members)

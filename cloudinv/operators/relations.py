@@ -71,7 +71,7 @@ def state_changes(
     time: str = "last_seen_at",
     state: str = "state_hash",
     tie: tuple[str, ...] = ("source_key",),
-    slice_unit: str = "day",
+    slice_unit: str = "hour",
 ) -> DataFrame:
     """Observations whose state differs from the one before, with both states.
 

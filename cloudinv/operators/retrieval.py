@@ -14,6 +14,8 @@ DEFAULT_K = 5
 MAX_K = 25
 # Queries sent to the tasks at a time: at 1024 dimensions this is 32 MiB of doubles.
 QUERY_PAGE = 4096
+# Queries multiplied with a batch of vectors at a time, which bounds the product.
+_QUERIES_AT_ONCE = 256
 SEPARATOR = "\n\n---\n\n"
 
 
@@ -35,15 +37,11 @@ def _pages(queries: DataFrame, size: int) -> Iterator[list]:
         )
 
 
-def _nearest(distance: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k smallest distances, equal ones by key."""
-    if len(distance) > k:
-        limit = np.partition(distance, k - 1)[k - 1]
-        candidates = np.flatnonzero(distance <= limit)
-    else:
-        candidates = np.arange(len(distance))
-    order = np.lexsort((keys[candidates], distance[candidates]))
-    return candidates[order[:k]]
+def _first_per_query(query: np.ndarray, k: int) -> np.ndarray:
+    """True for the first k entries of every run of equal, sorted query numbers."""
+    starts = np.flatnonzero(np.diff(query, prepend=-1))
+    runs = np.diff(np.append(starts, len(query)))
+    return np.arange(len(query)) - np.repeat(starts, runs) < k
 
 
 def _scan(vectors: DataFrame, page: list, id_type: T.DataType, k: int) -> DataFrame:
@@ -52,37 +50,48 @@ def _scan(vectors: DataFrame, page: list, id_type: T.DataType, k: int) -> DataFr
     out = T.StructType(
         [T.StructField("query_id", id_type), *meta, T.StructField("distance", T.DoubleType())]
     )
-    ids = [row["query_id"] for row in page]
+    names = [f.name for f in meta]
+    ids = np.array([row["query_id"] for row in page], dtype=object)
     matrix = np.array([row["embedding"] for row in page], dtype=np.float64)
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-    names = [f.name for f in meta]
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame | None] = [None] * len(ids)
+        best = None
+        worst = np.full(len(ids), np.inf)  # the k-th distance of every query so far
         for frame in frames:
             if frame.empty:
                 continue
+            # In key order, so that of equal distances the smaller key comes first.
+            frame = frame.sort_values("key", ignore_index=True)
             block = np.array(frame["embedding"].tolist(), dtype=np.float64)
             lengths = np.linalg.norm(block, axis=1)
-            valid = lengths > 0
-            rows = frame.loc[valid, names].reset_index(drop=True)
-            cosine = (block[valid] / lengths[valid, None]) @ matrix.T
-            # Ten decimals: equal vectors tie however the product was blocked.
-            distance = np.round(1.0 - cosine, 10)
-            keys = rows["key"].to_numpy()
-            for q in range(len(ids)):
-                top = _nearest(distance[:, q], keys, k)
-                found = rows.iloc[top].assign(distance=distance[top, q])
-                if best[q] is not None:
-                    found = pd.concat([best[q], found], ignore_index=True)
-                    found = found.iloc[
-                        _nearest(found["distance"].to_numpy(), found["key"].to_numpy(), k)
-                    ]
-                best[q] = found
-        for query_id, found in zip(ids, best):
-            if found is not None and len(found):
-                result = found.assign(query_id=query_id)
-                yield result[["query_id", *names, "distance"]]
+            lengths[lengths == 0] = np.nan
+            block /= lengths[:, None]
+            for at in range(0, len(ids), _QUERIES_AT_ONCE):
+                part = slice(at, at + _QUERIES_AT_ONCE)
+                # Ten decimals: equal vectors tie however the product was blocked.
+                distance = np.round(1.0 - block @ matrix[part].T, 10)
+                limit = worst[part]
+                if len(distance) > k:
+                    limit = np.fmin(limit, np.partition(distance, k - 1, axis=0)[k - 1])
+                row, query = np.nonzero(distance <= limit)
+                order = np.lexsort((row, distance[row, query], query))
+                row, query = row[order], query[order]
+                chosen = _first_per_query(query, k)
+                row, query = row[chosen], query[chosen]
+                if not len(row):
+                    continue
+                found = frame.loc[row, names].assign(
+                    distance=distance[row, query], _query=query + at
+                )
+                best = found if best is None else pd.concat([best, found])
+                best = best.sort_values(["_query", "distance", "key"], ignore_index=True)
+                best = best[_first_per_query(best["_query"].to_numpy(), k)]
+                full = best.groupby("_query")["distance"].agg(["size", "max"])
+                full = full[full["size"] == k]
+                worst[full.index.to_numpy()] = full["max"].to_numpy()
+        if best is not None:
+            yield best.assign(query_id=ids[best["_query"]])[["query_id", *names, "distance"]]
 
     present = vectors.where(F.col("key").isNotNull() & F.col("embedding").isNotNull())
     return present.mapInPandas(nearest, out)

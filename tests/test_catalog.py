@@ -1,3 +1,4 @@
+import pytest
 from helpers import collected, inventory
 from pyspark.sql import functions as F
 
@@ -139,8 +140,9 @@ def test_edges_to_a_target_listed_twice(spark):
     assert collected(relations.edge_counts(live), "edge_count", "resolved_count") == [(1, 1)]
 
 
-def test_state_changes_across_slices(spark):
-    """Changes within a day, across days, and across days without observations."""
+@pytest.mark.parametrize("unit", ["hour", "day", "month"])
+def test_state_changes_across_slices(spark, unit):
+    """Changes within a slice, across slices, and across slices without observations."""
     from datetime import datetime
 
     seen = [(1, 1, "x"), (1, 9, "x"), (1, 20, "y"), (2, 3, "y"), (5, 4, "z"), (5, 5, None), (6, 1, None), (6, 2, "z")]
@@ -150,7 +152,7 @@ def test_state_changes_across_slices(spark):
         dict(arn="b", state_hash="only"),
         dict(arn="c", state_hash="unknown time", last_seen_at=None),
     )
-    got = relations.state_changes(df).orderBy("changed_at").collect()
+    got = relations.state_changes(df, slice_unit=unit).orderBy("changed_at").collect()
     assert [(r["changed_at"].day, r["changed_at"].hour, r["previous_state"], r["current_state"]) for r in got] == [
         (1, 20, "x", "y"), (5, 4, "y", "z"), (5, 5, "z", None), (6, 2, None, "z"),
     ]
