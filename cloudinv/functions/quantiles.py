@@ -15,7 +15,9 @@ def exact_median(df: DataFrame, group: str, value: str) -> DataFrame:
         df.where(F.col(value).isNotNull())
         .groupBy(F.col(group), F.col(value).alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("bin", F.floor(F.log2(F.col("v") + 1.0) * 64.0))
+        # Never NULL, so that the join below adds no filter to one of the two uses and
+        # both share one shuffle.
+        .withColumn("bin", F.coalesce(F.floor(F.log2(F.col("v") + 1.0) * 64.0), F.lit(0)))
     )
     bins = counts.groupBy(group, "bin").agg(
         F.sum("c").alias("in_bin"), F.min("v").alias("lo"), F.max("v").alias("hi")
@@ -37,13 +39,16 @@ def exact_median(df: DataFrame, group: str, value: str) -> DataFrame:
     middle = ranked.where(
         reaches(first, F.col("before"), F.col("in_bin"))
         | reaches(second, F.col("before"), F.col("in_bin"))
-    ).select(group, "bin", "n", "min", "max", "before")
+    ).select(
+        F.col(group).alias("_group"), F.col("bin").alias("_bin"), "n", "min", "max", "before"
+    )
     in_order = (
         Window.partitionBy(group, "bin")
         .orderBy("v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    values = counts.join(middle, [group, "bin"]).withColumn(
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("bin") == F.col("_bin"))
+    values = counts.join(middle, same).withColumn(
         "passed", F.col("before") + F.sum("c").over(in_order) - F.col("c")
     )
     at_first = reaches(first, F.col("passed"), F.col("c"))

@@ -129,7 +129,7 @@ def test_normalize(spark):
 def test_exact_median(spark, values):
     import statistics
 
-    df = spark.createDataFrame([("g", v) for v in values] + [("h", 4.0), ("g", None)], "g string, v double")
+    df = spark.createDataFrame([("g", v) for v in values] + [("h", 4.0), ("g", None), (None, 2.0)], "g string, v double")
     got = {r["g"]: tuple(r)[1:] for r in exact_median(df, "g", "v").collect()}
     assert got["g"] == (len(values), min(values), max(values), statistics.median(values))
-    assert got["h"] == (1, 4.0, 4.0, 4.0)
+    assert got["h"] == (1, 4.0, 4.0, 4.0) and got[None] == (1, 2.0, 2.0, 2.0)
