@@ -12,8 +12,9 @@ from cloudinv.functions.text import strip
 
 DEFAULT_K = 5
 MAX_K = 25
-# Queries sent to the tasks at a time: at 1024 dimensions this is 32 MiB of doubles.
+# Queries sent to the tasks at a time, by number and by size of their vectors.
 QUERY_PAGE = 4096
+QUERY_PAGE_BYTES = 32 << 20
 # Queries multiplied with a batch of vectors at a time, which bounds the product.
 _QUERIES_AT_ONCE = 256
 SEPARATOR = "\n\n---\n\n"
@@ -24,6 +25,10 @@ def _pages(queries: DataFrame, size: int) -> Iterator[list]:
     rest = queries.select("query_id", "embedding").where(
         F.col("query_id").isNotNull() & F.col("embedding").isNotNull()
     )
+    longest = rest.agg(F.max(F.size("embedding")).alias("d")).first()["d"]
+    if longest is None:
+        return
+    size = max(1, min(size, QUERY_PAGE_BYTES // (8 * max(1, longest))))
     rows = rest.orderBy("query_id").limit(size).collect()
     while rows:
         yield rows

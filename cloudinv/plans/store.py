@@ -6,10 +6,12 @@
     redriven/version=V/attempt=T/kind=K/...   rows of files read again
     versions/version=V/account_id=A/          the table after a maintenance run
     ingest_log/batch_id=N/                    one row per landed batch
+    file_log/batch_id=N/                      what became of each file of the batch
     version_log/                              one row per finished maintenance run
 
 Nothing is overwritten while it is read: a batch replaces only its own folder when it
-is replayed, and maintenance writes a new version that counts once it is logged.
+is replayed, and maintenance writes a new version that counts once it is logged. Batch
+folders up to the one a version holds may be deleted; the logs stay.
 """
 
 from itertools import islice
@@ -48,6 +50,7 @@ _REDRIVEN = T.StructType(
     ]
 )
 _VERSION_LOG = "version long, through_batch long, as_of timestamp"
+_FILE_LOG = "source_key string, kind string, n long, batch_id long"
 _INGEST_LOG = (
     "files long, rows long, dropped long, bad_files long, accounts long, types long, "
     "ingest_ts timestamp, batch_id long"
@@ -90,6 +93,9 @@ class InventoryStore:
     def ingest_log(self) -> DataFrame:
         return self._read("ingest_log", _INGEST_LOG)
 
+    def file_log(self) -> DataFrame:
+        return self._read("file_log", _FILE_LOG)
+
     def version_log(self) -> DataFrame:
         return self._read("version_log", _VERSION_LOG)
 
@@ -154,9 +160,14 @@ class InventoryStore:
             F.countDistinct(F.when(rows, F.col("account_id"))).alias("accounts"),
             F.countDistinct(F.when(rows, F.col("resource_type"))).alias("types"),
         ).withColumn("ingest_ts", instant(ingest_ts))
-        entry.coalesce(1).write.mode("overwrite").parquet(
-            f"{self.root}/ingest_log/batch_id={int(batch_id)}"
-        )
+        per_file = cells.groupBy("source_key", "kind").agg(F.sum("n").alias("n"))
+        # The batch counts once its entry in the ingest log exists, so that comes last.
+        for log, name in ((per_file, "file_log"), (entry, "ingest_log")):
+            target = f"{self.root}/{name}/batch_id={int(batch_id)}"
+            self._write_log(log, target, "overwrite")
+
+    def _write_log(self, log: DataFrame, target: str, mode: str) -> None:
+        log.coalesce(1).write.mode(mode).option("partitionOverwriteMode", "static").parquet(target)
 
     def _write_kinds(self, rows: DataFrame, target: str, mode: str) -> None:
         (
@@ -183,7 +194,7 @@ class InventoryStore:
             F.lit(through).cast("long").alias("through_batch"),
             instant(as_of).alias("as_of"),
         )
-        entry.coalesce(1).write.mode("append").parquet(f"{self.root}/version_log")
+        self._write_log(entry, f"{self.root}/version_log", "append")
         return version + 1
 
     # -- files that could not be read -------------------------------------------
@@ -193,14 +204,14 @@ class InventoryStore:
 
         These are documents that are no snapshots, and listed files that gave no row.
         """
-        landed = self.landed()
-        bad = landed.where(F.col("kind") == BAD).select("source_key")
+        seen = self.file_log()
+        bad = seen.where(F.col("kind") == BAD).select("source_key")
         listed = list_files(self.spark, source, "*.json.gz")
-        failed = bad.unionByName(unread_files(listed, landed)).distinct()
+        failed = bad.unionByName(unread_files(listed, seen)).distinct()
         if attempt < 1:
             return failed
         good = self.redriven().where((F.col("kind") != BAD) & (F.col("attempt") <= attempt))
-        return failed.join(good.select("source_key"), "source_key", "left_anti")
+        return failed.join(good.select("source_key").distinct(), "source_key", "left_anti")
 
     def redrive(self, source: str, attempt: int, ingest_ts) -> None:
         """Read failed files again, in pages of paths; attempts count from 1."""

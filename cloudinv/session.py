@@ -28,8 +28,11 @@ def configure(spark: SparkSession) -> SparkSession:
 def workspace(spark: SparkSession, label: str = "run") -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests) falls back to a local folder.
+    Only a local session without that setting (tests) falls back to a local folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="cloudinv-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
+        base = tempfile.mkdtemp(prefix="cloudinv-")
     return f"{base.rstrip('/')}/cloudinv-{label}-{uuid.uuid4().hex}"

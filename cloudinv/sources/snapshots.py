@@ -83,7 +83,7 @@ def list_files(spark: SparkSession, pattern: str, suffix: str = "*") -> DataFram
 
 def unread_files(files: DataFrame, seen: DataFrame) -> DataFrame:
     """Listed files that never produced a row, such as broken or empty archives."""
-    known = seen.select(F.col("source_key").alias("path"))
+    known = seen.select(F.col("source_key").alias("path")).distinct()
     return files.join(known, "path", "left_anti").select(F.col("path").alias("source_key"))
 
 
