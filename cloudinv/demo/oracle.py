@@ -206,7 +206,7 @@ near AS (
          round(list_cosine_distance(embedding::DOUBLE[], q), 10) AS d
   FROM embeddings, centres WHERE {where}),
 matches AS (
-  SELECT query_id, key, service, round(d, 4) AS distance, rank
+  SELECT query_id, key, service, round(d, 4) AS distance, rank::INTEGER AS rank
   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, key) AS rank FROM near)
   WHERE rank <= {k})"""
 
@@ -580,6 +580,15 @@ FROM extracted""",
         "vpc", "subnet", "instance", "volume", "interface",
         sql="SELECT aws_region, resource_type, count(*) AS n FROM live GROUP BY 1, 2",
     ),
+    "g3_run_json_sql": _q(
+        "vpc", "instance",
+        sql=f"SELECT {_s('$.Environment', 'm.tags')} AS environment, {_s('$.cidrBlock', 'n.configuration')} AS cidr,"
+        f" count(*) AS machines, count(*) FILTER (WHERE {_s('$.state.name', 'm.configuration')} = 'F') AS stopped"
+        f" FROM live m JOIN live n ON {_s('$.vpcId', 'm.configuration')} = n.resource_id"
+        " AND m.account_id = n.account_id WHERE m.resource_type = 'AWS::EC2::Instance'"
+        " AND n.resource_type = 'AWS::EC2::VPC' GROUP BY 1, 2"
+        " ORDER BY machines DESC, environment, cidr LIMIT 50",
+    ),
     "g4_stage_timings": f"WITH {_JOBS} SELECT job_id, status, embed_ms, retrieve_ms, generate_ms, athena_ms,"
     " round(coalesce(embed_ms, 0) + coalesce(retrieve_ms, 0) + coalesce(generate_ms, 0)"
     " + coalesce(athena_ms, 0), 1) AS total_ms FROM jobs",

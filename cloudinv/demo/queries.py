@@ -14,6 +14,7 @@ from cloudinv.functions.vectors import norm, normalize
 from cloudinv.operators import audit, maintenance, relations, retrieval, shaping, stats
 from cloudinv.plans import catalog
 from cloudinv.plans.store import InventoryStore
+from cloudinv.plans.views import register_live
 from cloudinv.session import configure, workspace
 from cloudinv.sources import schemas, snapshots, tables
 from cloudinv.streaming.ingest import stream_ingest
@@ -149,7 +150,7 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def export_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace(spark, "export")
     tables.export_parquet(items.interfaces(spark, sf_dir), path)
-    return spark.range(1).select(F.lit(tables.count_export(spark, path)).alias("rows"))
+    return spark.range(1).select(F.lit(tables.count_export(spark, path)).cast("bigint").alias("rows"))
 
 
 def unpack_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,7 +417,7 @@ def validate_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_readonly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _live(spark, sf_dir).createOrReplaceTempView("operational_live")
+    register_live(spark, _live(spark, sf_dir))
     return audit.run_readonly(
         spark,
         "SELECT aws_region, resource_type, count(*) AS n FROM operational_live "
@@ -425,6 +426,31 @@ def run_readonly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_json_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_live(spark, _live(spark, sf_dir))
+    return audit.run_readonly(
+        spark,
+        """
+        WITH machines AS (
+          SELECT account_id, json_extract_scalar(configuration, '$.vpcId') AS vpc,
+                 json_extract_scalar(configuration, '$.state.name') AS state,
+                 json_extract_scalar(tags, '$.Environment') AS env
+          FROM operational_live WHERE resource_type = 'AWS::EC2::Instance'
+        ),
+        networks AS (
+          SELECT account_id, resource_id AS vpc,
+                 json_extract_scalar(configuration, '$.cidrBlock') AS cidr
+          FROM operational_live WHERE resource_type = 'AWS::EC2::VPC'
+        )
+        SELECT m.env AS "environment", n.cidr AS "cidr",
+               COUNT(*) AS machines, COUNT(*) FILTER (WHERE m.state = 'F') AS stopped
+        FROM machines m JOIN networks n ON m.vpc = n.vpc AND m.account_id = n.account_id
+        GROUP BY m.env, n.cidr
+        ORDER BY machines DESC, "environment", "cidr" LIMIT 50
+        """,
+    )
+
+
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.parse_jobs(files.job_documents(spark, sf_dir))
 
@@ -508,6 +534,7 @@ QUERIES: dict[str, Query] = {
     "g1_extract_sql": extract_sql,
     "g2_validate_sql": validate_sql,
     "g3_run_readonly": run_readonly,
+    "g3_run_json_sql": run_json_sql,
     "g4_stage_timings": lambda spark, sf: audit.stage_timings(_jobs(spark, sf)),
     "g5_timing_report": lambda spark, sf: audit.timing_report(_jobs(spark, sf)),
     "g6_failures": lambda spark, sf: audit.failures(_jobs(spark, sf)),

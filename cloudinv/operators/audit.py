@@ -9,6 +9,8 @@ from cloudinv.schema import JOB, STAGES
 
 ROW_LIMIT = 100
 
+_QUOTED = "spark.sql.ansi.doubleQuotedIdentifiers"
+
 # The answer format and the statements that are not allowed.
 FENCE = r"(?isU)```(?:sql)?\s*(.+?)```"
 SELECT_ONLY = r"(?iU)^\s*(WITH\s|SELECT\s)"
@@ -45,11 +47,19 @@ def validate_sql(statements: DataFrame, sql: str = "sql") -> DataFrame:
 
 
 def run_readonly(spark: SparkSession, sql: str, limit: int = ROW_LIMIT) -> DataFrame:
-    """Run an accepted SELECT, with at most ``limit`` rows of result."""
+    """Run an accepted SELECT, with at most ``limit`` rows of result.
+
+    Double quotes name columns, as in standard SQL.
+    """
     verdict = spark.range(1).select(sql_verdict(F.lit(sql)).alias("v")).first()["v"]
     if verdict != "ok":
         raise ValueError(f"statement refused: {verdict}")
-    return spark.sql(sql).limit(limit)
+    before = spark.conf.get(_QUOTED, "false")
+    spark.conf.set(_QUOTED, "true")
+    try:
+        return spark.sql(sql).limit(limit)
+    finally:
+        spark.conf.set(_QUOTED, before)
 
 
 def parse_jobs(documents: DataFrame, text: str = "document") -> DataFrame:

@@ -64,9 +64,10 @@ def merge_latest(
             for c in target.columns
         ]
     )
-    # Only keys are compared, so the anti join ships no payload from the target. A NULL
-    # key equals nothing and is inserted, as MERGE does.
-    added = newest.join(target.select(*keys), list(keys), "left_anti").select(*target.columns)
+    # The anti join ships each key of the target once and no payload. A NULL key equals
+    # nothing and is inserted, as MERGE does.
+    known = target.select(*keys).distinct()
+    added = newest.join(known, list(keys), "left_anti").select(*target.columns)
     return updated.unionByName(added)
 
 
@@ -89,10 +90,10 @@ def upsert(
 ) -> DataFrame:
     """Rows of ``new`` replace rows of ``old`` with the same key.
 
-    Only the new keys travel to the old side, which Spark broadcasts when they are few.
+    Only the new keys travel to the old side, each once; Spark broadcasts few of them.
     """
     fresh = latest(new, (key,), order)
-    kept = old.join(new.select(key), key, "left_anti")
+    kept = old.join(new.select(key).distinct(), key, "left_anti")
     return kept.select(*old.columns).unionByName(fresh.select(*old.columns))
 
 

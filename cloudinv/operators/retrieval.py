@@ -180,7 +180,7 @@ def render_docs(fields: DataFrame, enrichment: DataFrame) -> DataFrame:
             "Notable fields",
             F.col("notable_fields"),
             _bullets(
-                F.col("notable_fields"),
+                F.filter("notable_fields", lambda f: f.isNotNull()),
                 lambda f: F.concat(
                     F.lit("- `"),
                     F.coalesce(f["path"], F.lit("")),
@@ -238,7 +238,7 @@ def pending(
     chosen = raw.where(F.col(key).isin(*only)) if only else raw
     if limit > 0:
         chosen = chosen.orderBy(key).limit(limit)
-    return chosen if force else chosen.join(done.select(key), key, "left_anti")
+    return chosen if force else chosen.join(done.select(key).distinct(), key, "left_anti")
 
 
 def invalid_paths(enrichment: DataFrame, fields: DataFrame) -> DataFrame:
@@ -246,7 +246,8 @@ def invalid_paths(enrichment: DataFrame, fields: DataFrame) -> DataFrame:
     notable = enrichment.select(
         "resource_type", F.explode("notable_fields").alias("field")
     ).select("resource_type", F.col("field.path").alias("path"))
-    return notable.join(fields.select("resource_type", "path"), ["resource_type", "path"], "left_anti")
+    known = fields.select("resource_type", "path").distinct()
+    return notable.join(known, ["resource_type", "path"], "left_anti")
 
 
 def context_for(matches: DataFrame, docs: DataFrame) -> DataFrame:

@@ -73,3 +73,43 @@ def test_timing_report(spark):
 def test_failures(spark):
     got = [tuple(r) for r in audit.failures(jobs(spark)).collect()]
     assert got == [("retrieve", "ValueError", 2), (None, "Timeout", 1)]
+
+
+def test_sql_written_for_the_view(spark):
+    from helpers import inventory
+
+    from cloudinv.plans.views import register_live
+
+    live = inventory(
+        spark,
+        dict(arn="a", resource_type="I", tags='{"Environment":"prod"}',
+             configuration={"state": {"name": "on"}, "list": [{"id": "x"}], "note": "[old] box"}),
+        dict(arn="b", resource_type="I", tags="{}", configuration={"state": {"name": "off"}}),
+        dict(arn="c", resource_type="V", configuration={"size": 8, "encrypted": True}),
+    )
+    register_live(spark, live)
+    got = audit.run_readonly(
+        spark,
+        """SELECT json_extract_scalar(tags, '$.Environment') AS env, COUNT(*) AS n,
+                  COUNT(*) FILTER (WHERE json_extract_scalar(configuration, '$.state.name') = 'on') AS "on"
+           FROM operational_live WHERE resource_type IN ('I')
+           GROUP BY json_extract_scalar(tags, '$.Environment') ORDER BY n DESC, env""",
+    )
+    assert got.columns == ["env", "n", "on"]
+    assert sorted(map(tuple, got.collect()), key=str) == [("prod", 1, 1), (None, 1, 0)]
+    got = audit.run_readonly(
+        spark,
+        """SELECT arn, CAST(json_extract_scalar(configuration, '$.size') AS INTEGER) AS size,
+                  CAST(json_extract_scalar(configuration, '$.encrypted') AS BOOLEAN) AS encrypted,
+                  json_extract_scalar(configuration, '$.state') AS state,
+                  json_extract(configuration, '$.state') AS state_json,
+                  json_extract_scalar(configuration, '$.list[0].id') AS first,
+                  json_extract_scalar(configuration, '$.note') AS note
+           FROM operational_live
+           WHERE last_seen_at < current_timestamp - interval '1' hour OR TRUE""",
+    )
+    assert collected(got) == [
+        ("a", None, None, None, '{"name":"on"}', "x", "[old] box"),
+        ("b", None, None, None, '{"name":"off"}', None, None),
+        ("c", 8, True, None, None, None, None),
+    ]

@@ -241,3 +241,48 @@ def test_list_files_reads_no_contents(spark, root):
     listed = snapshots.list_files(spark, root, "*.json.gz")
     assert listed.count() == 4
     assert all(r["bytes"] > 0 for r in listed.collect())
+
+
+def test_crash_after_landing_is_replayed_without_doubles(spark, root, tmp_path, monkeypatch):
+    """The driver is lost after a batch is written and before its checkpoint is."""
+    path = str(tmp_path / "store")
+    original, calls = InventoryStore.land, []
+
+    def land_then_fail(self, *args):
+        original(self, *args)
+        calls.append(args[1])
+        if len(calls) == 1:
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(InventoryStore, "land", land_then_fail)
+    with pytest.raises(Exception, match="lost"):
+        run_stream(spark, root, path)
+    store = run_stream(spark, root, path)
+    assert calls == [0, 0]
+    assert store.operational().count() == 5 and store.ingest_log().count() == 1
+
+
+def test_workspace_follows_the_cluster(tmp_path):
+    from types import SimpleNamespace
+
+    from cloudinv.session import workspace
+
+    def session(master, **conf):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=conf.get), sparkContext=SimpleNamespace(master=master)
+        )
+
+    shared = session("spark://host:7077", **{"spark.checkpoint.dir": str(tmp_path)})
+    first, second = workspace(shared), workspace(shared)
+    assert first.startswith(str(tmp_path)) and first != second
+    with pytest.raises(ValueError):
+        workspace(session("spark://host:7077"))
+
+
+def test_default_day_is_today(spark, tmp_path):
+    day = snapshots.today()
+    deliver(tmp_path, "now.json.gz", [item()], day=f"{day.year}/{day.month}/{day.day}")
+    deliver(tmp_path, "then.json.gz", [item(), item()], day="2020/1/2")
+    out = str(tmp_path / "lines")
+    snapshots.unpack(spark, str(tmp_path), out)
+    assert spark.read.text(out).count() == 1
