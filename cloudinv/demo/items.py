@@ -338,8 +338,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     none = F.lit(None).cast("string")
     columns = {
-        "account_id": account(F.col("user_id")),
-        "arn": F.concat(F.lit("arn:event/"), kind),
+        "account_id": account(F.col("user_id") % 25),
+        "arn": F.concat(F.lit("arn:event/"), F.col("user_id"), F.lit("/"), kind),
         "resource_type": kind,
         "resource_id": F.concat(F.lit("ev-"), F.col("event_id")),
         "status": F.lit("OK"),

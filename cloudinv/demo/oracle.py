@@ -132,7 +132,8 @@ def _s(path, column="configuration"):
 
 _OBS = """
 obs AS (
-  SELECT lpad(user_id::VARCHAR, 12, '0') AS account_id, 'arn:event/' || event_type AS arn,
+  SELECT lpad((user_id % 25)::VARCHAR, 12, '0') AS account_id,
+         'arn:event/' || user_id || '/' || event_type AS arn,
          event_type AS resource_type, NULL::VARCHAR AS aws_region, md5(props) AS state_hash,
          ts AS last_seen_at, ts AS captured_at, 'event/' || event_id AS source_key
   FROM events),
@@ -357,10 +358,9 @@ ORACLE: dict[str, str] = {
         " configuration, relationships FROM live",
     ),
     "s7_export_parquet": _q(
-        "key", ctes=_OBS.strip(),
-        sql="SELECT account_id, resource_type, count(*) AS n FROM obs"
-        " WHERE account_id NOT IN (SELECT account_id FROM live) GROUP BY 1, 2"
-        " UNION ALL SELECT account_id, resource_type, count(*) FROM live GROUP BY 1, 2",
+        "interface", "key",
+        sql="SELECT account_id, resource_type, count(*) AS n FROM live"
+        " WHERE (resource_type = 'AWS::KMS::Key') = (aws_region = 'ASIA') GROUP BY 1, 2",
     ),
     "s8_count_export": _q("interface", sql="SELECT count(*) AS rows FROM live"),
     "s9_unpack_lines": f"{_DELIVERED} SELECT resource_id, account_id, configuration FROM delivered"

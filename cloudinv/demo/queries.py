@@ -139,10 +139,11 @@ def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interfaces of all accounts, then subnets replace the accounts they touch."""
+    """Interfaces of all regions, then keys of one region replace its accounts."""
     path = workspace(spark, "export")
-    tables.export_parquet(items.observations(spark, sf_dir).drop("source_key"), path)
-    tables.export_parquet(items.keys(spark, sf_dir).drop("source_key"), path)
+    keys = items.keys(spark, sf_dir).where(F.col("aws_region") == "ASIA")
+    tables.export_parquet(items.interfaces(spark, sf_dir).drop("source_key"), path)
+    tables.export_parquet(keys.drop("source_key"), path)
     exported = tables.read_operational(spark, path)
     return stats.cube(exported, "account_id", "resource_type")
 

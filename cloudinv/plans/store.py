@@ -2,12 +2,12 @@
 
 ::
 
-    landing/batch_id=N/kind=K/account_id=A/   rows of one ingest batch
-    redriven/version=V/attempt=T/kind=K/...   rows of files read again
-    versions/version=V/account_id=A/          the table after a maintenance run
-    ingest_log/batch_id=N/                    one row per landed batch
-    file_log/batch_id=N/                      what became of each file of the batch
-    version_log/                              one row per finished maintenance run
+    landing/batch_id=N/kind=K/           rows of one ingest batch
+    redriven/version=V/attempt=T/kind=K/ rows of files read again
+    versions/version=V/account_id=A/     the table after a maintenance run
+    ingest_log/batch_id=N/               one row per landed batch
+    file_log/batch_id=N/                 what became of each file of the batch
+    version_log/                         one row per finished maintenance run
 
 Nothing is overwritten while it is read: a batch replaces only its own folder when it
 is replayed, and maintenance writes a new version that counts once it is logged. Batch
@@ -26,7 +26,7 @@ from cloudinv.operators import maintenance
 from cloudinv.operators.shaping import identified, item_columns, live
 from cloudinv.schema import CORRUPT, OPERATIONAL
 from cloudinv.sources.snapshots import list_files, read_files, unread_files
-from cloudinv.sources.tables import read_operational, write_version
+from cloudinv.sources.tables import SORT, read_operational, write_version
 
 # What became of a file or an item.
 ROW, DROPPED, EMPTY, BAD = "row", "dropped", "empty", "bad"
@@ -99,8 +99,21 @@ class InventoryStore:
     def version_log(self) -> DataFrame:
         return self._read("version_log", _VERSION_LOG)
 
-    def landed(self) -> DataFrame:
-        return self._read("landing", _LANDED)
+    def landed(self, after: int = -1, upto: int | None = None) -> DataFrame:
+        """Rows of logged batches, by default all; other batch folders are not listed.
+
+        Batch numbers come to the driver: one per batch since the last version.
+        """
+        batch = F.col("batch_id")
+        logged = self.ingest_log().where(batch > after)
+        if upto is not None:
+            logged = logged.where(batch <= upto)
+        numbers = sorted(r["batch_id"] for r in logged.select("batch_id").collect())
+        if not numbers:
+            return self.spark.createDataFrame([], _LANDED)
+        folder = f"{self.root}/landing"
+        reader = self.spark.read.schema(_LANDED).option("basePath", folder)
+        return reader.parquet(*[f"{folder}/batch_id={n}" for n in numbers])
 
     def redriven(self) -> DataFrame:
         return self._read("redriven", _REDRIVEN)
@@ -118,11 +131,8 @@ class InventoryStore:
     def operational(self, upto: int | None = None) -> DataFrame:
         """The whole table: the current version and what has landed since."""
         version, through = self._current()
-        last = self._last_batch() if upto is None else upto
         columns = OPERATIONAL.names
-        recent = self.landed().where(
-            (F.col("kind") == ROW) & (F.col("batch_id") > through) & (F.col("batch_id") <= last)
-        )
+        recent = self.landed(through, upto).where(F.col("kind") == ROW)
         again = self.redriven().where((F.col("kind") == ROW) & (F.col("version") == version))
         table = recent.select(*columns).unionByName(again.select(*columns))
         if version < 0:
@@ -138,8 +148,8 @@ class InventoryStore:
     def land(self, snapshots: DataFrame, batch_id: int, ingest_ts) -> None:
         """Write one batch and its log entry; running it again replaces both.
 
-        Files mostly hold one account, so the rows are sorted where they were decoded
-        and not shuffled. Maintenance brings accounts together later.
+        The rows are sorted where they were decoded and not shuffled, and each task
+        writes one file per kind. Maintenance brings accounts together later.
         """
         target = f"{self.root}/landing/batch_id={int(batch_id)}"
         self._write_kinds(classify(snapshots, ingest_ts), target, "overwrite")
@@ -171,11 +181,11 @@ class InventoryStore:
 
     def _write_kinds(self, rows: DataFrame, target: str, mode: str) -> None:
         (
-            rows.sortWithinPartitions("kind", "account_id", "arn")
+            rows.sortWithinPartitions("kind", *SORT)
             .write.mode(mode)
             .option("partitionOverwriteMode", "static")
             .option("compression", "zstd")
-            .partitionBy("kind", "account_id")
+            .partitionBy("kind")
             .parquet(target)
         )
 
