@@ -592,6 +592,13 @@ FROM extracted""",
     "g4_stage_timings": f"WITH {_JOBS} SELECT job_id, status, embed_ms, retrieve_ms, generate_ms, athena_ms,"
     " round(coalesce(embed_ms, 0) + coalesce(retrieve_ms, 0) + coalesce(generate_ms, 0)"
     " + coalesce(athena_ms, 0), 1) AS total_ms FROM jobs",
+    "g4_stage_rows": f"""WITH {_JOBS},
+listed AS (
+  SELECT job_id, n, ['embed', 'retrieve', 'generate', 'athena'][n + 1] AS stage, stop,
+         [embed_ms, retrieve_ms, generate_ms, athena_ms][n + 1] AS ms
+  FROM (SELECT j.*, stop FROM jobs j JOIN tenths t ON j.job_id = 'job-' || t.event_id), range(4) r(n))
+SELECT job_id, stage, CASE WHEN n < stop THEN 'done' WHEN n = stop THEN 'failed' ELSE 'pending' END AS status, ms
+FROM listed""",
     "g5_timing_report": f"""WITH {_JOBS},
 long AS (UNPIVOT (SELECT embed_ms AS embed, retrieve_ms AS retrieve, generate_ms AS generate,
   athena_ms AS athena FROM jobs) ON embed, retrieve, generate, athena INTO NAME stage VALUE ms)

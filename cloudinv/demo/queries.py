@@ -537,6 +537,9 @@ QUERIES: dict[str, Query] = {
     "g3_run_readonly": run_readonly,
     "g3_run_json_sql": run_json_sql,
     "g4_stage_timings": lambda spark, sf: audit.stage_timings(_jobs(spark, sf)),
+    "g4_stage_rows": lambda spark, sf: audit.stage_rows(_jobs(spark, sf)).select(
+        "job_id", "stage", "status", "ms"
+    ),
     "g5_timing_report": lambda spark, sf: audit.timing_report(_jobs(spark, sf)),
     "g6_failures": lambda spark, sf: audit.failures(_jobs(spark, sf)),
 }

@@ -17,7 +17,11 @@ QUERY_PAGE = 4096
 QUERY_PAGE_BYTES = 32 << 20
 # Queries multiplied with a batch of vectors at a time, which bounds the product.
 _QUERIES_AT_ONCE = 256
+
+# Texts that rendered documents and contexts contain.
 SEPARATOR = "\n\n---\n\n"
+NO_DESCRIPTION = "_(no description)_"
+NO_DOCUMENT = "_(no enriched doc bundled)_"
 
 
 def _pages(queries: DataFrame, size: int) -> Iterator[list]:
@@ -173,7 +177,7 @@ def render_docs(fields: DataFrame, enrichment: DataFrame) -> DataFrame:
         F.lit("\n- **Field count**: "),
         F.size(paths).cast("string"),
         F.lit("\n\n## Description\n\n"),
-        F.when(described != "", described).otherwise("_(no description)_"),
+        F.when(described != "", described).otherwise(NO_DESCRIPTION),
         F.lit("\n\n"),
         _section("Common queries", F.col("common_queries"), _bullets(F.col("common_queries"), plain)),
         _section(
@@ -209,17 +213,14 @@ def parse_doc_metadata(docs: DataFrame) -> DataFrame:
 
     def last(label: str, value: str) -> Column:
         pattern = rf"(?m)^\s*- \*\*{label}\*\*:[^\S\n]*({value})[^\S\n]*$"
-        return F.element_at(F.regexp_extract_all("document", F.lit(pattern), F.lit(1)), -1)
-
-    def safe_last(label: str, value: str) -> Column:
-        pattern = rf"(?m)^\s*- \*\*{label}\*\*:[^\S\n]*({value})[^\S\n]*$"
-        return F.when(F.regexp_like("document", F.lit(pattern)), last(label, value))
+        found = F.regexp_extract_all("document", F.lit(pattern), F.lit(1))
+        return F.try_element_at(found, F.lit(-1))
 
     return docs.select(
         "resource_type",
-        safe_last("Service", r"[^\n]*?").alias("service"),
-        safe_last("Category", r"[^\n]*?").alias("category"),
-        safe_last("Field count", r"[+-]?\d+").try_cast("int").alias("field_count"),
+        last("Service", r"[^\n]*?").alias("service"),
+        last("Category", r"[^\n]*?").alias("category"),
+        last("Field count", r"[+-]?\d+").try_cast("int").alias("field_count"),
     )
 
 
@@ -257,7 +258,7 @@ def context_for(matches: DataFrame, docs: DataFrame) -> DataFrame:
     """
     block = F.coalesce(
         F.col("document"),
-        F.concat(F.lit("# "), F.col("resource_type"), F.lit("\n\n_(no enriched doc bundled)_\n")),
+        F.concat(F.lit("# "), F.col("resource_type"), F.lit(f"\n\n{NO_DOCUMENT}\n")),
     )
     ranked = matches.join(docs.select("resource_type", "document"), "resource_type", "left").select(
         "query_id", F.struct("rank", block.alias("block")).alias("entry")

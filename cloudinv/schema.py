@@ -90,6 +90,7 @@ JOB = (
     "job_id string, status string, stage string, submitted_at string, updated_at string, "
     "question string, top_k int, "
     "stages map<string,struct<status:string,started_at:string,ended_at:string,ms:double>>, "
+    "result struct<sql:string,row_count:bigint>, "
     "error struct<error:string,detail:string,stage:string>"
 )
 

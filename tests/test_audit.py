@@ -113,3 +113,21 @@ def test_sql_written_for_the_view(spark):
         ("b", None, None, None, '{"name":"off"}', None, None),
         ("c", 8, True, None, None, None, None),
     ]
+
+
+def test_stage_rows(spark):
+    doc = {
+        "job_id": "1",
+        "status": "running",
+        "stages": {
+            "embed": {"status": "done", "started_at": "2026-04-09T10:00:00.25+00:00",
+                      "ended_at": "2026-04-09T10:00:01+00:00", "ms": 750.0},
+            "athena": {"status": "pending"},
+        },
+        "result": {"sql": "SELECT 1", "row_count": 3},
+    }
+    parsed = audit.parse_jobs(spark.createDataFrame([(json.dumps(doc),)], "document string"))
+    rows = {r["stage"]: r for r in audit.stage_rows(parsed).collect()}
+    assert set(rows) == {"embed", "athena"} and rows["embed"]["ms"] == 750.0
+    assert rows["embed"]["started_at"].microsecond == 250000 and rows["athena"]["ended_at"] is None
+    assert tuple(parsed.select("result.sql", "result.row_count").first()) == ("SELECT 1", 3)

@@ -137,3 +137,22 @@ def test_hot_key_is_reduced_before_the_shuffle(spark):
     hot = newest.where("arn = 'hot'").collect()
     assert len(hot) == 1 and hot[0]["last_seen_at"] == datetime(1970, 1, 4, 11, 19, 57)
     assert newest.count() == 200_001
+
+
+def test_update_and_upsert_with_a_hot_key(spark):
+    """A third of the target shares one key: every row of it is updated, none is lost."""
+    n = 60_000
+    key = lambda c: F.when(c % 3 == 0, "hot").otherwise(c.cast("string"))
+    target = spark.range(n).select(
+        F.lit("1").alias("account_id"), key(F.col("id")).alias("arn"),
+        F.timestamp_seconds("id").alias("last_seen_at"), F.lit("old").alias("state_hash"),
+    )
+    source = spark.range(n, 2 * n, 3).select(
+        F.lit("1").alias("account_id"), F.lit("hot").alias("arn"),
+        F.timestamp_seconds("id").alias("last_seen_at"), F.lit("new").alias("state_hash"),
+    )
+    got = M.merge_latest(target, source, mode="update")
+    counts = {r["state_hash"]: r["count"] for r in got.groupBy("state_hash").count().collect()}
+    assert counts == {"new": n // 3, "old": n - n // 3}
+    merged = M.upsert(target, source, key="arn", order=("last_seen_at",))
+    assert merged.count() == n - n // 3 + 1

@@ -208,3 +208,4 @@ def test_timings_need_no_shuffle(spark, sf_dir):
     jobs = audit.parse_jobs(files.job_documents(spark, sf_dir))
     text = plan(audit.stage_timings(jobs))
     assert "hashpartitioning" not in text and text.count("from_json") == 1
+    assert plan(audit.stage_rows(jobs)).count("from_json") == 1
