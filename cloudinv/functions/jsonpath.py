@@ -14,16 +14,21 @@ def _holds_string(json: Column, path: str) -> Column:
     return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
-def _scalar(text: Column, json: Column, path: str) -> Column:
-    """The text unless it is an object or array; a string that merely starts like one
-    is kept, which only such values are looked at again for."""
-    container = text.startswith("{") | text.startswith("[")
-    return F.when(~container, text).when(_holds_string(json, path), text)
+def _container(text: Column) -> Column:
+    return text.startswith("{") | text.startswith("[")
+
+
+def _scalar(text: Column, suspect: Column, json: Column, path: str) -> Column:
+    """The text unless it stands for no scalar; suspects are looked at again, to keep
+    strings that merely look like an object, an array or null."""
+    return F.when(~suspect, text).when(_holds_string(json, path), text)
 
 
 def json_scalar(json: Column, path: str) -> Column:
     """Text of a scalar member; NULL for a missing, null, object or array member."""
-    return _scalar(F.get_json_object(json, path), json, path)
+    text = F.get_json_object(json, path)
+    # The built-in probe gives the word null for a null within an array.
+    return _scalar(text, _container(text) | (text == "null"), json, path)
 
 
 def json_value(json: Column, path: str) -> Column:
@@ -38,12 +43,25 @@ def _steps(path: str) -> list[str | int]:
     return [int(m[2]) if m[2] is not None else m[1] or m[3] for m in found]
 
 
-def _tree(paths: list[list[str | int]]) -> dict:
+def _shape(steps: list[str | int]) -> list[str]:
+    return ["[]" if isinstance(step, int) else step for step in steps]
+
+
+def _agree(one: list[str], other: list[str]) -> bool:
+    """Both fit one schema: no one leads on into the other, none takes for a list what
+    the other takes for an object."""
+    for a, b in zip(one, other):
+        if a != b:
+            return "[]" not in (a, b)
+    return len(one) == len(other)
+
+
+def _tree(paths: list[list[str]]) -> dict:
     root: dict = {}
-    for steps in paths:
+    for shape in paths:
         node = root
-        for step in steps:
-            node = node.setdefault("[]" if isinstance(step, int) else step, {})
+        for step in shape:
+            node = node.setdefault(step, {})
     return root
 
 
@@ -69,25 +87,24 @@ def with_members(
     Exploding a one-element array keeps the parse in a step of its own. A plain column
     would be copied into every filter over a member, and parse again there.
 
-    A path that leads into another one asks for an object, which has no scalar, and
-    its column is NULL unless the value is a scalar after all.
+    A path that does not fit into one schema with those before it is probed by itself.
     """
     steps = {name: _steps(path) for name, path in paths.items()}
-
-    def leads_on(some: list) -> bool:
-        return any(len(o) > len(some) and o[: len(some)] == some for o in steps.values())
-
-    parsed = [n for n, s in steps.items() if not leads_on(s)]
-    schema = _type(_tree([steps[n] for n in parsed]))
+    parsed: dict[str, list[str]] = {}
+    for name, path in steps.items():
+        shape = _shape(path)
+        if all(_agree(shape, other) for other in parsed.values()):
+            parsed[name] = shape
+    schema = _type(_tree(list(parsed.values())))
     json = F.col(column)
     document = F.col("_members")
-    members = [
-        (
-            _scalar(_walk(document, steps[name]), json, path)
-            if name in parsed
-            else json_scalar(json, path)
-        ).alias(name)
-        for name, path in paths.items()
-    ]
+
+    def member(name: str, path: str) -> Column:
+        if name not in parsed:
+            return json_scalar(json, path)
+        text = _walk(document, steps[name])
+        return _scalar(text, _container(text), json, path)
+
+    members = [member(name, path).alias(name) for name, path in paths.items()]
     parse = F.explode(F.array(F.from_json(json, schema))).alias("_members")
     return df.select(*df.columns, parse).select(*df.columns, *members)

@@ -22,6 +22,7 @@ _REWRITES = (
     (r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})($|[+-])", "$1:00$2"),
     (r"(\d),(\d)", "$1.$2"),
     (r"(:\d{2}(?:\.\d+)?)([+-]\d{2})(\d{2})$", "$1$2:$3"),
+    (r"(:\d{2}(?:\.\d+)?)([+-]\d{2})$", "$1$2:00"),
 )
 
 

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 
 # SQL functions are expanded by the optimiser, so they cost what their bodies cost. An
-# object or array has no scalar; text is one if it parses as one.
+# object or array has no scalar; text is one if it parses as one. The built-in probe gives
+# the word null for a null within an array.
 _FUNCTIONS = (
     """
     CREATE OR REPLACE TEMPORARY FUNCTION json_extract(doc STRING, path STRING)
@@ -15,6 +16,7 @@ _FUNCTIONS = (
       WHEN left(get_json_object(doc, path), 1) IN ('{', '[')
        AND (json_array_length(get_json_object(doc, path)) IS NOT NULL
          OR json_object_keys(get_json_object(doc, path)) IS NOT NULL) THEN NULL
+      WHEN path LIKE '%]' AND get_json_object(doc, path) = 'null' THEN NULL
       ELSE get_json_object(doc, path) END
     """,
 )

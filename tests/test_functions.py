@@ -63,7 +63,7 @@ def test_instant_is_utc(spark):
 
 JSON = (
     '{"s":"x","n":8,"b":true,"z":null,"o":{"k":"v"},"l":[{"k":"first"},{"k":"second"}],'
-    '"odd":"[legacy] web","policy":"{\\"Version\\":1}","a:b":"colon","e":""}'
+    '"odd":"[legacy] web","policy":"{\\"Version\\":1}","a:b":"colon","e":"","nulls":[null,"null"]}'
 )
 PATHS = {
     "$.s": "x",
@@ -81,6 +81,8 @@ PATHS = {
     "$.policy": '{"Version":1}',
     "$['a:b']": "colon",
     "$.e": "",
+    "$.nulls[0]": None,
+    "$.nulls[1]": "null",
 }
 
 

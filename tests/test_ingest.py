@@ -286,3 +286,15 @@ def test_default_day_is_today(spark, tmp_path):
     out = str(tmp_path / "lines")
     snapshots.unpack(spark, str(tmp_path), out)
     assert spark.read.text(out).count() == 1
+
+
+def test_stream_by_interval(spark, root, tmp_path):
+    path = str(tmp_path / "store")
+    query = stream_ingest(spark, root, path, path + "-progress", interval="1 seconds")
+    try:
+        query.processAllAvailable()
+        deliver(root, "later.json.gz", [item(ARN="arn:later")])
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert InventoryStore(spark, path).operational().count() == 6
