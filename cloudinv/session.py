@@ -10,6 +10,9 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # Account ids are twelve digits; inferring a number would lose leading zeros.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
+    # Stored JSON takes some ten times its zstd size in memory. Without this a side that
+    # looks small on disk is broadcast although it is not.
+    "spark.sql.sources.fileCompressionFactor": "10.0",
     # Splits hot join keys and hot accounts at run time, merges small partitions.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
