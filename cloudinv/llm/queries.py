@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cloudinv.llm import line_dedup
+from cloudinv.llm import line_dedup, packing
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
 
 ORACLE = {
