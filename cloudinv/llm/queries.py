@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cloudinv.llm import line_dedup, packing
+from cloudinv.llm import line_dedup, packing, simhash
 
 QUERIES = {
+    "op3_simhash_neardup": simhash.op3_simhash_neardup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
