@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cloudinv.llm import line_dedup, packing, quality, simhash, toxicity
+from cloudinv.llm import line_dedup, lm, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op2_quality_votes": quality.op2_quality_votes,
     "op3_simhash_neardup": simhash.op3_simhash_neardup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_lm_score": lm.op6_lm_score,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_toxicity": toxicity.op9_toxicity,
 }
