@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cloudinv.llm import line_dedup, lm, packing, quality, simhash, toxicity
+from cloudinv.llm import line_dedup, lm, packing, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op2_quality_votes": quality.op2_quality_votes,
@@ -9,8 +9,10 @@ QUERIES = {
     "op6_lm_score": lm.op6_lm_score,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_exact_topk": topk.op10_exact_topk,
 }
 
 ORACLE = {
     "op5_line_dedup": line_dedup.ORACLE,
+    "op10_exact_topk": topk.ORACLE,
 }
