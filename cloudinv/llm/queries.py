@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cloudinv.llm import line_dedup, lm, packing, quality, simhash, topk, toxicity
+from cloudinv.llm import decontamination, line_dedup, lm, packing, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op2_quality_votes": quality.op2_quality_votes,
     "op3_simhash_neardup": simhash.op3_simhash_neardup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_lm_score": lm.op6_lm_score,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_topk": topk.op10_exact_topk,
@@ -14,5 +15,6 @@ QUERIES = {
 
 ORACLE = {
     "op5_line_dedup": line_dedup.ORACLE,
+    "op7_decontamination": decontamination.ORACLE,
     "op10_exact_topk": topk.ORACLE,
 }
