@@ -14,7 +14,7 @@ import tiktoken
 
 END_OF_TEXT = "<|endoftext|>"
 #: A space beside other white space, where a split at the space would change pre-tokens.
-UNSAFE = re.compile(r" \s|\s |^\s|\s$")
+UNSAFE = re.compile(r" \s|\s ")
 
 
 def default_ranks() -> str:
