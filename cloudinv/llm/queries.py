@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cloudinv.llm import decontamination, line_dedup, lm, packing, quality, simhash, token_counts, topk, toxicity
+from cloudinv.llm import decontamination, line_dedup, lm, packing, quality, repeats, simhash, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_quality_votes": quality.op2_quality_votes,
     "op3_simhash_neardup": simhash.op3_simhash_neardup,
+    "op4_suffix_dedup": repeats.op4_suffix_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_lm_score": lm.op6_lm_score,
     "op7_decontamination": decontamination.op7_decontamination,
