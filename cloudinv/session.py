@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     # Stored JSON takes some ten times its zstd size in memory. Without this a side that
     # looks small on disk is broadcast although it is not.
     "spark.sql.sources.fileCompressionFactor": "10.0",
+    # Rows with long texts reach Python in batches that fit beside the JVM.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     # Splits hot join keys and hot accounts at run time, merges small partitions.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
