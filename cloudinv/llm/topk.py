@@ -151,10 +151,14 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK,
         number = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).alias("number")
         return stored(pack(good.select("*", number), "number", size, prefix), prefix + "blocks"), n
 
-    rows, _ = blocked(vectors, block, "v_")
+    rows, n_rows = blocked(vectors, block, "v_")
     asked, n_asked = blocked(queries, per, "q_")
-    every = rows.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)).cast("array<long>")))
-    pairs = every.join(asked.withColumn("number", F.monotonically_increasing_id()), "q_block").where("v_dim = q_dim")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    # Each pair of blocks is a key of its own, so that pairs spread evenly over the tasks.
+    pairs = rows.withColumn("q_block", others(n_asked)).join(
+        asked.withColumn("number", F.monotonically_increasing_id()).withColumn("v_block", others(n_rows)),
+        ["v_block", "q_block"],
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["asked", "place", "query_id", "vec_id", "score"]
@@ -167,9 +171,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK,
                     [pa.array(c) for c in (np.full(len(who), number), who, own[who], found, score)], names
                 )
 
-    found = pairs.select("v_dim", "v_ids", "v_cells", "q_ids", "q_cells", "number").repartition(
-        F.xxhash64("v_ids"), F.col("number")
-    )
+    found = pairs.where("v_dim = q_dim").select("v_dim", "v_ids", "v_cells", "q_ids", "q_cells", "number")
     found = found.mapInArrow(run, "asked long, place long, query_id long, vec_id long, score long")
     order = Window.partitionBy("asked", "place").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
