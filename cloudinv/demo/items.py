@@ -6,7 +6,7 @@ roles, documents databases and pages buckets.
 """
 
 from collections.abc import Callable
-from functools import lru_cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,22 +20,10 @@ AS_OF = "2026-04-09T10:00:00"
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
-# Plans are lazy, so a session builds each of them once.
-_once = lru_cache(maxsize=256)
 
-
-@_once
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One that comes as a few unsplittable files is spread over the
-    cores before work is done on it; a table of many files is read as it lies."""
-    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _LARGE and rows.rdd.getNumPartitions() < cores:
-        return rows.repartition(cores)
-    return rows
-
-
-_LARGE = ("lineitem", "orders", "events", "documents", "pages")
+    """A given table, as it lies."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _json(**members: Column) -> Column:
@@ -58,7 +46,6 @@ def account(nation: Column) -> Column:
     return F.lpad(nation.cast("string"), 12, "0")
 
 
-@_once
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
@@ -67,7 +54,6 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_once
 def _homes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with nation, region and VPC."""
     places = _places(spark, sf_dir)
@@ -326,13 +312,11 @@ BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-@_once
 def operational(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All items as one table; a filter on type removes the other branches."""
     return reduce(DataFrame.unionByName, [build(spark, sf_dir) for build in BUILDERS.values()])
 
 
-@_once
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as repeated observations: one resource per user and event type."""
     kind = F.col("event_type")

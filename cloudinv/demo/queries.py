@@ -284,9 +284,7 @@ def merge_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     target, source = _split(spark, sf_dir)
-    purchases = source.where(F.col("resource_type").isin("purchase", "view"))
-    others = target.where(F.col("resource_type") != "view")
-    return _plain_times(maintenance.merge_latest(others, purchases, mode="update").select(*_KEPT))
+    return _plain_times(maintenance.merge_latest(target, source, mode="update").select(*_KEPT))
 
 
 def drop_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,16 +308,15 @@ def nightly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as stored files, aged by the events of the same number."""
-    pages = table(spark, sf_dir, "pages").join(
-        table(spark, sf_dir, "events"), F.col("page_id") == F.col("event_id")
-    )
-    stored = pages.select(
-        F.concat(F.col("event_type"), F.lit("/"), F.col("url")).alias("path"),
+    """Events as stored files, with rules of which one is the start of another."""
+    stored = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("s3://"), "event_type", F.lit("/"), F.col("user_id"), F.lit("/click/"), "event_id").alias(
+            "path"
+        ),
         F.col("ts").cast("timestamp").alias("modified_at"),
     )
-    rules = [("click/", 14), ("view/", 7), ("purchase/", 1)]
-    return _plain_times(maintenance.expired_files(stored, rules, "2024-01-09T00:00:00"))
+    rules = [("click/", 14), ("view/", 7), ("click/1", 3), ("purchase/", 1)]
+    return _plain_times(maintenance.expired_files(stored, rules, "2024-01-20T00:00:00"))
 
 
 # -- statistics ------------------------------------------------------------------------
@@ -339,9 +336,7 @@ def overview_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.resolve_edges(
-        shaping.of_type(_live(spark, sf_dir), S.FUNCTION, S.ROLE, S.BUCKET, S.KEY, S.SUBNET, S.VPC)
-    )
+    return relations.resolve_edges(_live(spark, sf_dir))
 
 
 def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

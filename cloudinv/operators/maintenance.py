@@ -53,7 +53,8 @@ def merge_latest(
         raise ValueError(f"unknown merge mode: {mode}")
     newest = latest(target if source is None else source, keys, order)
     payload = [c for c in target.columns if c not in keys]
-    incoming = newest.select(*keys, F.struct(*payload).alias("_new"))
+    # A shuffle of its own lets adaptive execution split a key with very many rows.
+    incoming = newest.select(*keys, F.struct(*payload).alias("_new")).hint("rebalance")
     time = order[0]
     newer = F.coalesce(F.col(time) < F.col("_new")[time], F.lit(False))
     updated = target.join(incoming, list(keys), "left").select(
@@ -100,12 +101,13 @@ def upsert(
 def expired_files(files: DataFrame, rules: list[tuple[str, int]], as_of) -> DataFrame:
     """Files past the age their folder allows: ``path, modified_at, days``.
 
-    ``rules`` pairs a path fragment with a number of days; the first match decides and
-    files without a rule are kept.
+    ``rules`` pairs the start of a path, bucket and prefix without the scheme, with a number
+    of days. The longest start that fits decides; files without a rule are kept.
     """
+    place = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:/*", "")
     days = F.lit(None).cast("int")
-    for fragment, limit in reversed(rules):
-        days = F.when(F.col("path").contains(fragment), F.lit(int(limit))).otherwise(days)
+    for start, limit in sorted(rules, key=lambda rule: len(rule[0])):
+        days = F.when(place.startswith(start), F.lit(int(limit))).otherwise(days)
     aged = files.select("path", "modified_at", days.alias("days"))
     cutoff = instant(as_of) - F.make_dt_interval(F.col("days"))
     return aged.where(F.col("days").isNotNull() & (F.col("modified_at") < cutoff))

@@ -38,8 +38,12 @@ def resolve_edges(df: DataFrame) -> DataFrame:
     """Edges with the ARN of their target in the same account, NULL if it is unknown.
 
     A resource listed more than once is one target, with its smallest ARN.
+
+    The hint gives the known targets a shuffle of their own, so both sides of the join are
+    bare shuffles and a target that very many resources point to is split over tasks.
     """
     known = _targets(df).groupBy(*_TARGET).agg(F.min("target_arn").alias("target_arn"))
+    known = known.hint("rebalance")
     return edges(df).join(known, list(_TARGET), "left")
 
 

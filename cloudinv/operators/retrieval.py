@@ -1,20 +1,23 @@
 """Schema documents: retrieval by vector, rendering, checks."""
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cloudinv.functions.text import strip
 
 DEFAULT_K = 5
 MAX_K = 25
-# Queries sent to the tasks at a time, by number and by size of their vectors.
+# Vectors and queries that meet in one task at a time, about.
+VECTOR_BLOCK = 8192
 QUERY_PAGE = 4096
-QUERY_PAGE_BYTES = 32 << 20
 # Queries multiplied with a batch of vectors at a time, which bounds the product.
 _QUERIES_AT_ONCE = 256
 
@@ -24,28 +27,6 @@ NO_DESCRIPTION = "_(no description)_"
 NO_DOCUMENT = "_(no enriched doc bundled)_"
 
 
-def _pages(queries: DataFrame, size: int) -> Iterator[list]:
-    """Query vectors in pages of bounded size, in the order of their ids."""
-    rest = queries.select("query_id", "embedding").where(
-        F.col("query_id").isNotNull() & F.col("embedding").isNotNull()
-    )
-    longest = rest.agg(F.max(F.size("embedding")).alias("d")).first()["d"]
-    if longest is None:
-        return
-    size = max(1, min(size, QUERY_PAGE_BYTES // (8 * max(1, longest))))
-    rows = rest.orderBy("query_id").limit(size).collect()
-    while rows:
-        yield rows
-        if len(rows) < size:
-            return
-        rows = (
-            rest.where(F.col("query_id") > F.lit(rows[-1]["query_id"]))
-            .orderBy("query_id")
-            .limit(size)
-            .collect()
-        )
-
-
 def _first_per_query(query: np.ndarray, k: int) -> np.ndarray:
     """True for the first k entries of every run of equal, sorted query numbers."""
     starts = np.flatnonzero(np.diff(query, prepend=-1))
@@ -53,57 +34,67 @@ def _first_per_query(query: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(query)) - np.repeat(starts, runs) < k
 
 
-def _scan(vectors: DataFrame, page: list, id_type: T.DataType, k: int) -> DataFrame:
-    """The k nearest vectors of every query within each partition."""
-    meta = [f for f in vectors.schema.fields if f.name != "embedding"]
-    out = T.StructType(
-        [T.StructField("query_id", id_type), *meta, T.StructField("distance", T.DoubleType())]
-    )
-    names = [f.name for f in meta]
-    ids = np.array([row["query_id"] for row in page], dtype=object)
-    matrix = np.array([row["embedding"] for row in page], dtype=np.float64)
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-
-    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        worst = np.full(len(ids), np.inf)  # the k-th distance of every query so far
-        for frame in frames:
-            if frame.empty:
-                continue
-            # In key order, so that of equal distances the smaller key comes first.
-            frame = frame.sort_values("key", ignore_index=True)
-            block = np.array(frame["embedding"].tolist(), dtype=np.float64)
-            lengths = np.linalg.norm(block, axis=1)
-            lengths[lengths == 0] = np.nan
-            block /= lengths[:, None]
-            for at in range(0, len(ids), _QUERIES_AT_ONCE):
-                part = slice(at, at + _QUERIES_AT_ONCE)
-                # Ten decimals: equal vectors tie however the product was blocked.
-                distance = np.round(1.0 - block @ matrix[part].T, 10)
-                limit = worst[part]
-                if len(distance) > k:
-                    limit = np.fmin(limit, np.partition(distance, k - 1, axis=0)[k - 1])
-                row, query = np.nonzero(distance <= limit)
-                order = np.lexsort((row, distance[row, query], query))
-                row, query = row[order], query[order]
-                chosen = _first_per_query(query, k)
-                row, query = row[chosen], query[chosen]
-                if not len(row):
-                    continue
-                found = frame.loc[row, names].assign(
-                    distance=distance[row, query], _query=query + at
+def _packed(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """Rows in blocks of about ``size``: number of the block, its rows as one Arrow table.
+
+    A block may come in several pieces, which does no harm.
+    """
+    blocks = max(1, math.ceil(rows.count() / size))
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            for block in np.unique(numbers):
+                own = batch.filter(pa.array(numbers == block)).select(batch.schema.names[1:])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema) as stream:
+                    stream.write_batch(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(block)]), pa.array([sink.getvalue().to_pybytes()])], [f"{name}_block", name]
                 )
-                best = found if best is None else pd.concat([best, found])
-                best = best.sort_values(["_query", "distance", "key"], ignore_index=True)
-                best = best[_first_per_query(best["_query"].to_numpy(), k)]
-                full = best.groupby("_query")["distance"].agg(["size", "max"])
-                full = full[full["size"] == k]
-                worst[full.index.to_numpy()] = full["max"].to_numpy()
-        if best is not None:
-            yield best.assign(query_id=ids[best["_query"]])[["query_id", *names, "distance"]]
 
-    present = vectors.where(F.col("key").isNotNull() & F.col("embedding").isNotNull())
-    return present.mapInPandas(nearest, out)
+    # Numbers are given before the shuffle and sorted after it, so a piece is a whole batch.
+    numbered = rows.select(number.alias("_block"), *rows.columns)
+    dealt = numbered.repartition("_block").sortWithinPartitions("_block")
+    return dealt.mapInArrow(pack, f"{name}_block long, {name} binary"), blocks
+
+
+def _frame(packed: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(packed).read_all().to_pandas()
+
+
+def _nearest(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame | None:
+    """The k nearest of some vectors for each of some queries, by place in ``queries``."""
+    # In key order, so that of equal distances the smaller key comes first.
+    frame = vectors.sort_values("key", ignore_index=True)
+    found = []
+    widths = frame["embedding"].map(len).to_numpy()
+    asked = queries["embedding"].map(len).to_numpy()
+    for width in np.intersect1d(widths, asked):
+        own, mine = np.flatnonzero(widths == width), np.flatnonzero(asked == width)
+        block, matrix = (
+            np.array(side["embedding"].iloc[rows].tolist(), dtype=np.float64)
+            for side, rows in ((frame, own), (queries, mine))
+        )
+        lengths, directions = np.linalg.norm(block, axis=1), np.linalg.norm(matrix, axis=1)
+        own, block = own[lengths > 0], block[lengths > 0] / lengths[lengths > 0, None]
+        mine, matrix = mine[directions > 0], matrix[directions > 0] / directions[directions > 0, None]
+        for at in range(0, len(mine), _QUERIES_AT_ONCE):
+            # Ten decimals: equal vectors tie however the product was blocked.
+            distance = np.round(1.0 - block @ matrix[at : at + _QUERIES_AT_ONCE].T, 10)
+            if len(distance) > k:
+                limit = np.partition(distance, k - 1, axis=0)[k - 1]
+                row, query = np.nonzero(distance <= limit)
+            else:
+                row, query = np.nonzero(np.isfinite(distance))
+            order = np.lexsort((row, distance[row, query], query))
+            row, query = row[order], query[order]
+            chosen = _first_per_query(query, k)
+            row, query = row[chosen], query[chosen]
+            best = frame.drop(columns="embedding").iloc[own[row]]
+            found.append(best.assign(distance=distance[row, query], _query=mine[query + at]))
+    return pd.concat(found) if found else None
 
 
 def cosine_topk(
@@ -116,34 +107,60 @@ def cosine_topk(
     """The k nearest vectors of every query, with rank, metadata and cosine distance.
 
     ``vectors`` has ``key``, ``embedding`` and metadata columns, ``queries`` has
-    ``query_id`` and ``embedding``. Queries go to the tasks in pages of bounded size;
-    each task keeps k rows per query, so only those are shuffled. Vectors of length
-    zero have no direction and match nothing.
+    ``query_id`` and ``embedding``. Every row of ``queries`` is answered by itself, also
+    rows that share an id or have none. Rows without a vector, or with one of length zero,
+    have no direction and match nothing; :func:`unanswerable` lists them.
+
+    Both sides are dealt into blocks, and each pair of blocks is one key of a join, so that
+    no query passes through the driver and the plan does not grow with their number. A pair
+    leaves k rows per query, and only those are shuffled again.
     """
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be between 1 and {MAX_K}")
     pool = vectors if where is None else vectors.where(where)
-    id_type = queries.schema["query_id"].dataType
-    scans = [_scan(pool, page, id_type, k) for page in _pages(queries, page_size)]
-    if not scans:
-        scans = [_scan_nothing(pool, id_type)]
-    found = scans[0]
-    for scan in scans[1:]:
-        found = found.unionByName(scan)
-    by_query = Window.partitionBy("query_id").orderBy("distance", "key")
+    present = pool.where(F.col("key").isNotNull() & F.col("embedding").isNotNull())
+    asked = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
+    numbered = asked.select(F.monotonically_increasing_id().alias("_row"), "query_id", "embedding")
+    left, n_left = _packed(present, VECTOR_BLOCK, "vectors")
+    right, n_right = _packed(numbered, page_size, "queries")
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+
+    pairs = left.withColumn("queries_block", each(n_right)).join(
+        right.withColumn("vectors_block", each(n_left)), ["vectors_block", "queries_block"]
+    )
+    meta = [f for f in present.schema.fields if f.name != "embedding"]
+    head = [T.StructField("_row", T.LongType()), queries.schema["query_id"]]
+    out = T.StructType([*head, *meta, T.StructField("distance", T.DoubleType())])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(out)
+        for batch in batches:
+            for some, others in zip(*(column.to_pylist() for column in batch.columns)):
+                asking = _frame(others)
+                best = _nearest(_frame(some), asking, k)
+                if best is not None:
+                    who = asking.iloc[best["_query"].to_numpy()]
+                    best = best.assign(_row=who["_row"].to_numpy(), query_id=who["query_id"].to_numpy())
+                    table = pa.Table.from_pandas(best[out.names], schema=arrow, preserve_index=False)
+                    yield from table.to_batches()
+
+    by_query = Window.partitionBy("_row").orderBy("distance", "key")
     return (
-        found.withColumn("rank", F.row_number().over(by_query))
+        pairs.select("vectors", "queries")
+        .mapInArrow(nearest, out)
+        .withColumn("rank", F.row_number().over(by_query))
         .where(F.col("rank") <= k)
+        .drop("_row")
         .withColumn("distance", F.round("distance", 4))
     )
 
 
-def _scan_nothing(vectors: DataFrame, id_type: T.DataType) -> DataFrame:
-    return vectors.where(F.lit(False)).select(
-        F.lit(None).cast(id_type).alias("query_id"),
-        *[c for c in vectors.columns if c != "embedding"],
-        F.lit(None).cast("double").alias("distance"),
-    )
+def unanswerable(queries: DataFrame) -> DataFrame:
+    """Rows of ``queries`` that match nothing: no vector, an empty one, or one of length zero."""
+    known = F.exists("embedding", lambda x: x != 0)
+    return queries.where(F.col("embedding").isNull() | ~F.coalesce(known, F.lit(False)))
 
 
 def _bullets(items: Column, render) -> Column:

@@ -17,24 +17,27 @@ def today() -> date:
     return datetime.now(timezone.utc).date()
 
 
-def snapshot_glob(root: str, region: str = "*", day: date | str | None = None) -> str:
+def snapshot_glob(
+    root: str, region: str = "*", day: date | str | None = None, account: str = "*"
+) -> str:
     """Folder pattern of the delivery layout; month and day carry no leading zero."""
     if day is None:
         dated = "*/*/*"
     else:
         day = date.fromisoformat(day) if isinstance(day, str) else day
         dated = f"{day.year}/{day.month}/{day.day}"
-    return f"{root.rstrip('/')}/AWSLogs/*/Config/{region}/{dated}/ConfigSnapshot"
+    return f"{root.rstrip('/')}/AWSLogs/{account}/Config/{region}/{dated}/ConfigSnapshot"
 
 
-def _options(reader):
-    # A file that cannot be decompressed yields no row here; ``unread_files`` finds it.
+def _options(reader, skip_broken: bool = False):
+    # A file that cannot be decompressed fails the read. Only the store skips it, as it logs
+    # the files it has read and ``unread_files`` finds the others.
     return (
         reader.schema(SNAPSHOT)
         .option("multiLine", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("ignoreCorruptFiles", True)
+        .option("ignoreCorruptFiles", skip_broken)
         .option("pathGlobFilter", SUFFIX)
     )
 
@@ -44,17 +47,27 @@ def _with_source(df: DataFrame) -> DataFrame:
 
 
 def read_snapshots(
-    spark: SparkSession, root: str, region: str = "*", day: date | str | None = None
+    spark: SparkSession,
+    root: str,
+    region: str = "*",
+    day: date | str | None = None,
+    account: str = "*",
+    skip_broken: bool = False,
 ) -> DataFrame:
-    """One row per snapshot file, with ``source_key``; other file names are skipped."""
-    return _with_source(_options(spark.read).json(snapshot_glob(root, region, day)))
+    """One row per snapshot file, with ``source_key``; other file names are skipped.
+
+    A broken archive is an error that names it. With ``skip_broken`` it yields no row, and
+    the caller compares the folder with what was read; see :func:`unread_files`.
+    """
+    reader = _options(spark.read, skip_broken)
+    return _with_source(reader.json(snapshot_glob(root, region, day, account)))
 
 
 def stream_snapshots(
     spark: SparkSession, root: str, region: str = "*", files_per_batch: int = 25
 ) -> DataFrame:
     """The same rows as a stream that takes a bounded number of files per batch."""
-    reader = _options(spark.readStream).option("maxFilesPerTrigger", files_per_batch)
+    reader = _options(spark.readStream, skip_broken=True).option("maxFilesPerTrigger", files_per_batch)
     return _with_source(reader.json(snapshot_glob(root, region)))
 
 
@@ -106,10 +119,10 @@ def unpack(
 def read_raw_items(
     spark: SparkSession, root: str, region: str = "*", day: date | str | None = None
 ) -> DataFrame:
-    """``value, source_key``: the raw JSON text of every item."""
+    """``value, source_key``: the raw JSON text of every item; a broken archive is an error."""
     texts = (
         spark.read.option("pathGlobFilter", SUFFIX)
-        .option("ignoreCorruptFiles", True)
+        .option("ignoreCorruptFiles", False)
         .text(snapshot_glob(root, region, day), wholetext=True)
     )
     document = F.from_json("value", "configurationItems array<string>")
@@ -121,4 +134,4 @@ def read_raw_items(
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Snapshots of named files; characters that form patterns are taken literally."""
     literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in paths]
-    return _with_source(_options(spark.read).json(literal))
+    return _with_source(_options(spark.read, skip_broken=True).json(literal))
