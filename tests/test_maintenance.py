@@ -124,6 +124,14 @@ def test_expired_files(spark):
     assert collected(got, "path", "days") == [("raw/a", 14), ("results/a", 7)]
 
 
+def test_file_rules_go_by_the_longest_start(spark):
+    old = NOON - timedelta(days=10)
+    paths = ["s3://raw/AWSLogs/results/x.json.gz", "s3a://raw/tmp/x", "results/x", "file:///raw/x", "my-raw/x"]
+    files = spark.createDataFrame([(p, old) for p in paths], "path string, modified_at timestamp")
+    got = M.expired_files(files, [("raw/tmp/", 3), ("results/", 7), ("raw/", 14)], NOON)
+    assert collected(got, "path", "days") == [("results/x", 7), ("s3a://raw/tmp/x", 3)]
+
+
 def test_hot_key_is_reduced_before_the_shuffle(spark):
     """A third of all rows share one key; each input partition ships one of them."""
     df = spark.range(300_000).select(

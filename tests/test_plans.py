@@ -169,9 +169,26 @@ def test_hot_target_of_edges(hot):
     got = relations.edge_counts(rows).collect()
     assert [(r["edge_count"], r["resolved_count"]) for r in got] == [(n, n)]
     resolved = relations.resolve_edges(rows)
+    resolved.collect()
+    assert "skew=true" in plan(resolved)
     assert resolved.where("target_id = 'i-hot'").count() == n // 3
 
 
+def test_hot_key_of_an_update_is_split(hot):
+    """A third of the target shares one key; newer rows of all keys arrive."""
+    from cloudinv.operators import maintenance
+
+    spark, n = hot[0].sparkSession, 60_000
+    key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("arn")
+    rows = lambda first, state: spark.range(first, first + n).select(
+        F.lit("1").alias("account_id"), key, F.timestamp_seconds("id").alias("last_seen_at"), F.lit(state).alias("state_hash"),
+    )
+    updated = maintenance.merge_latest(rows(0, "old"), rows(n, "new"), mode="update")
+    updated.collect()
+    assert "skew=true" in plan(updated)
+    assert updated.where("arn = 'hot' and state_hash = 'new'").count() == n // 3
+
+
 def test_hot_key_state_changes(spark):
     """One resource with a third of all observations is compared slice by slice."""
     n = 90_000
