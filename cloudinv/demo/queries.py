@@ -301,10 +301,18 @@ def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nightly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = workspace(spark, "version")
-    seen = items.observations(spark, sf_dir)
-    tables.write_version(maintenance.nightly(seen, items.latest_event(spark, sf_dir)), path)
-    return _plain_times(tables.read_operational(spark, path).select(*_KEPT))
+    """A whole run over the first half of the month, then one over what has come since."""
+    whole, changed = workspace(spark, "version"), workspace(spark, "version")
+    before, since = _split(spark, sf_dir)
+    tables.write_version(maintenance.nightly(before, "2024-01-16"), whole)
+    base = tables.read_operational(spark, whole)
+    now = items.latest_event(spark, sf_dir)
+    touched, rows = maintenance.nightly_changes(base, since, now)
+    tables.write_version(rows, changed)
+    kept = base.join(touched, "account_id", "left_anti")
+    return _plain_times(
+        kept.unionByName(tables.read_operational(spark, changed)).select(*_KEPT)
+    )
 
 
 def expired_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,16 @@
 
     landing/batch_id=N/kind=K/           rows of one ingest batch
     redriven/version=V/attempt=T/kind=K/ rows of files read again
-    versions/version=V/account_id=A/     the table after a maintenance run
+    versions/version=V/account_id=A/     accounts as rewritten by a maintenance run
     ingest_log/batch_id=N/               one row per landed batch
     file_log/batch_id=N/                 what became of each file of the batch
+    account_log/version=V/               the accounts that the version rewrote, and their rows
     version_log/                         one row per finished maintenance run
 
 Nothing is overwritten while it is read: a batch replaces only its own folder when it
-is replayed, and maintenance writes a new version that counts once it is logged. Batch
-folders up to the one a version holds may be deleted; the logs stay.
+is replayed, and maintenance writes a new version that counts once it is logged. A version
+holds the accounts that changed; others stay where an earlier one wrote them. Batch folders
+up to the one a version holds may be deleted; the logs stay.
 """
 
 from itertools import islice
@@ -50,6 +52,7 @@ _REDRIVEN = T.StructType(
     ]
 )
 _VERSION_LOG = "version long, through_batch long, as_of timestamp"
+_ACCOUNT_LOG = "account_id string, rows long, version long"
 _FILE_LOG = "source_key string, kind string, n long, batch_id long"
 _INGEST_LOG = (
     "files long, rows long, dropped long, bad_files long, accounts long, types long, "
@@ -137,8 +140,24 @@ class InventoryStore:
         table = recent.select(*columns).unionByName(again.select(*columns))
         if version < 0:
             return table
-        base = read_operational(self.spark, f"{self.root}/versions/version={version}")
-        return base.unionByName(table)
+        return self._base(version).unionByName(table)
+
+    def _base(self, version: int) -> DataFrame:
+        """The table as of a version: each account from the last one that rewrote it.
+
+        One line per account comes to the driver, as it names the folders to read.
+        """
+        log = self._read("account_log", _ACCOUNT_LOG).where(F.col("version") <= version)
+        last = log.groupBy("account_id").agg(F.max(F.struct("version", "rows")).alias("at"))
+        places = sorted(
+            f"{self.root}/versions/version={r['at']['version']}/account_id={r['account_id']}"
+            for r in last.collect()
+            if r["at"]["rows"]
+        )
+        if not places:
+            return self.spark.createDataFrame([], OPERATIONAL)
+        reader = self.spark.read.schema(OPERATIONAL).option("basePath", f"{self.root}/versions")
+        return reader.parquet(*places).select(*OPERATIONAL.names)
 
     def live(self, as_of, ttl_hours: int = 24) -> DataFrame:
         return live(self.operational(), as_of, ttl_hours)
@@ -192,13 +211,23 @@ class InventoryStore:
     def nightly(self, as_of, days: int = 7, rows_per_file: int | None = None) -> int:
         """Merge, expire and compact into a new version; the number of that version.
 
-        The three steps are one plan, so the table is read and written once. A failed
-        run leaves the current version in place.
+        Only accounts with landed or expired rows are written; see ``nightly_changes``. A
+        failed run leaves the current version in place.
         """
-        version, _ = self._current()
+        version, since = self._current()
         through = self._last_batch()
-        fresh = maintenance.nightly(self.operational(upto=through), as_of, days)
-        write_version(fresh, f"{self.root}/versions/version={version + 1}", rows_per_file)
+        columns = OPERATIONAL.names
+        landed = self.landed(since, through).where(F.col("kind") == ROW).select(*columns)
+        again = self.redriven().where((F.col("kind") == ROW) & (F.col("version") == version))
+        landed = landed.unionByName(again.select(*columns))
+        touched, rows = maintenance.nightly_changes(self._base(version), landed, as_of, days)
+        target = f"{self.root}/versions/version={version + 1}"
+        write_version(rows, target, rows_per_file)
+        written = read_operational(self.spark, target).groupBy("account_id").count()
+        log = touched.join(written, "account_id", "left").select(
+            "account_id", F.coalesce("count", F.lit(0)).alias("rows")
+        )
+        self._write_log(log, f"{self.root}/account_log/version={version + 1}", "overwrite")
         entry = self.spark.range(1).select(
             F.lit(version + 1).cast("long").alias("version"),
             F.lit(through).cast("long").alias("through_batch"),

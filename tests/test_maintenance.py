@@ -105,6 +105,32 @@ def test_ttl_over_days(spark):
     assert collected(table, "arn") == [("kept",)]
 
 
+def test_changes_equal_a_whole_run(spark):
+    """On random rows, with NULL keys and ties; untouched accounts are left alone."""
+    import random
+
+    rng = random.Random(6)
+
+    def observed(n, first, last, accounts):
+        return inventory(spark, *[
+            dict(account_id=f"a{rng.choice(accounts)}", arn=rng.choice(["x", "y", "z", None, f"n{rng.randrange(30)}"]),
+                 last_seen_at=NOON + timedelta(hours=rng.randint(first, last)), source_key=rng.choice("pq"),
+                 state_hash=str(rng.randrange(9)))
+            for _ in range(n)
+        ])
+
+    earlier, landed = observed(200, -300, -100, range(9)), observed(60, -150, 0, range(3))
+    base = M.nightly(earlier, NOON - timedelta(hours=100), days=9)
+    touched, rows = M.nightly_changes(base, landed, NOON, days=9)
+    kept = M._matching(base, touched, ("account_id",), "left_anti")
+    want = M.nightly(base.unionByName(landed), NOON, days=9)
+    columns = ("account_id", "arn", "last_seen_at", "source_key", "state_hash")
+    got = kept.unionByName(rows)
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+    untouched, rows = M.nightly_changes(base, landed.where("false"), NOON - timedelta(hours=100), days=9)
+    assert untouched.count() == rows.count() == 0
+
+
 def test_upsert(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2), (None, 9)], "key string, v int")
     new = spark.createDataFrame([("b", 3), ("c", 4), ("c", 5)], "key string, v int")
