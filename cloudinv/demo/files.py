@@ -42,13 +42,25 @@ def delivered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "signup", "").otherwise(F.concat(F.lit("arn:networkinterface/"), eni)).alias("ARN"),
         F.lit(S.NETWORK_INTERFACE).alias("resourceType"),
         eni.alias("resourceId"),
+        F.when(kind != "view", F.concat(F.lit("interface "), F.col("event_id"))).alias("resourceName"),
         F.col("r_name").alias("awsRegion"),
+        F.concat(F.col("r_name"), F.lit("-b")).alias("availabilityZone"),
         F.lit("OK").alias("configurationItemStatus"),
         capture_text(F.col("ts"), kind).alias("configurationItemCaptureTime"),
+        F.concat(
+            F.date_format(F.col("ts").cast("timestamp") - F.expr("interval 1 day"), _ISO), F.lit("Z")
+        ).alias("resourceCreationTime"),
         F.col("event_id").alias("configurationStateId"),
         F.md5("props").alias("configurationStateMd5Hash"),
         F.struct(kind.alias("aws:cf:stack")).alias("tags"),
         F.struct(subnet.alias("subnetId"), F.col("vpc_id").alias("vpcId")).alias("configuration"),
+        F.array(
+            F.struct(
+                subnet.alias("resourceId"),
+                F.lit(S.SUBNET).alias("resourceType"),
+                F.lit("Is contained in Subnet").alias("name"),
+            )
+        ).alias("relationships"),
         F.struct().alias("supplementaryConfiguration"),
     )
     return events.join(homes, events.user_id == homes.c_custkey).select(
@@ -59,11 +71,11 @@ def delivered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_snapshots(spark: SparkSession, sf_dir: str, root: str) -> None:
     """Deliver all events in snapshot files of some two thousand items each.
 
-    The unique event id spreads items over files, so no file depends on a hot value.
+    The event id spreads items over files, so no file depends on a hot value.
     """
     items = delivered_items(spark, sf_dir)
     files = max(1, math.ceil(table(spark, sf_dir, "events").count() / _ITEMS_PER_FILE))
-    number = F.pmod(F.xxhash64("event_id"), F.lit(files))
+    number = F.pmod("event_id", F.lit(files))
     for day, early in zip(DAYS, (True, False)):
         year, month, dom = (int(p) for p in day.split("-"))
         documents = (

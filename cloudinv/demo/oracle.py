@@ -51,7 +51,7 @@ _ITEMS = {
     "instance": _rows(
         "AWS::EC2::Instance", "c_nationkey", "'i-' || o_orderkey",
         "orders JOIN homes ON o_custkey = c_custkey",
-        "to_json({subnetId: 'subnet-' || o_custkey, vpcId: vpc_id, instanceType: o_orderpriority,"
+        "to_json({subnetId: CASE WHEN o_custkey % 7 <> 0 THEN 'subnet-' || o_custkey END, vpcId: vpc_id, instanceType: o_orderpriority,"
         " state: {name: o_orderstatus}})",
         name="'order ' || o_orderkey", tags=_ENV,
         relationships="to_json(["
@@ -73,7 +73,7 @@ _ITEMS = {
     "interface": _rows(
         "AWS::EC2::NetworkInterface", "c_nationkey", "'eni-' || event_id",
         "events JOIN homes ON user_id = c_custkey",
-        "to_json({subnetId: 'subnet-' || user_id, vpcId: vpc_id, status: event_type})",
+        "to_json({subnetId: CASE WHEN user_id % 7 <> 0 THEN 'subnet-' || user_id END, vpcId: vpc_id, status: event_type})",
         relationships="to_json(["
         + _relation("AWS::EC2::Subnet", "'subnet-' || user_id", "Is contained in Subnet") + ", "
         + _relation("AWS::EC2::VPC", "vpc_id", "Is contained in Vpc") + "])",
@@ -155,6 +155,10 @@ delivered AS (
          CASE WHEN event_type <> 'error' THEN lpad(c_nationkey::VARCHAR, 12, '0') END AS account_id,
          CASE WHEN event_type = 'signup' THEN '' ELSE 'arn:networkinterface/eni-' || event_id END AS arn,
          'AWS::EC2::NetworkInterface' AS resource_type, 'eni-' || event_id AS resource_id,
+         CASE WHEN event_type <> 'view' THEN 'interface ' || event_id END AS resource_name,
+         r_name || '-b' AS availability_zone, ts - INTERVAL 1 DAY AS created_at, TRUE AS from_file,
+         to_json([{{resourceId: 'subnet-' || user_id, resourceType: 'AWS::EC2::Subnet',
+                    name: 'Is contained in Subnet'}}])::VARCHAR AS relationships,
          r_name AS aws_region, 'OK' AS status, {_CAPTURED} AS captured_at,
          event_id::VARCHAR AS state_id, md5(props) AS state_hash,
          to_json({{'aws:cf:stack': event_type}})::VARCHAR AS tags,
@@ -163,8 +167,9 @@ delivered AS (
   FROM events JOIN homes ON user_id = c_custkey)"""
 
 _ROW = (
-    "account_id, arn, resource_type, resource_id, aws_region, status, captured_at, state_id,"
-    " state_hash, tags, configuration, supplementary_configuration, last_seen_at"
+    "account_id, arn, resource_type, resource_id, resource_name, aws_region, availability_zone, status,"
+    " captured_at, created_at, state_id, state_hash, tags, relationships, configuration,"
+    " supplementary_configuration, last_seen_at, from_file"
 )
 _GOOD = "account_id <> '' AND arn <> ''"
 
@@ -269,8 +274,8 @@ _OVERVIEW = (
 # From the given tables, not from the JSON texts that are derived from them.
 _ACCOUNT = "lpad(({})::VARCHAR, 12, '0')"
 _OCCUPANCY = f"""WITH {_HOMES},
-machines AS (SELECT o_custkey AS owner, count(*) AS n FROM orders GROUP BY 1),
-cards AS (SELECT user_id AS owner, count(*) AS n FROM events GROUP BY 1),
+machines AS (SELECT o_custkey AS owner, count(*) AS n FROM orders WHERE o_custkey % 7 <> 0 GROUP BY 1),
+cards AS (SELECT user_id AS owner, count(*) AS n FROM events WHERE user_id % 7 <> 0 GROUP BY 1),
 occupancy AS (
   SELECT 'subnet-' || c_custkey AS subnet_id, c_name AS subnet_name,
          {_ACCOUNT.format("c_nationkey")} AS account_id, r_name AS aws_region, r_name || '-a' AS az, vpc_id,
@@ -361,7 +366,10 @@ ORACLE: dict[str, str] = {
     "s11_upsert_vectors": "SELECT vec_id AS key, label AS service, len(embedding)::INT AS dims FROM embeddings"
     " WHERE vec_id NOT IN (SELECT doc_id FROM labels)"
     " UNION ALL SELECT doc_id, quality + 100, 2 FROM labels",
-    "s12_ingest_log": f"{_DELIVERED} SELECT count(*) FILTER (WHERE {_GOOD}) AS rows,"
+    "s12_ingest_log": f"{_DELIVERED}, files AS (SELECT 2 * ceil((SELECT count(*) FROM events) / 2000.0)"
+    " + (SELECT count(DISTINCT lang) FROM documents) AS n)"
+    " SELECT (SELECT ceil(n / 4)::BIGINT FROM files) AS batches, (SELECT n::BIGINT FROM files) AS files,"
+    f" count(*) FILTER (WHERE {_GOOD}) AS rows,"
     f" count(*) FILTER (WHERE ({_GOOD}) IS NOT TRUE) AS dropped,"
     " (SELECT count(DISTINCT lang) FROM documents) AS bad_files,"
     " count(DISTINCT resource_type) AS types FROM delivered",
@@ -369,9 +377,10 @@ ORACLE: dict[str, str] = {
     "p2_flatten_items": f"{_DELIVERED} SELECT {_ROW} FROM delivered WHERE {_GOOD}",
     "p3_drop_unidentified": f"{_DELIVERED} SELECT event_type AS stack, count(*) AS items FROM delivered"
     f" WHERE {_GOOD} GROUP BY 1",
-    "p3b_lenient_flatten": f"{_DELIVERED} SELECT {_ROW} FROM delivered WHERE account_id IS NOT NULL",
+    "p3b_lenient_flatten": f"{_DELIVERED} SELECT {_ROW.removesuffix(', from_file')} FROM delivered"
+    " WHERE account_id IS NOT NULL",
     "p4_parse_ts": f"SELECT event_id, {_CAPTURED} AS captured_at FROM events",
-    "p5_json_text": f"{_DELIVERED} SELECT resource_id, tags, NULL::VARCHAR AS relationships, configuration,"
+    "p5_json_text": f"{_DELIVERED} SELECT resource_id, tags, relationships, configuration,"
     " supplementary_configuration FROM delivered",
     "p6_stamps": f"{_DELIVERED} SELECT resource_id, last_seen_at, TRUE AS has_source FROM delivered"
     f" WHERE {_GOOD}",
@@ -412,6 +421,7 @@ ORACLE: dict[str, str] = {
     "a1_overview_observed": f"WITH {_OBS} {_OVERVIEW} obs WHERE last_seen_at >"
     " (SELECT as_of FROM newest) - INTERVAL 240 HOUR",
     "a2_by_type": _q(sql=_top(_BY_TYPE, "resource_count DESC, resource_type", 25)),
+    "a2_by_type_three": _q(sql=_top(_BY_TYPE, "resource_count DESC, resource_type", 3)),
     "a3_by_account": _q(sql=_top(_BY_ACCOUNT, "resource_count DESC, account_id", 25)),
     "a4_by_region": _q(
         sql="SELECT aws_region, count(*) AS resource_count, count(DISTINCT account_id) AS"
@@ -424,7 +434,9 @@ ORACLE: dict[str, str] = {
     ),
     "a6_top_types": _q(sql=_top(_BY_TYPE, "resource_count DESC, resource_type", 10)),
     "a7_ingest_profile": f"{_DELIVERED} SELECT count(*) AS rows, count(DISTINCT account_id) AS accounts,"
-    f" count(DISTINCT resource_type) AS types FROM delivered WHERE {_GOOD}",
+    f" count(DISTINCT resource_type) AS types FROM delivered WHERE {_GOOD}"
+    " GROUP BY ts < TIMESTAMP '2024-01-16',"
+    " event_id % ceil((SELECT count(*) FROM events) / 2000.0)::BIGINT",
     "q1_type_histogram": _q(sql=_top(_BY_TYPE, "resource_count DESC, resource_type", 15)),
     "q2_instances_per_account": _q(
         "instance",

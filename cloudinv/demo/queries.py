@@ -47,16 +47,15 @@ def _delivered(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
-_ROW = (
-    "account_id", "arn", "resource_type", "resource_id", "aws_region", "status",
-    "captured_at", "state_id", "state_hash", "tags", "configuration",
-    "supplementary_configuration", "last_seen_at",
-)
+# Every column but the source, which differs by run; of it only the suffix is shown.
+_ROW = tuple(c for c in S.OPERATIONAL_COLUMNS if c != "source_key")
+_FROM_FILE = "source_key LIKE '%.json.gz' AS from_file"
 
 
 def _flat(read: DataFrame, strict: bool = True) -> DataFrame:
     rows = shaping.flatten_items(shaping.explode_items(read), INGESTED, strict)
-    return _plain_times(rows.select(*_ROW))
+    # The lenient form has no source.
+    return _plain_times(rows.select(*_ROW, *([F.expr(_FROM_FILE)] if strict else [])))
 
 
 def read_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,13 +92,17 @@ def read_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _streamed(spark: SparkSession, sf_dir: str) -> InventoryStore:
+def _streamed(
+    spark: SparkSession, sf_dir: str, files_per_batch: int = 25, bad: bool = True
+) -> InventoryStore:
     source = _delivered(spark, sf_dir)
-    files.write_bad_snapshots(spark, sf_dir, source)
+    if bad:
+        files.write_bad_snapshots(spark, sf_dir, source)
     root = workspace(spark, "store")
     query = stream_ingest(
-        spark, source, root, f"{root}-progress", interval=None, ingest_ts=_instant(INGESTED)
-    )
+        spark, source, root, f"{root}-progress", interval=None, ingest_ts=_instant(INGESTED),
+        files_per_batch=files_per_batch,
+    )
     query.awaitTermination()
     return InventoryStore(spark, root)
 
@@ -111,12 +114,15 @@ def _instant(text: str):
 
 
 def streamed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain_times(_streamed(spark, sf_dir).live(AS_OF).select(*_ROW))
+    return _plain_times(_streamed(spark, sf_dir).live(AS_OF).select(*_ROW, F.expr(_FROM_FILE)))
 
 
 def ingest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _streamed(spark, sf_dir).ingest_log()
+    """What all batches together hold, and how many of four files each there were."""
+    log = _streamed(spark, sf_dir, files_per_batch=4).ingest_log()
     return log.agg(
+        F.count(F.lit(1)).alias("batches"),
+        F.sum("files").alias("files"),
         F.sum("rows").alias("rows"),
         F.sum("dropped").alias("dropped"),
         F.sum("bad_files").alias("bad_files"),
@@ -125,8 +131,9 @@ def ingest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = snapshots.read_snapshots(spark, _delivered(spark, sf_dir))
-    return stats.ingest_profile(shaping.flatten_items(shaping.explode_items(read), INGESTED))
+    """The profile of each batch of one file, from the log of a streamed store."""
+    log = _streamed(spark, sf_dir, files_per_batch=1, bad=False).ingest_log()
+    return log.select("rows", "accounts", "types")
 
 
 def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -495,6 +502,7 @@ QUERIES: dict[str, Query] = {
     "a1_overview": overview,
     "a1_overview_observed": overview_observed,
     "a2_by_type": _catalogued(stats.by_type),
+    "a2_by_type_three": _catalogued(stats.by_type, 3),
     "a3_by_account": _catalogued(stats.by_account),
     "a4_by_region": _catalogued(stats.by_region),
     "a5_totals": _catalogued(stats.totals),
