@@ -184,12 +184,17 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", answer.alias("text"))
 
 
+def _part_type() -> Column:
+    """A brand and a stretch of part keys, so that a type has some hundred fields at any scale."""
+    return F.concat("p_brand", F.lit("-"), F.floor(F.col("p_partkey") / 2500))
+
+
 def schema_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands as resource types with property paths from their parts."""
+    """Resource types with property paths from their parts."""
     return (
         table(spark, sf_dir, "part")
         .groupBy(
-            F.col("p_brand").alias("resource_type"),
+            _part_type().alias("resource_type"),
             F.concat(
                 F.lit("configuration."), F.col("p_type"), F.lit("."), F.replace("p_name", F.lit(" "), F.lit("_"))
             ).alias("path"),
@@ -199,7 +204,7 @@ def schema_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enrichments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One enrichment per brand; notable fields of very large parts do not exist."""
+    """One enrichment per type; notable fields of very large parts do not exist."""
     path = F.concat(
         F.lit("configuration."),
         F.col("p_type"),
@@ -209,9 +214,9 @@ def enrichments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         table(spark, sf_dir, "part")
-        .select("p_brand", "p_type", path.alias("path"))
+        .select(_part_type().alias("resource_type"), "p_type", path.alias("path"))
         .distinct()
-        .groupBy(F.col("p_brand").alias("resource_type"))
+        .groupBy("resource_type")
         .agg(
             F.array_sort(F.collect_set("p_type")).alias("types"),
             F.array_sort(F.collect_set("path")).alias("paths"),

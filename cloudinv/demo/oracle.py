@@ -175,12 +175,12 @@ _GOOD = "account_id <> '' AND arn <> ''"
 
 _FIELDS = """
 fields AS (
-  SELECT p_brand AS resource_type,
+  SELECT p_brand || '-' || (p_partkey // 2500) AS resource_type,
          'configuration.' || p_type || '.' || replace(p_name, ' ', '_') AS path,
          CASE WHEN max(p_size) > 25 THEN 'integer' ELSE 'string' END AS type
   FROM part GROUP BY 1, 2),
 notable AS (
-  SELECT DISTINCT p_brand AS resource_type, p_type,
+  SELECT DISTINCT p_brand || '-' || (p_partkey // 2500) AS resource_type, p_type,
          'configuration.' || p_type || '.' || replace(p_name, ' ', '_')
          || CASE WHEN p_size > 48 THEN '.missing' ELSE '' END AS path
   FROM part)"""
