@@ -17,15 +17,23 @@ def today() -> date:
     return datetime.now(timezone.utc).date()
 
 
-def snapshot_glob(
-    root: str, region: str = "*", day: date | str | None = None, account: str = "*"
-) -> str:
-    """Folder pattern of the delivery layout; month and day carry no leading zero."""
+Day = date | str | list[date | str] | None
+
+
+def snapshot_glob(root: str, region: str = "*", day: Day = None, account: str = "*") -> str:
+    """Folder pattern of the delivery layout; month and day carry no leading zero.
+
+    With a day, or a list of days, only their folders are listed.
+    """
     if day is None:
         dated = "*/*/*"
     else:
-        day = date.fromisoformat(day) if isinstance(day, str) else day
-        dated = f"{day.year}/{day.month}/{day.day}"
+        days = [
+            date.fromisoformat(d) if isinstance(d, str) else d
+            for d in (day if isinstance(day, list) else [day])
+        ]
+        dated = ",".join(f"{d.year}/{d.month}/{d.day}" for d in days)
+        dated = dated if len(days) == 1 else f"{{{dated}}}"
     return f"{root.rstrip('/')}/AWSLogs/{account}/Config/{region}/{dated}/ConfigSnapshot"
 
 
@@ -50,7 +58,7 @@ def read_snapshots(
     spark: SparkSession,
     root: str,
     region: str = "*",
-    day: date | str | None = None,
+    day: Day = None,
     account: str = "*",
     skip_broken: bool = False,
 ) -> DataFrame:
@@ -64,11 +72,15 @@ def read_snapshots(
 
 
 def stream_snapshots(
-    spark: SparkSession, root: str, region: str = "*", files_per_batch: int = 25
+    spark: SparkSession, root: str, region: str = "*", files_per_batch: int = 25, day: Day = None
 ) -> DataFrame:
-    """The same rows as a stream that takes a bounded number of files per batch."""
+    """The same rows as a stream that takes a bounded number of files per batch.
+
+    Each trigger lists the folders again. A job started for some days, such as today and
+    yesterday, lists only theirs, however long the history is.
+    """
     reader = _options(spark.readStream, skip_broken=True).option("maxFilesPerTrigger", files_per_batch)
-    return _with_source(reader.json(snapshot_glob(root, region)))
+    return _with_source(reader.json(snapshot_glob(root, region, day)))
 
 
 def quarantine(snapshots: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from cloudinv.plans.store import InventoryStore
-from cloudinv.sources.snapshots import stream_snapshots
+from cloudinv.sources.snapshots import Day, stream_snapshots
 
 
 def stream_ingest(
@@ -18,6 +18,7 @@ def stream_ingest(
     files_per_batch: int = 25,
     interval: str | None = "60 seconds",
     ingest_ts: datetime | None = None,
+    day: Day = None,
 ) -> StreamingQuery:
     """Start landing new snapshot files in batches.
 
@@ -32,7 +33,7 @@ def stream_ingest(
 
     trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
     return (
-        stream_snapshots(spark, source, region, files_per_batch)
+        stream_snapshots(spark, source, region, files_per_batch, day)
         .writeStream.foreachBatch(land)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)

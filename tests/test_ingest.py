@@ -200,6 +200,17 @@ def test_replayed_batch_replaces_itself(spark, root, tmp_path):
     assert store.operational().count() == 5 and store.ingest_log().count() == 1
 
 
+def test_days_and_account_limit_what_is_listed(spark, tmp_path):
+    root = str(tmp_path / "days")
+    for n in (1, 2, 3):
+        deliver(root, f"d{n}.json.gz", [item(ARN=f"arn:{n}")], day=f"2026/4/{n}")
+    deliver(root, "other.json.gz", [item(ARN="arn:9")], day="2026/4/1", account="000000000099")
+    read = lambda **only: sorted(r["arn"] for r in rows(spark, root, **only).collect())
+    assert read(day=["2026-04-01", "2026-04-03"]) == ["arn:1", "arn:3", "arn:9"]
+    assert read(day="2026-04-01", account="000000000012") == ["arn:1"]
+    assert read(account="000000000099") == ["arn:9"]
+
+
 def test_batch_without_log_entry_is_not_read(spark, root, tmp_path):
     """A batch whose writing was cut off before the log entry does not count."""
     store = InventoryStore(spark, str(tmp_path / "store"))
