@@ -1,5 +1,8 @@
 """Checks of generated SQL and reports over job documents."""
 
+import re
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +53,12 @@ def validate_sql(statements: DataFrame, sql: str = "sql") -> DataFrame:
 def run_readonly(spark: SparkSession, sql: str, limit: int = ROW_LIMIT) -> DataFrame:
     """Run an accepted SELECT, with at most ``limit`` rows of result.
 
-    Double quotes name columns, as in standard SQL.
+    Double quotes name columns, as in standard SQL. Ascending order puts NULLs first here and
+    last in other engines, which decides what a limit keeps; a text that orders without saying
+    NULLS FIRST or LAST gives a warning.
     """
+    if re.search(r"(?i)\border\s+by\b", sql) and not re.search(r"(?i)\bnulls\s+(first|last)\b", sql):
+        warnings.warn("ORDER BY without NULLS FIRST or LAST", stacklevel=2)
     verdict = spark.range(1).select(sql_verdict(F.lit(sql)).alias("v")).first()["v"]
     if verdict != "ok":
         raise ValueError(f"statement refused: {verdict}")

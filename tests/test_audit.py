@@ -38,6 +38,15 @@ def test_run_readonly(spark):
             audit.run_readonly(spark, sql)
 
 
+def test_order_of_nulls_is_reported(spark):
+    spark.sql("SELECT * FROM VALUES (1), (NULL) AS t(x)").createOrReplaceTempView("some")
+    with pytest.warns(UserWarning, match="NULLS"):
+        first = audit.run_readonly(spark, "SELECT x FROM some ORDER BY x", 1)
+    assert first.collect()[0][0] is None
+    said = audit.run_readonly(spark, "SELECT x FROM some ORDER BY x NULLS LAST", 1)
+    assert said.collect()[0][0] == 1
+
+
 def jobs(spark):
     def doc(job, status, ms, error=None):
         stages = {s: {"status": "done", "ms": m} for s, m in ms.items()}
