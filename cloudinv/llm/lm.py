@@ -39,7 +39,7 @@ PROBES = 4
 #: Most words whose exact counts and history weights are broadcast.
 FREQUENT = 1 << 18
 #: Tokens of one packed array, and of one part of the counting.
-BLOCK, PART = 1 << 20, 2_000_000
+BLOCK, PART = 1 << 19, 1_000_000
 #: A word is dealt apart if it makes over this share of a sample of documents.
 HOT_SHARE, HOT_SAMPLE = 1 / 1000, 2000
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
@@ -63,7 +63,7 @@ S_KEY, K_KEY = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
 class _Hashes(dict):
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 300_000):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
@@ -155,30 +155,31 @@ def count_grams(train: DataFrame, parts: int, hot: list[int]) -> DataFrame:
                     ["part", "h", "w", "n"],
                 )
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[], [], []]
-        for batch in batches:
-            for got, column, kind in zip(held, batch.columns[1:], ("u8", "u4", "u4")):
-                got.extend(np.frombuffer(b, kind) for b in column.to_pylist())
-        if not held[0]:
-            return
+    def merged(held) -> Iterator[pa.RecordBatch]:
         h, w, n = (np.concatenate(x) for x in held)
-        held.clear()
-        h, w, n = _summed(h, w.astype(np.uint64), n)
+        h, w, n = _summed(h, w.astype(np.uint64), n.astype(np.int64))
         order = np.argsort(h, kind="stable")
         h, w, n = h[order], w[order], n[order]
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        totals = np.add.reduceat(n, first)
+        yield _rows(h[first], None, np.add.reduceat(n, first))
         again = n > 1
-        for a in range(0, max(len(first), 1), BLOCK):
-            own = first[a : a + BLOCK]
-            yield _rows(h[own], None, totals[a : a + BLOCK])
-        h, w, n = h[again], w[again], n[again]
-        for a in range(0, len(h), BLOCK):
-            yield _rows(h[a : a + BLOCK], w[a : a + BLOCK], n[a : a + BLOCK])
+        yield _rows(h[again], w[again], n[again])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, part = ([], [], []), None
+        for batch in batches:
+            for own, *arrays in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != part and part is not None:
+                    yield from merged(held)
+                    held = ([], [], [])
+                part = own
+                for got, array, kind in zip(held, arrays, ("u8", "u4", "u4")):
+                    got.append(np.frombuffer(array, kind))
+        if part is not None:
+            yield from merged(held)
 
     packed = train.select("text").mapInArrow(pack, "part long, h binary, w binary, n binary")
-    return packed.repartition(parts, "part").mapInArrow(add, "h long, w long, n long")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(add, "h long, w long, n long")
 
 
 def _rows(h, w, n) -> pa.RecordBatch:
