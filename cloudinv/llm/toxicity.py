@@ -1,5 +1,6 @@
 """Toxicity of documents by a factorization machine over hashed terms."""
 
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -15,7 +16,7 @@ from cloudinv.llm.common import held_out, read, texts, words
 from cloudinv.llm.labelled import FOLDS, HELD, training_rows
 
 BUCKETS = 1 << 20
-PER_CLASS = 6000
+PER_CLASS = 4000
 MOST = 2048
 MARKS = b".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 THRESHOLD = 0.5
@@ -65,28 +66,33 @@ class _Positions(dict):
         return found
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int = 12, batch: int = 128,
+def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int = 12, steps: int = 600, batch: int = 128,
         most: int = MOST, deviates: float = 4.0, rate: float = 0.02, shrink: float = 0.02) -> Model:
     """Mini-batch Adam on the logistic loss.
 
     Terms take part if their share of documents differs between the classes by over ``deviates``
     standard errors, at most the ``most`` that differ most, so that long clean documents gather
-    no noise. Classes weigh the same. With one class only, or none, the model is its share (a
-    half without rows).
+    no noise. Classes weigh the same. With one class only, no rows, or no such term, the model is
+    the share of the class (a half without rows).
     """
     rng = np.random.default_rng(0)
     positive = int(labels.sum())
+    share, nothing = (positive + 1) / (len(labels) + 2), np.zeros(0)
+    plain = Model(float(np.log(share / (1 - share))), nothing.astype(np.int64), nothing, np.zeros((0, rank)))
     if not positive or positive == len(labels):
-        share = (positive + 1) / (len(labels) + 2)
-        nothing = np.zeros(0)
-        return Model(float(np.log(share / (1 - share))), nothing.astype(np.int64), nothing, np.zeros((0, rank)))
-    ids, at = np.unique(np.concatenate(rows), return_inverse=True)
-    docs = np.bincount(at, minlength=len(ids))
-    toxic = np.bincount(at, np.repeat(labels, [len(r) for r in rows]), len(ids))
+        return plain
+    docs, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for r, y in zip(rows, labels):
+        docs[r] += 1
+        toxic[r] += y
+    ids = np.flatnonzero(docs)
+    docs, toxic = docs[ids], toxic[ids]
     share, rest = docs / len(labels), len(labels) - positive
     error = np.sqrt(share * (1 - share) * (1 / positive + 1 / rest)) + 1e-9
     z = np.abs(toxic / positive - (docs - toxic) / rest) / error
     ids = np.sort(ids[np.argsort(-z, kind="stable")[:most]][: int((z > deviates).sum())])
+    if not len(ids):
+        return plain
     cols = [np.searchsorted(ids, r[np.isin(r, ids, assume_unique=True)]) for r in rows]
     n = len(ids)
     bias, w, v = 0.0, np.zeros(n), rng.normal(0, 0.01, (n, rank))
@@ -94,7 +100,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int =
     b1 = b2 = 0.0
     weight = np.where(labels == 1, len(labels) / (2 * positive), len(labels) / (2 * (len(labels) - positive)))
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, math.ceil(steps * batch / len(rows)))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
@@ -136,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
     flat = found.column("terms").combine_chunks()
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    values, ends = flat.values.to_numpy().astype(np.int64), flat.offsets.to_numpy()
+    values, ends = flat.values.to_numpy(), flat.offsets.to_numpy()
     y = found.column("label").to_numpy()
     return fit([values[ends[i] : ends[i + 1]] for i in order], y[order])
 

@@ -14,6 +14,7 @@ from cloudinv.llm.line_dedup import line_dedup
 from cloudinv.llm.packing import pack_documents
 from cloudinv.llm.simhash import near_dedup
 from cloudinv.llm.toxicity import drop_toxic
+from cloudinv.session import configure
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +43,17 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
+def _configured(stage):
+    """The stage in a session with the settings that bound its tasks' memory."""
+    return lambda spark, docs, sf_dir: stage(configure(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("toxicity", toxicity),
-    ("line_dedup", lines),
-    ("simhash_near_dedup", near_duplicates),
-    ("decontamination", decontamination),
-    ("best_fit_packing", packing),
+    ("toxicity", _configured(toxicity)),
+    ("line_dedup", _configured(lines)),
+    ("simhash_near_dedup", _configured(near_duplicates)),
+    ("decontamination", _configured(decontamination)),
+    ("best_fit_packing", _configured(packing)),
 ]
 
 #: The scores of the first stage are learned, so no SQL gives these rows.
