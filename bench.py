@@ -13,6 +13,7 @@ import sys
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from cloudinv import schema as S
 from cloudinv.demo import files, items
@@ -35,6 +36,7 @@ CATALOGUE = {
     "functions_by_runtime": catalog.functions_by_runtime,
     "engines_by_version": catalog.engines_by_version,
     "instance_volume_join": catalog.instance_volumes,
+    "instance_volume_join_all": lambda live: catalog.instance_volumes(live, limit=None),
     "function_role_join": catalog.function_roles,
     "volume_key_join": catalog.volume_keys,
     "subnet_occupancy_join": catalog.top_subnets,
@@ -43,6 +45,7 @@ CATALOGUE = {
     "empty_subnets": catalog.empty_subnets,
     "roles_trusting": lambda live: catalog.roles_trusting(live, "ec2.amazonaws.com"),
     "edge_counts": relations.edge_counts,
+    "resolve_edges": relations.resolve_edges,
     "overview": stats.overview,
     "by_account": stats.by_account,
     "by_region": stats.by_region,
@@ -110,6 +113,18 @@ def main() -> None:
 
         nightly()
         took["nightly_version"] = _timed(nightly)
+
+        base = tables.read_operational(spark, path + "-v1")
+        landed = base.where("account_id = '000000000003'").withColumn(
+            "last_seen_at", F.lit(items.AS_OF).cast("timestamp")
+        )
+
+        def one_account():
+            _, rows = maintenance.nightly_changes(base, landed, items.AS_OF)
+            tables.write_version(rows, path + "-v2")
+
+        one_account()
+        took["nightly_one_account"] = _timed(one_account)
         for name, question in CATALOGUE.items():
             took[name] = _run(lambda q=question: q(shaping.live(stored, items.AS_OF)))
 
