@@ -9,10 +9,12 @@ anchors, about one in 27, take part:
 3. The suffixes at the others, with all strings that they are the anchor of, are range-partitioned by
    their leading bytes: the splitters come from a bounded sample. A bucket sorts its suffixes by
    multikey quicksort, eight bytes at a time, and marks the strings that occur earlier.
-4. Seeds that are very frequent in the sample would make one bucket grow with the corpus. Their
-   strings are dealt by a 128-bit hash of the string instead. A task sends on only its first holder
-   of each string; the buckets compare these first holders, which stands for the comparison across
-   buckets' borders.
+4. A seed found more than DENSE times would make a bucket grow with the corpus. Its strings are dealt
+   by a 128-bit hash of the string instead. A task sends on only its first holder of each string; the
+   buckets compare these first holders, which stands for the comparison across buckets' borders.
+
+Seeds found in a share of a bounded sample of documents are known to be repeated, and are not counted
+in step 2, so that no part there gathers a seed that a third of all documents share.
 """
 
 import math
@@ -30,11 +32,18 @@ from cloudinv.llm.lm import build_filter, levels, mix
 
 LENGTH, SEED = 100, 48
 #: Bytes of text that a task works on at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 #: Documents of the sample, and in how many of them a frequent seed is found.
 SAMPLE, FREQUENT = 2000, 10
-#: Anchors of one part in step 2, bytes of one bucket in step 3, segments of the document filter.
-PART, BUCKET, SEGMENTS = 1_000_000, 1 << 23, 128
+#: Places of a seed up to which they meet in one bucket.
+DENSE = 20_000
+#: Strings of a bucket that are compared at a time.
+STRINGS = 1 << 17
+#: Buckets for strings of dense seeds, for each range of leading bytes.
+SPREAD = 16
+#: Anchors of one part in step 2, bytes of one bucket in step 3, most ranges of leading bytes, and
+#: segments of the document filter.
+PART, BUCKET, RANGES, SEGMENTS = 1_000_000, 1 << 21, 4096, 128
 NONE = -(2**63)
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -116,11 +125,11 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names.split())
 
 
-def prepared(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """doc, sub, text, copy, n_same of each row; how many bytes and rows there are.
+def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """(doc, row, text) of each row, the few rows that need special care, how many bytes and rows.
 
-    ``sub`` tells texts with one doc_id apart, 0 nearly always; ``copy``: another row comes first with
-    the same text; ``n_same``: rows alike in id and text.
+    Special rows: ``copy``, another doc has the same text and comes first; ``sub``, the place of the
+    text among several under one doc; ``same``, how many rows are alike in both.
     """
     base = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")
@@ -139,43 +148,56 @@ def prepared(docs: DataFrame) -> tuple[DataFrame, int, int]:
         copies.select("doc", "row", "copy", F.lit(None).cast("int").alias("sub"), F.lit(None).cast("long").alias("same"))
         .union(subs.select("doc", "row", F.lit(None), "sub", F.lit(None)))
         .union(rows.where("same > 1").select("doc", "row", F.lit(None), F.lit(None), "same"))
-        .groupBy("doc", "row").agg(F.max("copy").alias("copy"), F.max("sub").alias("sub"), F.max("same").alias("same"))
-    )
-    total, n = rows.agg(F.coalesce(F.sum(F.col("n") * F.col("same")), F.lit(0)), F.coalesce(F.sum("same"), F.lit(0))).first()
-    joined = base.join(stored(special, "special"), ["doc", "row"], "left").select(
-        "doc", F.coalesce("sub", F.lit(0)).alias("sub"), "text", F.coalesce("copy", F.lit(False)).alias("copy"),
-        F.coalesce("same", F.lit(1)).alias("n_same"),
+        .groupBy("doc", "row").agg(F.coalesce(F.max("copy"), F.lit(False)).alias("copy"),
+                                   F.coalesce(F.max("sub"), F.lit(0)).alias("sub"),
+                                   F.coalesce(F.max("same"), F.lit(1)).alias("same"))
     )
-    return joined, total, n
+    total, n = rows.agg(F.coalesce(F.sum(F.col("n") * F.col("same")), F.lit(0)), F.coalesce(F.sum("same"), F.lit(0))).first()
+    return base, stored(special, "special"), total, n
+
+
+def first_holders(base: DataFrame, special: DataFrame) -> DataFrame:
+    """(doc, sub, text) of the rows that hold a text first."""
+    near, others = with_lists(base, special, ["doc", "row"])
+    found = near.where("copy IS NULL OR NOT copy")
+    once = found.where("same IS NULL OR same = 1")
+    alike = found.where("same > 1").dropDuplicates(["doc", "row"])
+    columns = ["doc", F.coalesce("sub", F.lit(0)).alias("sub"), "text"]
+    return once.select(*columns).union(alike.select(*columns)).union(others.select("doc", F.lit(0), "text"))
 
 
-def sampled(firsts: DataFrame, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of seeds found in FREQUENT documents of a bounded sample, and sorted splitting seeds."""
+def sampled(base: DataFrame, special: DataFrame, n: int, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bounded sample: hashes of seeds found in FREQUENT documents, those of them that must be
+    found over DENSE / 2 times in all, and sorted splitting seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, pieces in chunks(_keyed(batch)):
                 found, piece, anchor, _, _ = runs(data, pieces)
                 seen = np.unique(np.stack([found.seed[anchor], piece.astype(np.uint64)], axis=1), axis=0)[:, 0]
-                seed, first, count = np.unique(seen, return_index=True, return_counts=True)
+                seed, count = np.unique(seen, return_counts=True)
                 place = dict(zip(found.seed[anchor].tolist(), anchor.tolist()))
                 lead = [data[place[s] : place[s] + SEED] for s in seed.tolist()]
                 yield _batch("seed lead n", seed.view(np.int64), pa.array(lead, pa.binary()), count)
 
     share = min(1.0, SAMPLE / max(1, n))
-    got = firsts.select("doc", "sub", "text").sample(share, 7).mapInArrow(run, "seed long, lead binary, n long")
+    got = first_holders(base.sample(share, 7), special).mapInArrow(run, "seed long, lead binary, n long")
     got = stored(got.groupBy("seed").agg(F.first("lead").alias("lead"), F.sum("n").alias("n")), "sample")
-    often = [r[0] for r in got.where(f"n >= {FREQUENT}").select("seed").collect()]
-    few = min(1.0, 64 * buckets / max(1, got.count()))
-    leads = sorted(bytes(r[0]) for r in got.where(f"n < {FREQUENT}").select("lead").sample(few, 7).collect())
-    cuts = [leads[len(leads) * i // buckets] for i in range(1, buckets)] if leads else []
-    return np.sort(np.array(often, np.int64).view(np.uint64)), np.unique(np.array(cuts, f"S{SEED}"))
+    often = {s: c for s, c in got.where(f"n >= {FREQUENT}").select("seed", "n").collect()}
+    heavy = [s for s, c in often.items() if c / share > DENSE / 2]
+    few = min(1.0, 64 * ranges / max(1, got.count()))
+    picked = got.where(F.col("n") <= share * DENSE / 2).select("lead", "n").sample(few, 7).collect()
+    leads = sorted(bytes(r["lead"]) for r in picked for _ in range(r["n"]))
+    cuts = [leads[len(leads) * i // ranges] for i in range(1, ranges)] if leads else []
+    hashes = [np.sort(np.array(list(x), np.int64).view(np.uint64)) for x in (often, heavy)]
+    return *hashes, np.unique(np.array(cuts, f"S{SEED}"))
 
 
 def repeated_anchors(firsts: DataFrame, total: int, often: np.ndarray) -> DataFrame:
     """(doc, sub, places): where the anchors stand whose seed is found more than once.
 
-    A document with frequent seeds, which need no count, has the place -1 as well.
+    The place p of a seed found over DENSE times is given as -2 - p. A document with frequent seeds,
+    which need no count, has the place -1 as well.
     """
     parts = max(8, math.ceil(total / 27 / PART))
 
@@ -212,9 +234,12 @@ def repeated_anchors(firsts: DataFrame, total: int, often: np.ndarray) -> DataFr
     def again(held) -> pa.RecordBatch:
         seed, doc, sub, at = (np.concatenate(x) for x in held)
         order = np.argsort(seed, kind="stable")
-        same = np.zeros(len(seed) + 1, bool)
-        same[1:-1] = seed[order][1:] == seed[order][:-1]
-        keep = order[(same[:-1] | same[1:] | (at[order] < 0))]
+        seed, doc, sub, at = seed[order], doc[order], sub[order], at[order]
+        edge = np.flatnonzero(np.concatenate(([True], seed[1:] != seed[:-1])))
+        times = np.diff(np.append(edge, len(seed)))
+        times = np.repeat(times, times)
+        at = np.where((times > DENSE) & (at >= 0), -2 - at, at).astype(np.int32)
+        keep = (times > 1) | (at == -1)
         return _batch("doc sub at", doc[keep], sub[keep], at[keep])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,45 +262,49 @@ def repeated_anchors(firsts: DataFrame, total: int, often: np.ndarray) -> DataFr
     return counted.groupBy("doc", "sub").agg(F.collect_list("at").alias("places"))
 
 
-def with_lists(docs: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` that have a row in ``lists``, joined with it, and other ``docs``.
+def with_lists(docs: DataFrame, lists: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``docs`` that have a row in ``lists``, left joined with it by one or two keys, and other ``docs``.
 
-    A Bloom filter of fixed size, made of the ids in ``lists``, keeps most of the others out of the
-    shuffle. Ids that only seem to be in it come back from the join without a list.
+    A Bloom filter of fixed size, made of the keys in ``lists``, keeps most of the others out of the
+    shuffle. Rows that only seem to be in it come back from the join without a list.
     """
+
     def keyed(batches):
         for batch in batches:
-            doc, sub = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            yield _batch("key level", _doc_key(doc, sub).view(np.int64), np.ones(len(doc), np.int64))
+            found = _doc_key(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            yield _batch("key level", found.view(np.int64), np.ones(len(found), np.int64))
 
-    bits = build_filter(lists.select("doc", "sub").mapInArrow(keyed, "key long, level long"), SEGMENTS)
+    two = [F.col(k).cast("long").alias(n) for k, n in zip((keys[0], keys[-1]), ("one", "other"))]
+    bits = build_filter(lists.select(*two).mapInArrow(keyed, "key long, level long"), SEGMENTS)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
-    def maybe(doc: pd.Series, sub: pd.Series) -> pd.Series:
-        return pd.Series(levels(shared.value, _doc_key(doc.to_numpy(), sub.to_numpy())) > 0)
+    def maybe(one: pd.Series, other: pd.Series) -> pd.Series:
+        return pd.Series(levels(shared.value, _doc_key(one.to_numpy(), other.to_numpy())) > 0)
 
-    marked = docs.withColumn("__maybe", maybe("doc", "sub"))
-    near = marked.where("__maybe").drop("__maybe").join(lists, ["doc", "sub"], "left")
+    marked = docs.withColumn("__maybe", maybe(*two))
+    near = marked.where("__maybe").drop("__maybe").join(lists, keys, "left")
     return near, marked.where("NOT __maybe").drop("__maybe")
 
 
-def _doc_key(doc: np.ndarray, sub: np.ndarray) -> np.ndarray:
-    return mix(doc.astype(np.int64).view(np.uint64) * _A + sub.astype(np.uint64))
+def _doc_key(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return mix(one.astype(np.int64).view(np.uint64) * _A + other.astype(np.int64).view(np.uint64))
 
 
 ROW = "bucket long, seed long, other long, doc long, sub int, start long, stop long, string binary"
 NAMES = "bucket seed other doc sub start stop string"
 
 
-def send_suffixes(near: DataFrame, often: np.ndarray, splitters: np.ndarray) -> DataFrame:
+def send_suffixes(
+    near: DataFrame, often: np.ndarray, heavy: np.ndarray, splitters: np.ndarray, parts: int
+) -> DataFrame:
     """Suffixes with their strings for the buckets; see ROW.
 
     With ``string``: the bytes from ``start`` to ``stop`` of a document, whose strings have one anchor.
     Without: one string of a frequent seed, its hash in seed and other. With a null seed: a stretch
     from ``start`` to ``stop`` that is settled already.
     """
-    buckets = len(splitters) + 1
+    buckets = (len(splitters) + 1) * parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,19 +315,22 @@ def send_suffixes(near: DataFrame, often: np.ndarray, splitters: np.ndarray) ->
                     continue
                 shift = np.array([p[1] - p[2] for p in pieces])
                 keys = np.array([p[0] for p in pieces], np.int64)
-                hot = np.isin(found.seed[anchor], often)
-                wanted = np.zeros(len(piece), bool)
+                seed = found.seed[anchor]
+                wanted, hot = np.isin(seed, often), np.isin(seed, heavy)
                 edges = np.searchsorted(piece, np.arange(len(pieces) + 1))
                 for i, p in enumerate(pieces):
                     a, b = edges[i], edges[i + 1]
-                    wanted[a:b] = np.isin(anchor[a:b] + shift[i], listed[p[0]])
+                    places = anchor[a:b] + shift[i]
+                    wanted[a:b] |= np.isin(places, listed[p[0]])
+                    hot[a:b] |= np.isin(-2 - places, listed[p[0]])
                 own = np.flatnonzero(wanted & ~hot)
                 leads = np.array([data[a : a + SEED] for a in anchor[own].tolist()], f"S{SEED}")
-                to = np.searchsorted(splitters, leads, side="right")
+                to = np.searchsorted(splitters, leads, side="right").astype(np.int64) * parts
+                to += ((seed[own] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
                 strings = [data[a : b + LENGTH] for a, b in zip(first[own].tolist(), last[own].tolist())]
                 doc, sub, by = keys[piece[own], 0], keys[piece[own], 1].astype(np.int32), shift[piece[own]]
                 yield _batch(
-                    NAMES, to.astype(np.int64), found.seed[anchor[own]].view(np.int64), (anchor - first)[own], doc, sub,
+                    NAMES, to, seed[own].view(np.int64), (anchor - first)[own], doc, sub,
                     first[own] + by, last[own] + by + LENGTH, pa.array(strings, pa.binary()),
                 )
                 yield from frequent(found, keys, shift, piece[hot], first[hot], last[hot])
@@ -315,12 +347,12 @@ def send_suffixes(near: DataFrame, often: np.ndarray, splitters: np.ndarray) ->
         again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
         f, empty = ~again, pa.nulls(int((~again).sum()), pa.binary())
         yield _batch(
-            NAMES, buckets + ((one[f] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), one[f].view(np.int64),
+            NAMES, buckets + ((one[f] >> np.uint64(32)) % np.uint64(SPREAD * buckets)).astype(np.int64), one[f].view(np.int64),
             two[f].view(np.int64), doc[f], sub[f], start[f], start[f] + LENGTH, empty,
         )
         doc, sub, begin, end = stretches(doc[again], sub[again], start[again])
         yield _batch(
-            NAMES, 2 * buckets + ((mix(doc.view(np.uint64)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64),
+            NAMES, -1 - ((mix(doc.view(np.uint64)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64),
             pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int64()), doc, sub, begin, end, pa.nulls(len(doc), pa.binary()),
         )
 
@@ -360,25 +392,44 @@ def equal_strings(data: bytes, at: np.ndarray, length: int) -> np.ndarray:
     return group
 
 
-def repeated_in_bucket(doc, sub, start, anchor, strings: list[bytes]):
-    """Stretches of ``strings`` whose LENGTH bytes occur earlier in the bucket."""
+def repeated_in_bucket(doc, sub, start, anchor, strings: list[bytes]) -> Iterator[tuple]:
+    """Stretches of ``strings`` whose LENGTH bytes occur earlier in the bucket.
+
+    Suffixes with one seed are looked at together, about STRINGS strings at a time.
+    """
     order = np.lexsort((start, sub, doc))
     doc, sub, start, anchor = doc[order], sub[order], start[order], anchor[order]
     strings = [strings[i] for i in order.tolist()]
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    data, begin = b"".join(strings), np.cumsum(sizes) - sizes
-    seed = equal_strings(data, begin + anchor, SEED)
-    n = sizes - LENGTH + 1
+    seed = equal_strings(b"".join(strings), np.cumsum(sizes) - sizes + anchor, SEED)
+    # Of one seed, suffixes stay in the order of their documents.
+    order = np.argsort(seed, kind="stable")
+    edge = np.flatnonzero(np.concatenate(([True], seed[order][1:] != seed[order][:-1])))
+    upto = np.append(np.cumsum(sizes[order] - LENGTH + 1)[edge[1:] - 1], (sizes - LENGTH + 1).sum())
+    ends, at, done = np.append(edge[1:], len(order)), 0, 0
+    while at < len(edge):
+        last = max(at, int(np.searchsorted(upto, done + STRINGS, side="right")) - 1)
+        own = order[edge[at] : ends[last]]
+        at, done = last + 1, upto[last]
+        if len(own) > 1:
+            yield _later(doc[own], sub[own], start[own], seed[own], [strings[i] for i in own.tolist()])
+
+
+def _later(doc, sub, start, seed, strings: list[bytes]) -> tuple:
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    data, begin, n = b"".join(strings), np.cumsum(sizes) - sizes, sizes - LENGTH + 1
     which = np.repeat(np.arange(len(n)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[which]
-    # Strings are in the order of their documents, so the first of a class is the earliest.
-    label = _join(Hashes(data).strings(at), seed[which].astype(np.uint64))
+    label = np.zeros(len(at), np.uint64)
+    for a in range(0, len(data), CHUNK):
+        x, y = np.searchsorted(at, (a, a + CHUNK))
+        label[x:y] = Hashes(data[a : a + CHUNK + LENGTH]).strings(at[x:y] - a)
+    label = _join(label, seed[which].astype(np.uint64))
+    # Of one seed, strings are in the order of their documents, so the first of a class is the earliest.
     by = np.argsort(label, kind="stable")
-    edge = np.concatenate(([True], label[by][1:] != label[by][:-1])) if len(by) else np.zeros(0, bool)
-    head = by[np.flatnonzero(edge)[np.cumsum(edge) - 1]] if len(by) else by
+    edge = np.concatenate(([True], label[by][1:] != label[by][:-1]))
+    head, later = by[np.flatnonzero(edge)[np.cumsum(edge) - 1]][~edge], by[~edge]
     words = np.ndarray((len(data),), "<u8", data + bytes(8), strides=(1,))
-    later = by[~edge]
-    head = head[~edge]
     for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
         if (words[at[later] + k] != words[at[head] + k]).any():
             # Two strings share a hash: sort all of them whole.
@@ -401,8 +452,9 @@ def settle(sent: DataFrame) -> DataFrame:
         whole = rest.filter(pa.compute.is_valid(rest.column("string")))
         single = rest.filter(pa.compute.is_null(rest.column("string")))
         if whole.num_rows:
-            yield _batch("doc sub start stop", *repeated_in_bucket(
-                *[col(whole, c) for c in ("doc", "sub", "start", "other")], whole.column("string").to_pylist()))
+            own = [col(whole, c) for c in ("doc", "sub", "start", "other")]
+            for found in repeated_in_bucket(*own, whole.column("string").to_pylist()):
+                yield _batch("doc sub start stop", *found)
         if single.num_rows:
             one, two, doc, sub, start = (col(single, c) for c in ("seed", "other", "doc", "sub", "start"))
             order = np.lexsort((start, sub, doc, two, one))
@@ -439,39 +491,43 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     of different texts under one doc_id one has an arbitrary but fixed place before the other; of
     rows alike in id and text all but one are repeats. Texts shorter than LENGTH stay.
     """
-    base, total, n = prepared(docs)
-    firsts, alike = base.where("NOT copy"), not base.where("n_same > 1").select("doc").isEmpty()
-    if alike:
-        firsts = firsts.where("n_same = 1").union(firsts.where("n_same > 1").dropDuplicates(["doc", "sub"]))
-    buckets = max(4, math.ceil(total / BUCKET))
-    often, splitters = sampled(firsts, n, buckets)
-    near, _ = with_lists(firsts, stored(repeated_anchors(firsts, total, often), "anchors"))
-    found = settle(send_suffixes(near, often, splitters))
-    spans = stored(
-        found.groupBy("doc", "sub").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")), "spans"
-    )
-    cut, whole = with_lists(base, spans)
-    nothing = F.lit(None).cast("array<struct<start:bigint,stop:bigint>>")
-    rows = cut.unionByName(whole.withColumn("spans", nothing))
-    if alike:
-        first = F.row_number().over(Window.partitionBy("doc", "sub").orderBy(F.lit(1))) == 1
-        repeats = rows.where("n_same > 1").withColumn("copy", F.col("copy") | ~first)
-        rows = rows.where("n_same = 1").unionByName(repeats)
+    base, special, total, n = prepared(docs)
+    ranges = max(4, min(RANGES, math.ceil(total / BUCKET)))
+    often, heavy, splitters = sampled(base, special, n, ranges)
+    firsts = first_holders(base, special)
+    near, _ = with_lists(firsts, stored(repeated_anchors(firsts, total, often), "anchors"), ["doc", "sub"])
+    parts = max(1, math.ceil(total / BUCKET / ranges))
+    found = stored(settle(send_suffixes(near, often, heavy, splitters, parts)), "stretches")
+
+    # All that is known of the texts under one doc_id, nearly always one.
+    care = special.select("doc", F.struct("row", "copy", "sub", "same").alias("care"), F.lit(None).alias("span"))
+    known = care.union(found.select("doc", F.lit(None), F.struct("sub", "start", "stop")))
+    known = stored(known.groupBy("doc").agg(F.collect_list("care").alias("care"), F.collect_list("span").alias("spans")), "known")
+    cut, whole = with_lists(base, known, ["doc"])
+    rows = cut.withColumn("nth", F.lit(1)).unionByName(whole.withColumn("nth", F.lit(1)), allowMissingColumns=True)
+    if not special.where("same > 1").isEmpty():
+        nth = F.row_number().over(Window.partitionBy("doc", "row").orderBy(F.lit(1)))
+        several = F.exists("care", lambda c: (c["row"] == F.col("row")) & (c["same"] > 1))
+        marked = cut.withColumn("several", F.coalesce(several, F.lit(False)))
+        alike = marked.where("several").drop("several").withColumn("nth", nth)
+        rows = rows.join(special.where("same > 1").select("doc", "row"), ["doc", "row"], "left_anti").unionByName(alike)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 own, out = batch.slice(at, 512), []
-                for text, copy, spans in zip(*(own.column(c).to_pylist() for c in ("text", "copy", "spans"))):
+                for text, row, nth, care, spans in zip(*(own.column(c).to_pylist() for c in columns)):
                     data, merged = text.encode(), []
-                    if copy:
-                        spans = [{"start": 0, "stop": len(data)}] if len(data) >= LENGTH else []
-                    for s in spans or ():
-                        if merged and s["start"] <= merged[-1]["stop"]:
-                            merged[-1]["stop"] = max(merged[-1]["stop"], s["stop"])
+                    mine = next((c for c in care or () if c["row"] == row), {"sub": 0, "copy": False})
+                    spans = sorted((s["start"], s["stop"]) for s in spans or () if s["sub"] == mine["sub"])
+                    if mine["copy"] or nth > 1:
+                        spans = [(0, len(data))] if len(data) >= LENGTH else []
+                    for start, stop in spans:
+                        if merged and start <= merged[-1]["stop"]:
+                            merged[-1]["stop"] = max(merged[-1]["stop"], stop)
                         else:
-                            merged.append(dict(s))
+                            merged.append({"start": start, "stop": stop})
                     edges = [0, *(x for s in merged for x in (s["start"], s["stop"])), len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
                     out.append((len(data), len(data) - len(kept), len(merged), merged, kept))
@@ -481,7 +537,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     pa.array(all_spans, kind), pa.array(kept, pa.binary()),
                 )
 
-    done = rows.select("doc", "text", "copy", "spans").mapInArrow(
+    columns = ["text", "row", "nth", "care", "spans"]
+    done = rows.select("doc", *columns).mapInArrow(
         run, "doc long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:bigint,stop:bigint>>, kept binary"
     )
     return done.select(F.when(F.col("doc") != NONE, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "spans", "kept")
