@@ -185,6 +185,7 @@ def render_docs(fields: DataFrame, enrichment: DataFrame) -> DataFrame:
     described = strip(text("description"))
     plain = lambda x: F.concat(F.lit("- "), F.coalesce(x, F.lit("")))
     document = F.concat(
+        # Fixed values from here on: the headings of a rendered document.
         F.lit("# "),
         F.col("resource_type"),
         F.lit("\n\n- **Service**: "),

@@ -22,6 +22,7 @@ _FUNCTIONS = (
 )
 
 
+# The view's name is a fixed value: texts written for it use that name.
 def register_live(spark: SparkSession, live: DataFrame, name: str = "operational_live") -> None:
     """Make live rows a temporary view, and define the JSON functions such SQL uses."""
     live.createOrReplaceTempView(name)

@@ -17,7 +17,7 @@ BUCKET = "AWS::S3::Bucket"
 # The stages a question goes through, in order.
 STAGES = ("embed", "retrieve", "generate", "athena")
 
-# One configuration item as delivered. Payload members are JSON of any shape;
+# The members of a configuration item as delivered. Payload members are JSON of any shape;
 # declaring them as strings makes the reader keep their JSON text.
 ITEM = T.StructType(
     [
@@ -56,6 +56,7 @@ SNAPSHOT = T.StructType(
 
 _TIMES = ("captured_at", "created_at", "last_seen_at")
 
+# The columns of the inventory table, in order.
 OPERATIONAL_COLUMNS = (
     "account_id",
     "arn",
