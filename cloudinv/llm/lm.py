@@ -5,8 +5,10 @@ part of the hash space, and a part is added up by one task. Histories that are v
 bounded sample are dealt by (history, word), so that no part gathers one of them whole.
 
 Filter: a count of c is held as its level, 1 + floor(log_b(c / cut)), by inserting the key once for
-each level up to its own. A reader probes level after level until one is missing. The filter has a
-fixed number of bits. The cut-off is the least one, 2 or more, whose entries fit.
+each level up to its own. A reader probes level after level until one is missing. The cut-off is 2 at
+every size: bigrams found once are left to the share of their words. The number of segments follows the
+entries. Up to SEGMENTS the filter is broadcast; a larger one stays in the shared folder, and segments
+and probes meet in a shuffle, where a block of texts asks for each of its keys once.
 
 Probability of word w after history h, with the kept counts q (rounded down to their level):
 
@@ -19,8 +21,8 @@ up and K rounded down.
 """
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,11 @@ from cloudinv.llm.common import held_out, read, stored, words
 
 FOLDS, HELD = 7, 2
 BASE = math.sqrt(2.0)
-#: Segments of 65,536 bits: 32 MB.
-SEGMENTS = 4096
+#: Bigrams found less often are not kept.
+CUT = 2.0
+#: Segments of 65,536 bits: the least that are made and the most that are broadcast (32 MB), and how
+#: many of them a task holds at a time.
+SEGMENTS, TOGETHER = 4096, 512
 BITS_EACH = 16
 PROBES = 4
 #: Most words whose exact counts and history weights are broadcast.
@@ -204,10 +209,13 @@ def places(keys: np.ndarray, lv) -> list[np.ndarray]:
     return [((x >> np.uint64(16 * i)) & np.uint64(0xFFFF)).astype(np.int64) for i in range(PROBES)]
 
 
-def levels(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The highest level up to which all entries of each key are in the filter."""
+def levels(bits: np.ndarray, keys: np.ndarray, segment: np.ndarray | None = None) -> np.ndarray:
+    """The highest level up to which all entries of each key are in the filter.
+
+    ``segment``: the row of ``bits`` for each key, if ``bits`` is not the whole filter.
+    """
     found, alive, lv = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
-    at = segments(keys, len(bits)) << 13
+    at = (segments(keys, len(bits)) if segment is None else segment) << 13
     flat = bits.reshape(-1)
     while len(alive):
         lv += 1
@@ -219,8 +227,8 @@ def levels(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return found
 
 
-def build_filter(entries: DataFrame, n_segments: int = SEGMENTS) -> np.ndarray:
-    """(n_segments, 8192) bytes from rows of key, level. Each segment is made by one task."""
+def filter_segments(entries: DataFrame, n_segments: int) -> DataFrame:
+    """(segment, bits) from rows of key, level. Each segment is made by one task; empty ones have no row."""
 
     def route(batches):
         for batch in batches:
@@ -253,7 +261,13 @@ def build_filter(entries: DataFrame, n_segments: int = SEGMENTS) -> np.ndarray:
             )
 
     routed = entries.select("key", "level").mapInArrow(route, "segment long, key long, level long")
-    rows = routed.repartition("segment").mapInArrow(fill, "segment long, bits binary").toArrow()
+    tasks = max(8, math.ceil(n_segments / TOGETHER))
+    return routed.repartition(tasks, "segment").mapInArrow(fill, "segment long, bits binary")
+
+
+def build_filter(entries: DataFrame, n_segments: int = SEGMENTS) -> np.ndarray:
+    """(n_segments, 8192) bytes from rows of key, level."""
+    rows = filter_segments(entries, n_segments).toArrow()
     out = np.zeros((n_segments, 8192), np.uint8)
     for s, b in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
         out[s] = np.frombuffer(b, np.uint8)
@@ -262,36 +276,56 @@ def build_filter(entries: DataFrame, n_segments: int = SEGMENTS) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What is broadcast: the filter and at most FREQUENT words, both bounded by parameters."""
+    """What is broadcast: the filter and at most FREQUENT words, both bounded by parameters.
+
+    A filter beyond that bound is in ``dealt`` as rows (segment, bits), and is not broadcast.
+    """
 
     tokens: int
     types: int
     cut: float
-    bits: np.ndarray
+    n_segments: int
+    bits: np.ndarray | None
     words: np.ndarray  # sorted hashes of frequent words, with
     counts: np.ndarray
     weight_s: np.ndarray
     weight_k: np.ndarray
+    dealt: DataFrame | None = None
 
     def log_share(self, count):
         """Of a word counted so often; the types count one more for the unknown."""
         return np.log10((count + 1.0) / (self.tokens + self.types + 1.0))
 
-    def score_block(self, h: np.ndarray, w: np.ndarray):
+    def _frequent(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.searchsorted(self.words, words)
+        place[place == len(self.words)] = 0
+        return place, self.words[place] == words if len(self.words) else np.zeros(len(words), bool)
+
+    def asked(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """All keys whose levels :meth:`score_block` may read, once each."""
+        rare = np.unique(h)
+        rare = rare[~self._frequent(rare)[1]]
+        return np.unique(np.concatenate((mix(rare ^ S_KEY), mix(rare ^ K_KEY), pair_key(h, w >> np.uint64(32)))))
+
+    def score_block(self, h: np.ndarray, w: np.ndarray, read: Callable[[np.ndarray], np.ndarray] | None = None):
         """For each token: its count or -1 if not among the frequent words, the log10 of its
-        probability, and whether the log10 of its share has still to be added to that."""
+        probability, and whether the log10 of its share has still to be added to that.
+
+        ``read`` gives the levels of keys; by default they are read from ``bits``.
+        """
+        read = read or (lambda keys: levels(self.bits, keys))
         both, at = np.unique(np.concatenate((w, h)), return_inverse=True)
-        place = np.searchsorted(self.words, both)
-        place[place == len(self.words)] = 0
-        frequent = self.words[place] == both if len(self.words) else np.zeros(len(both), bool)
+        place, frequent = self._frequent(both)
         count, s, k = np.full(len(both), -1, np.int64), np.zeros(len(both)), np.zeros(len(both))
         count[frequent], s[frequent], k[frequent] = (
             x[place[frequent]] for x in (self.counts, self.weight_s, self.weight_k)
         )
-        rest = np.flatnonzero(~frequent)
-        up = levels(self.bits, mix(both[rest] ^ S_KEY))
+        history = np.zeros(len(both), bool)
+        history[at[len(w) :]] = True
+        rest = np.flatnonzero(~frequent & history)
+        up = read(mix(both[rest] ^ S_KEY))
         rest, up = rest[up > 0], up[up > 0]
-        down = levels(self.bits, mix(both[rest] ^ K_KEY))
+        down = read(mix(both[rest] ^ K_KEY))
         s[rest] = BASE ** (up - 1.0)
         k[rest] = np.where(down > 0, BASE ** np.maximum(down - 1.0, 0), 0)
         k = np.minimum(k, s)
@@ -299,7 +333,7 @@ class Model:
         count, s, k = count[w_at], s[h_at], k[h_at]
         known = s > 0
         lv = np.zeros(len(w), np.int64)
-        lv[known] = levels(self.bits, pair_key(h[known], w[known] >> np.uint64(32)))
+        lv[known] = read(pair_key(h[known], w[known] >> np.uint64(32)))
         q = np.where(lv > 0, np.floor(self.cut * BASE ** (lv - 1.0) + 1e-9), 0)
         q = np.minimum(q, s)
         # A kept bigram's word occurs at least as often as the bigram.
@@ -312,7 +346,10 @@ class Model:
 
 
 def train_model(train: DataFrame, n_segments: int = SEGMENTS, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
-    """The model of ``train.text`` and the exact (w, c) of every token; see the module's text."""
+    """The model of ``train.text`` and the exact (w, c) of every token; see the module's text.
+
+    ``n_segments``: the least number of segments, and the most that are broadcast.
+    """
     hot, about = sampled(train)
     grams = stored(count_grams(train, max(8, math.ceil(about / PART)), hot), "grams")
     counts = grams.where("w IS NULL").groupBy("h").agg(F.sum("n").alias("c"))
@@ -320,24 +357,20 @@ def train_model(train: DataFrame, n_segments: int = SEGMENTS, frequent: int = FR
     tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     pairs = grams.where("w IS NOT NULL")
 
-    cut, capacity = 2.0, n_segments * 65_536 // BITS_EACH
-    while True:
-        kept = pairs.where(F.col("n") >= cut).withColumn("level", level(F.col("n"), cut))
-        q = F.floor(F.lit(cut) * F.pow(F.lit(BASE), F.col("level") - 1) + 1e-9)
-        # A frequent history has rows in several parts; each of its words is in one of them.
-        sums = kept.groupBy("h").agg(F.sum(q).alias("q"), F.count("*").alias("t"), F.sum("level").alias("entries"))
-        histories = stored(
-            sums.join(counts, "h").select(
-                "h", "c", "entries", (F.col("c") + F.col("t")).cast("double").alias("s"),
-                (F.col("c") + F.col("t") - F.col("q")).cast("double").alias("k"),
-            )
-            .withColumn("s_level", level(F.col("s"), up=True)).withColumn("k_level", level(F.col("k"))),
-            "histories",
+    kept = pairs.where(F.col("n") >= CUT).withColumn("level", level(F.col("n"), CUT))
+    q = F.floor(F.lit(CUT) * F.pow(F.lit(BASE), F.col("level") - 1) + 1e-9)
+    # A frequent history has rows in several parts; each of its words is in one of them.
+    sums = kept.groupBy("h").agg(F.sum(q).alias("q"), F.count("*").alias("t"), F.sum("level").alias("entries"))
+    histories = stored(
+        sums.join(counts, "h").select(
+            "h", "c", "entries", (F.col("c") + F.col("t")).cast("double").alias("s"),
+            (F.col("c") + F.col("t") - F.col("q")).cast("double").alias("k"),
         )
-        need = histories.agg(F.sum(F.col("entries") + F.col("s_level") + F.col("k_level"))).first()[0] or 0
-        if need <= capacity:
-            break
-        cut *= 2
+        .withColumn("s_level", level(F.col("s"), up=True)).withColumn("k_level", level(F.col("k"))),
+        "histories",
+    )
+    need = histories.agg(F.sum(F.col("entries") + F.col("s_level") + F.col("k_level"))).first()[0] or 0
+    most, n_segments = n_segments, max(n_segments, math.ceil(need * BITS_EACH / 65_536))
 
     bucket = F.floor(F.log2("c") * 16).cast("int")
     least, total = 1 << 30, 0
@@ -366,8 +399,80 @@ def train_model(train: DataFrame, n_segments: int = SEGMENTS, frequent: int = FR
         .union(rare.select("h", none, "k_level", none + 2))
         .where("level > 0")
     )
-    bits = build_filter(entries.mapInArrow(keyed, "key long, level long"), n_segments)
-    return Model(tokens, types, cut, bits, word, c.astype(np.int64), s, k), counts
+    entries = entries.mapInArrow(keyed, "key long, level long")
+    bits = dealt = None
+    if n_segments > most:
+        dealt = stored(filter_segments(entries, n_segments), "segments")
+    else:
+        bits = build_filter(entries, n_segments)
+    return Model(tokens, types, CUT, n_segments, bits, word, c.astype(np.int64), s, k, dealt), counts
+
+
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """(start, stop) of each run of equal values."""
+    cuts = [*np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))).tolist(), len(x)] if len(x) else []
+    return list(zip(cuts, cuts[1:]))
+
+
+def in_blocks(rows: DataFrame, broadcast, dealt: DataFrame) -> DataFrame:
+    """(block, keys, levels, uid, doc_id, text) of ``rows`` (uid, doc_id, text), in blocks of about
+    BLOCK tokens. Before its texts a block has rows with the levels of all keys that it asks for and
+    that are in the filter ``dealt``. A block asks once, so a key has a row for each block at most.
+    """
+    n = broadcast.value.n_segments
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid = batch.column("uid").to_numpy()
+            for own, *_ in token_blocks([t or "" for t in batch.column("text").to_pylist()]):
+                part = batch.slice(own.start, own.stop - own.start)
+                block = pa.array(np.full(part.num_rows, uid[own.start]))
+                yield pa.RecordBatch.from_arrays([block, *part.columns], ["block", "uid", "doc_id", "text"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = broadcast.value
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            for a, b in _runs(block):
+                for _, h, w, _ in token_blocks([t or "" for t in batch.column("text").slice(a, b - a).to_pylist()]):
+                    keys = model.asked(h, w)
+                    part = segments(keys, n) // TOGETHER
+                    order = np.argsort(part, kind="stable")
+                    keys, part = keys[order], part[order]
+                    edges = _runs(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([part[x] for x, _ in edges], pa.int64()), pa.nulls(len(edges), pa.int64()),
+                            pa.array([block[a]] * len(edges), pa.int64()),
+                            pa.array([keys[x:y].tobytes() for x, y in edges], pa.binary()),
+                        ],
+                        ["part", "segment", "block", "data"],
+                    )
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, number = np.zeros((TOGETHER, 8192), np.uint8), None
+        for batch in batches:
+            for part, segment, block, data in zip(*(batch.column(c) for c in ("part", "segment", "block", "data"))):
+                if part.as_py() != number:
+                    bits[:], number = 0, part.as_py()
+                if segment.is_valid:
+                    bits[segment.as_py() % TOGETHER] = np.frombuffer(data.as_buffer(), np.uint8)
+                    continue
+                keys = np.frombuffer(data.as_buffer(), np.uint64)
+                lv = levels(bits, keys, segments(keys, n) % TOGETHER)
+                found = [[keys[lv > 0].tobytes()], [lv[lv > 0].astype(np.uint8).tobytes()]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block.as_py()]), *[pa.array(x, pa.binary()) for x in found]], ["block", "keys", "levels"]
+                )
+
+    placed = stored(rows.mapInArrow(place, "block long, uid long, doc_id long, text string"), "blocks")
+    none = F.lit(None).cast("long")
+    made = dealt.select(F.floor(F.col("segment") / TOGETHER).alias("part"), "segment", none.alias("block"), F.col("bits").alias("data"))
+    asks = placed.mapInArrow(ask, "part long, segment long, block long, data binary")
+    met = made.union(asks).repartition(math.ceil(n / TOGETHER), "part").sortWithinPartitions("part", F.col("segment").isNull())
+    answers = met.mapInArrow(answer, "block long, keys binary, levels binary")
+    every = answers.unionByName(placed, allowMissingColumns=True)
+    return every.repartition("block").sortWithinPartitions("block", F.col("keys").isNull())
 
 
 def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -377,43 +482,75 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
     doc_id stays null. The exact shares of words that are not broadcast come from a join with
     ``counts``; such words are rare by construction, so none of them makes a hot key.
     """
-    broadcast = docs.sparkSession.sparkContext.broadcast(model)
+    broadcast = docs.sparkSession.sparkContext.broadcast(replace(model, dealt=None))
     names = ["t", "uid", "tf", "tf0", "doc_id", "n", "known", "base", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = broadcast.value
         for batch in batches:
-            rows = [t or "" for t in batch.column("text").to_pylist()]
-            uid, ids = batch.column("uid").to_numpy(), batch.column("doc_id")
-            for own, h, w, doc in token_blocks(rows):
-                count, logs, backed = model.score_block(h, w)
-                size, exact = own.stop - own.start, count >= 0
-                share = np.where(exact, model.log_share(np.maximum(count, 0)), 0)
-                sums = [np.bincount(doc, x, size) for x in (np.ones(len(w)), exact, share, logs + share * backed)]
-                zero = pa.array(np.zeros(size, np.int32))
+            yield from score(batch, None)
+
+    def run_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, read = None, [], None
+        for batch in batches:
+            block, text = batch.column("block").to_numpy(), batch.column("keys").is_null().to_numpy(zero_copy_only=False)
+            for a, b in _runs(2 * block + text):
+                own = batch.slice(a, b - a)
+                if block[a] != number:
+                    number, held, read = block[a], [], None
+                if text[a]:
+                    read = read or answered(held)
+                    yield from score(own, read)
+                else:
+                    held += zip(own.column("keys").to_pylist(), own.column("levels").to_pylist())
+
+    def answered(held: list[tuple[bytes, bytes]]) -> Callable[[np.ndarray], np.ndarray]:
+        keys = np.frombuffer(b"".join(k for k, _ in held), np.uint64)
+        lv = np.frombuffer(b"".join(v for _, v in held), np.uint8)
+        keys, first = np.unique(keys, return_index=True)
+        keys, lv = np.append(keys, ~np.uint64(0)), np.append(lv[first], 0).astype(np.int64)
+
+        def read(asked: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(keys, asked)
+            return np.where(keys[at] == asked, lv[at], 0)
+
+        return read
+
+    def score(batch: pa.RecordBatch, read) -> Iterator[pa.RecordBatch]:
+        model = broadcast.value
+        rows = [t or "" for t in batch.column("text").to_pylist()]
+        uid, ids = batch.column("uid").to_numpy(), batch.column("doc_id")
+        for own, h, w, doc in token_blocks(rows):
+            count, logs, backed = model.score_block(h, w, read)
+            size, exact = own.stop - own.start, count >= 0
+            share = np.where(exact, model.log_share(np.maximum(count, 0)), 0)
+            sums = [np.bincount(doc, x, size) for x in (np.ones(len(w)), exact, share, logs + share * backed)]
+            zero = pa.array(np.zeros(size, np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(mix(uid[own].astype(np.uint64)).view(np.int64)), pa.array(uid[own]), zero, zero,
+                    ids[own.start : own.stop], *[pa.array(x.astype(np.int64)) for x in sums[:2]],
+                    *[pa.array(x) for x in sums[2:]],
+                ],
+                names,
+            )
+            far = np.flatnonzero(~exact)
+            for a in range(0, len(far), 1 << 16):
+                f = far[a : a + (1 << 16)]
+                nothing = [pa.nulls(len(f), t) for t in (pa.int64(),) * 3 + (pa.float64(),) * 2]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(mix(uid[own].astype(np.uint64)).view(np.int64)), pa.array(uid[own]), zero, zero,
-                        ids[own.start : own.stop], *[pa.array(x.astype(np.int64)) for x in sums[:2]],
-                        *[pa.array(x) for x in sums[2:]],
+                        pa.array(w[f].view(np.int64)), pa.array(uid[own][doc[f]]),
+                        pa.array(np.ones(len(f), np.int32)), pa.array(backed[f].astype(np.int32)), *nothing,
                     ],
                     names,
                 )
-                far = np.flatnonzero(~exact)
-                for a in range(0, len(far), 1 << 16):
-                    f = far[a : a + (1 << 16)]
-                    nothing = [pa.nulls(len(f), t) for t in (pa.int64(),) * 3 + (pa.float64(),) * 2]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(w[f].view(np.int64)), pa.array(uid[own][doc[f]]),
-                            pa.array(np.ones(len(f), np.int32)), pa.array(backed[f].astype(np.int32)), *nothing,
-                        ],
-                        names,
-                    )
 
     kinds = "t long, uid long, tf int, tf0 int, doc_id long, n long, known long, base double, score double"
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("uid"))
-    found = rows.mapInArrow(run, kinds)
+    if model.dealt is None:
+        found = rows.mapInArrow(run, kinds)
+    else:
+        found = in_blocks(rows.select("uid", "doc_id", "text"), broadcast, model.dealt).mapInArrow(run_blocks, kinds)
     joined = found.join(counts.withColumnRenamed("h", "t"), "t", "left")
     share = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.tokens + model.types + 1)))
     return (

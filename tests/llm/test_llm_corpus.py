@@ -213,6 +213,23 @@ def test_levels_are_read_back(spark):
     assert (got >= want).all() and (got == want).mean() > 0.98
 
 
+def test_a_filter_beyond_the_broadcast_keeps_all_counts(spark):
+    """More entries than the broadcast holds: more segments, met in a shuffle, and the same scores."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{min(rng.randrange(300), rng.randrange(300))}" for _ in range(60)) for _ in range(400)] + [None, ""]
+    docs = documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    model, counts = lm.train_model(docs, 1, 20)
+    assert model.cut == 2 and model.n_segments > 1 and model.bits is None
+    whole, same = lm.train_model(docs, model.n_segments, 20)
+    assert whole.cut == 2 and whole.n_segments == model.n_segments and whole.dealt is None
+    got = {r.doc_id: r for r in lm.score_documents(docs, model, counts).collect()}
+    want = {r.doc_id: r for r in lm.score_documents(docs, whole, same).collect()}
+    assert got.keys() == want.keys() == set(range(402))
+    for i, r in want.items():
+        assert (got[i].n_tokens, got[i].n_known) == (r.n_tokens, r.n_known)
+        assert got[i].score == pytest.approx(r.score, rel=1e-9) and got[i].base_score == pytest.approx(r.base_score, rel=1e-9)
+
+
 def test_odd_texts_are_scored(spark):
     model, counts = lm.train_model(documents(spark).where(~held_out("doc_id", 7, 2)))
     docs = documents(spark).withColumn("score", F.lit("x")).withColumn("t", F.lit("x")).withColumn("uid", F.lit("x"))
