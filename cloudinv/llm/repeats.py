@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudinv.llm.common import read, stored, text_key
-from cloudinv.llm.lm import build_filter, levels, mix
+from cloudinv.llm.lm import BITS_EACH, build_filter, mix, places, segments
 
 LENGTH, SEED = 100, 48
 #: Bytes of text that a task works on at a time.
@@ -42,8 +42,10 @@ STRINGS = 1 << 17
 #: Buckets for strings of dense seeds, for each range of leading bytes.
 SPREAD = 16
 #: Anchors of one part in step 2, bytes of one bucket in step 3, most ranges of leading bytes, and
-#: segments of the document filter.
+#: least segments of the document filter.
 PART, BUCKET, RANGES, SEGMENTS = 1_000_000, 1 << 21, 4096, 128
+#: Most segments of the document filter (32 MB, 16.7 million keys); with more keys there is none.
+MOST_SEGMENTS = 4096
 NONE = -(2**63)
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -265,9 +267,13 @@ def repeated_anchors(firsts: DataFrame, total: int, often: np.ndarray) -> DataFr
 def with_lists(docs: DataFrame, lists: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """``docs`` that have a row in ``lists``, left joined with it by one or two keys, and other ``docs``.
 
-    A Bloom filter of fixed size, made of the keys in ``lists``, keeps most of the others out of the
-    shuffle. Rows that only seem to be in it come back from the join without a list.
+    A Bloom filter with BITS_EACH bits for each row of ``lists`` keeps most of the others out of the
+    shuffle. Rows that only seem to be in it come back from the join without a list. Where the filter
+    would pass MOST_SEGMENTS, all ``docs`` are joined and there are no others.
     """
+    n_segments = max(SEGMENTS, math.ceil(lists.count() * BITS_EACH / 65_536))
+    if n_segments > MOST_SEGMENTS:
+        return docs.join(lists, keys, "left"), docs.where("false")
 
     def keyed(batches):
         for batch in batches:
@@ -275,18 +281,26 @@ def with_lists(docs: DataFrame, lists: DataFrame, keys: list[str]) -> tuple[Data
             yield _batch("key level", found.view(np.int64), np.ones(len(found), np.int64))
 
     two = [F.col(k).cast("long").alias(n) for k, n in zip((keys[0], keys[-1]), ("one", "other"))]
-    bits = build_filter(lists.select(*two).mapInArrow(keyed, "key long, level long"), SEGMENTS)
+    bits = build_filter(lists.select(*two).mapInArrow(keyed, "key long, level long"), n_segments)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def maybe(one: pd.Series, other: pd.Series) -> pd.Series:
-        return pd.Series(levels(shared.value, _doc_key(one.to_numpy(), other.to_numpy())) > 0)
+        return pd.Series(_in_filter(shared.value, _doc_key(one.to_numpy(), other.to_numpy())))
 
     marked = docs.withColumn("__maybe", maybe(*two))
     near = marked.where("__maybe").drop("__maybe").join(lists, keys, "left")
     return near, marked.where("NOT __maybe").drop("__maybe")
 
 
+def _in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the filter; every key has the one level 1."""
+    found, at, flat = np.ones(len(keys), bool), segments(keys, len(bits)) << 13, bits.reshape(-1)
+    for p in places(keys, 1):
+        found &= (flat[at + (p >> 3)] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+    return found
+
+
 def _doc_key(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return mix(one.astype(np.int64).view(np.uint64) * _A + other.astype(np.int64).view(np.uint64))
 

@@ -140,6 +140,30 @@ def test_repeats_of_rare_and_frequent_seeds(spark, monkeypatch):
         assert order(found_repeats(documents(spark, rows))) == want
 
 
+def test_repeats_of_dense_seeds(spark, monkeypatch):
+    """Seeds found over DENSE times, counted or known from the sample, are compared string by string."""
+    rows = [(i, prose(500 + i, 20) + PASSAGE[: 150 + 10 * i] + prose(600 + i, 20), None, None, None) for i in range(12)]
+    want = order([(r[0], *p) for r, p in zip(rows, plain_repeats([r[1] for r in rows]))])
+    monkeypatch.setattr(repeats, "DENSE", 3)
+    for frequent in (1, 1000):
+        monkeypatch.setattr(repeats, "FREQUENT", frequent)
+        assert order(found_repeats(documents(spark, rows))) == want
+
+
+@pytest.mark.parametrize("most", [4096, 2])
+def test_document_filter_grows_with_its_keys(spark, monkeypatch, most):
+    """More keys than the least filter has bits: others still stay out, or all are joined."""
+    monkeypatch.setattr(repeats, "SEGMENTS", 1)
+    monkeypatch.setattr(repeats, "MOST_SEGMENTS", most, raising=False)
+    docs = spark.range(200_000).select(F.col("id").alias("doc"), F.lit("x").alias("text"))
+    lists = stored(docs.where("doc % 2 = 0").select("doc", F.lit(1).alias("list")), "lists")
+    near, others = repeats.with_lists(docs, lists, ["doc"])
+    listed, n = near.agg(F.sum("list"), F.count("*")).first()
+    assert listed == 100_000 and n + others.count() == 200_000 and others.columns == docs.columns
+    assert others.where("doc % 2 = 0").isEmpty()
+    assert n == 200_000 if most == 2 else n < 102_000
+
+
 def test_repeats_with_shared_ids(spark):
     """Null ids come first; of equal rows one stays; different texts under one id come one after the other."""
     long = prose(1234, 60)
