@@ -44,6 +44,11 @@ class Model:
     factors: np.ndarray
     id: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    @property
+    def learned(self) -> bool:
+        """Whether any term tells the classes apart; if none does, all documents score alike."""
+        return len(self.known) > 0
+
     def logit(self, text: str, seen: dict[bytes, tuple[int, ...]]) -> float:
         """``seen``: a cache of words, kept between texts."""
         found = {p for own in map(seen.__getitem__, set(words(text))) if own for p in own}
@@ -67,17 +72,19 @@ class _Positions(dict):
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int = 12, steps: int = 600, batch: int = 128,
-        most: int = MOST, deviates: float = 4.0, rate: float = 0.02, shrink: float = 0.02) -> Model:
+        most: int = MOST, deviates: float = 4.0, rate: float = 0.02, shrink: float = 0.02, sizes: dict[int, int] | None = None) -> Model:
     """Mini-batch Adam on the logistic loss.
 
     Terms take part if their share of documents differs between the classes by over ``deviates``
     standard errors, at most the ``most`` that differ most, so that long clean documents gather
-    no noise. Classes weigh the same. With one class only, no rows, or no such term, the model is
-    the share of the class (a half without rows).
+    no noise. Classes weigh the same. With one class only, no rows, or no such term, nothing is
+    learned: the model is the share of toxic ones in ``sizes``, the classes' sizes before sampling
+    (those of ``labels`` if not given; a half without any).
     """
     rng = np.random.default_rng(0)
     positive = int(labels.sum())
-    share, nothing = (positive + 1) / (len(labels) + 2), np.zeros(0)
+    sizes = {1: positive, 0: len(labels) - positive} if sizes is None else sizes
+    share, nothing = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2), np.zeros(0)
     plain = Model(float(np.log(share / (1 - share))), nothing.astype(np.int64), nothing, np.zeros((0, rank)))
     if not positive or positive == len(labels):
         return plain
@@ -137,14 +144,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
                 ["doc_id", "label", "terms"],
             )
 
-    rows, _ = training_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, "toxic", per_class)
+    rows, sizes = training_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, "toxic", per_class)
     found = rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, terms array<int>").toArrow()
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
     flat = found.column("terms").combine_chunks()
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
     values, ends = flat.values.to_numpy(), flat.offsets.to_numpy()
     y = found.column("label").to_numpy()
-    return fit([values[ends[i] : ends[i + 1]] for i in order], y[order])
+    return fit([values[ends[i] : ends[i + 1]] for i in order], y[order], sizes=sizes)
 
 
 #: The words this Python worker has seen, for the model it uses.
@@ -177,17 +184,27 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those scored at or above ``threshold``."""
-    scored = score(docs.withColumn("__kept", F.col("score")) if "score" in docs.columns else docs, train(docs, labels))
+    """``docs`` without those scored at or above ``threshold``.
+
+    Where the labels teach nothing (none, one class only, or no term that tells the classes apart)
+    no document is known to be toxic, and all stay.
+    """
+    model = train(docs, labels)
+    if not model.learned:
+        return docs
+    scored = score(docs.withColumn("__kept", F.col("score")) if "score" in docs.columns else docs, model)
     clean = scored.where(F.col("score") < threshold)
     return clean.drop("score").withColumnRenamed("__kept", "score").select(*docs.columns)
 
 
 def op9_toxicity(spark, sf_dir) -> DataFrame:
-    found = toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return found.select(
+    """``predicted`` is 0 throughout where the labels teach nothing, as in :func:`drop_toxic`."""
+    docs = read(spark, sf_dir, "documents")
+    model = train(docs, read(spark, sf_dir, "labels"))
+    toxic = F.col("score") >= THRESHOLD if model.learned else F.lit(False)
+    return score(docs, model).select(
         "doc_id",
         held_out("doc_id", FOLDS, HELD).alias("held_out"),
         "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        toxic.cast("int").alias("predicted"),
     )

@@ -290,6 +290,30 @@ def test_odd_documents_and_labels(spark, scored, column):
     assert scored(documents(spark, []), labels).count() == 0
 
 
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.mark.parametrize("rows", [
+    [], [(i, 1, 1) for i in range(30)], [(i, 1, 0) for i in range(30)], [(i, 1, i % 2) for i in range(10)]])
+def test_labels_that_teach_nothing_drop_nothing(spark, tmp_path, rows):
+    """No labels, one class only, very few: the stage keeps all documents, and none is predicted toxic."""
+    documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, str(tmp_path))
+    assert order(map(tuple, kept.collect())) == order(map(tuple, docs.collect()))
+    assert {r.predicted for r in toxicity.op9_toxicity(spark, str(tmp_path)).collect()} == {0}
+
+
+def test_prior_is_that_of_all_labels(spark):
+    """The sample is balanced, the labels are not."""
+    docs = documents(spark, [(i, "same", None, None, 4) for i in range(60)])
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 1)) for i in range(60)], LABELS)
+    kept = [i for i in range(60) if crc(i) % 5]
+    share = (sum(i % 10 == 1 for i in kept) + 1) / (len(kept) + 2)
+    assert {round(r.score, 9) for r in toxicity.toxicity(docs, labels, per_class=2).collect()} == {round(share, 9)}
+
+
 def test_pairs_of_terms_are_learned():
     """Neither word alone is toxic, both together are."""
     rng, rows, labels = random.Random(0), [], []
