@@ -215,14 +215,15 @@ def mix(
     hashed, ordered = _hashed(seed, "doc_id"), _hashed(seed + 1, "doc_id")
     bins = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / BIN))
     open_ = (F.col("more") > 0) & (F.col("more") < F.col("n"))
-    dealt = rows.join(plan, ["key", "size"]).withColumn("bin", F.when(open_, F.pmod(hashed, bins)))
+    # Plain joins of stored tables are split by adaptive execution where very many rows have one size.
+    dealt = stored(rows.join(plan, ["key", "size"]).withColumn("bin", F.when(open_, F.pmod(hashed, bins))), "dealt")
     filled = dealt.where(open_).groupBy("key", "size", "bin", "more").agg(F.sum("m").alias("here"))
     upto = Window.partitionBy("key", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     filled = filled.withColumn("upto", F.sum("here").over(upto))
     cut = filled.where((F.col("upto") >= F.col("more")) & (F.col("upto") - F.col("here") < F.col("more"))).select(
         "key", "size", F.col("bin").alias("cut"), (F.col("more") - F.col("upto") + F.col("here")).alias("left")
     )
-    marked = stored(dealt.join(cut, ["key", "size"], "left"), "marked")
+    marked = stored(dealt.join(stored(cut, "cuts"), ["key", "size"], "left"), "marked")
     inside = F.coalesce(F.col("bin") == F.col("cut"), F.lit(False))
     within = Window.partitionBy("key", "size").orderBy(ordered, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("m").over(within), F.lit(0))
