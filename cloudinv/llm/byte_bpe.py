@@ -2,7 +2,8 @@
 
 A single space between two characters that are no white space always begins a new pre-token,
 and nothing before it is changed by what follows. So a text is split there, and the ids of a
-chunk are looked up, or encoded once.
+chunk are looked up, or encoded once. The fast encoder overflows on very long runs of white space;
+texts that hold one go through the other public tokenizer, which gives the same ids.
 """
 
 import base64
@@ -11,10 +12,14 @@ import sys
 from array import array
 
 import tiktoken
+from tokenizers import Tokenizer
 
 END_OF_TEXT = "<|endoftext|>"
 #: A space beside other white space, where a split at the space would change pre-tokens.
 UNSAFE = re.compile(r" \s|\s ")
+#: White space beyond this length; the fast encoder fails just below a million.
+LONG = 65536
+LONG_BLANK = re.compile(rf"\s{{{LONG}}}")
 
 
 def default_ranks() -> str:
@@ -23,6 +28,12 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def default_json() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def encoding(ranks_path: str, special: dict[str, int]) -> tiktoken.Encoding:
     import public_tokenizers
 
@@ -58,12 +69,16 @@ class _Chunks(dict):
 class Encoder:
     """An end-of-text mark within a text is its one id, as the public file has it."""
 
-    def __init__(self, ranks_path: str | None = None, limit: int = 300_000):
+    def __init__(self, ranks_path: str | None = None, limit: int = 300_000, json_path: str | None = None):
         self.bpe = encoding(ranks_path or default_ranks(), {END_OF_TEXT: 50256})
+        self.json_path, self.slow = json_path, None
         self.plain = _Chunks(self.bpe.encode_ordinary, limit)
 
     def ids(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit numbers."""
+        if len(text) >= LONG and LONG_BLANK.search(text):
+            self.slow = self.slow or Tokenizer.from_file(self.json_path or default_json())
+            return _packed(self.slow.encode(text, add_special_tokens=False).ids)
         if END_OF_TEXT in text or UNSAFE.search(text):
             return _packed(self.bpe.encode(text, allowed_special="all"))
         first, *rest = text.split(" ")

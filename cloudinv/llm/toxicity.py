@@ -145,7 +145,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
             )
 
     rows, sizes = training_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, "toxic", per_class)
-    found = rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, terms array<int>").toArrow()
+    found = rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, terms array<int>")
+    # Of rows that share an id one comes to the driver.
+    one = F.min(F.struct("label", "terms")).alias("one")
+    found = found.groupBy("doc_id").agg(one).select("doc_id", "one.label", "one.terms").toArrow()
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
     flat = found.column("terms").combine_chunks()
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
@@ -198,13 +201,15 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 
 def op9_toxicity(spark, sf_dir) -> DataFrame:
-    """``predicted`` is 0 throughout where the labels teach nothing, as in :func:`drop_toxic`."""
+    """Scores of all ``documents``; null and empty texts have the score of the bias alone.
+
+    ``predicted`` follows the score even where the labels teach nothing and every score is the share
+    of toxic labels; :func:`drop_toxic` keeps all documents then.
+    """
     docs = read(spark, sf_dir, "documents")
-    model = train(docs, read(spark, sf_dir, "labels"))
-    toxic = F.col("score") >= THRESHOLD if model.learned else F.lit(False)
-    return score(docs, model).select(
+    return score(docs, train(docs, read(spark, sf_dir, "labels"))).select(
         "doc_id",
         held_out("doc_id", FOLDS, HELD).alias("held_out"),
         "score",
-        toxic.cast("int").alias("predicted"),
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

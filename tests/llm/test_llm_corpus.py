@@ -296,13 +296,23 @@ LABELS = "doc_id long, quality int, toxic int"
 @pytest.mark.parametrize("rows", [
     [], [(i, 1, 1) for i in range(30)], [(i, 1, 0) for i in range(30)], [(i, 1, i % 2) for i in range(10)]])
 def test_labels_that_teach_nothing_drop_nothing(spark, tmp_path, rows):
-    """No labels, one class only, very few: the stage keeps all documents, and none is predicted toxic."""
+    """No labels, one class only, very few: the stage keeps all documents; predictions follow the score."""
     documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(rows, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, str(tmp_path))
     assert order(map(tuple, kept.collect())) == order(map(tuple, docs.collect()))
-    assert {r.predicted for r in toxicity.op9_toxicity(spark, str(tmp_path)).collect()} == {0}
+    found = toxicity.op9_toxicity(spark, str(tmp_path)).collect()
+    assert all(r.predicted == (r.score >= 0.5) for r in found)
+    assert len({r.score for r in found}) == 1
+
+
+def test_rows_under_one_id_are_one_text_of_the_sample(spark):
+    rows = [(1, f"text {i} of many", None, None, 0) for i in range(500)] + [(i, "fine", None, None, 0) for i in range(2, 60)]
+    labels = spark.createDataFrame([(i, 1, int(i % 2)) for i in range(1, 60)], LABELS)
+    many = toxicity.train(documents(spark, rows), labels)
+    one = toxicity.train(documents(spark, rows[:1] + rows[500:]), labels)
+    assert (many.learned, many.bias) == (one.learned, one.bias)
 
 
 def test_prior_is_that_of_all_labels(spark):

@@ -148,6 +148,21 @@ def test_ids_equal_the_public_tokenizer(tokenizer):
         assert np.frombuffer(bpe.ids(text), "<u4").tolist() == encode(tokenizer, text), repr(text)
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", " \n"])
+def test_ids_of_very_long_runs_of_blanks(tokenizer, blank):
+    text = "before" + blank * (2_000_000 // len(blank)) + "after it"
+    assert np.array_equal(np.frombuffer(Encoder().ids(text), "<u4"), np.array(encode(tokenizer, text), "<u4"))
+    near = "x" + blank * (65_534 // len(blank)) + " y"
+    assert np.frombuffer(Encoder().ids(near), "<u4").tolist() == encode(tokenizer, near)
+
+
+def test_blank_documents_are_packed_and_counted(spark):
+    docs = documents(spark, [(1, " " * 2_000_000, None, None, 0), (2, "\n" * 2_000_000, None, None, 0)])
+    ids = {r.doc_id: r.n for r in packing.pack_documents(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    counted = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs).collect()}
+    assert ids == {i: n + 1 for i, n in counted.items()} and min(counted.values()) > 1000
+
+
 def test_packed_pieces(spark, tokenizer):
     rows = cases()
     docs = documents(spark, rows).withColumn("sequence_id", F.lit("x")).withColumn("length", F.lit("x"))
@@ -214,6 +229,14 @@ def test_only_the_edited_part_is_encoded():
     assert encoded < 2000 < len(text)
 
 
+def test_rows_that_share_an_id_share_three_edits(spark):
+    rows = [(i % 2 or None, f"row {i} of some words", "en", f"s{i}", 0) for i in range(10_000)]
+    docs = documents(spark, rows)
+    assert {tuple(r) for r in token_counts.demo_edits(docs).groupBy("doc_id").count().collect()} == {(None, 3), (1, 3)}
+    found = token_counts.apply_edits(token_counts.count_tokens(docs), token_counts.demo_edits(docs))
+    assert {(r.n_edits, r["count"]) for r in found.groupBy("n_edits").count().collect()} == {(3, 10_000)}
+
+
 def test_edits_of_a_table(spark, tokenizer):
     docs = documents(spark).withColumn("tokens", F.lit("x"))
     edits = spark.createDataFrame(
