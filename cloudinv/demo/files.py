@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cloudinv import schema as S
 from cloudinv.demo.items import _homes, account, table
+from cloudinv.sources.snapshots import list_files
 
 REGION = "eu-west-2"
 DAYS = ("2024-01-15", "2024-01-30")
@@ -124,6 +125,26 @@ def write_other_files(spark: SparkSession, sf_dir: str, root: str) -> None:
     table(spark, sf_dir, "nation").write.mode("append").json(target)
 
 
+def write_messages(spark: SparkSession, root: str, out: str) -> None:
+    """A message for each file below a folder, some twice and some late, and one that names none."""
+    names = list_files(spark, root).select("path", F.pmod(F.xxhash64("path"), F.lit(6)).alias("n"))
+    cut = F.length(F.lit(root)) + F.locate(root, F.col("path"))
+    key = F.replace(F.replace(F.url_encode(F.expr("substring(path, 1 + char_length(bucket))")), F.lit("%2F"), F.lit("/")), F.lit("%3D"), F.lit("="))
+    day = F.when(F.col("n") % 3 == 0, "2024-01-01").otherwise("2024-02-01")
+    record = F.struct(
+        F.concat(day, F.lit("T00:00:00.000Z")).alias("eventTime"),
+        F.struct(
+            F.struct(F.expr("substring(bucket, 1, char_length(bucket) - 1)").alias("name")).alias("bucket"),
+            F.struct(key.alias("key"), F.md5("path").alias("eTag"), F.lit("1").alias("sequencer")).alias("object"),
+        ).alias("s3"),
+    )
+    placed = names.withColumn("bucket", F.substring("path", F.lit(1), cut))
+    once = placed.select(F.to_json(F.struct(F.array(record).alias("Records"))).alias("value"), "n")
+    once.select("value").write.text(out)
+    once.where("n % 2 = 0").select("value").write.mode("append").text(out)
+    spark.range(1).select(F.lit('{"Event": "test"}').alias("value")).write.mode("append").text(out)
+
+
 def job_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as job documents: errors failed in one of the four stages."""
     tenths = F.floor(F.col("value") * 10).cast("bigint")

@@ -349,6 +349,8 @@ ORACLE: dict[str, str] = {
     "s3_skip_other_files": f"{_DELIVERED} SELECT TRUE AS snapshot_file, count(*) AS items FROM delivered",
     "s4_quarantine": "SELECT lang, count(*) AS documents FROM documents GROUP BY lang",
     "s5_stream_ingest": f"{_DELIVERED} SELECT {_ROW} FROM delivered WHERE {_GOOD}",
+    "s4_redelivery": "SELECT lang, count(*) AS documents, 3 AS attempts, 3::BIGINT AS reads FROM documents GROUP BY lang",
+    "s5_events": f"{_DELIVERED} SELECT {_ROW} FROM delivered WHERE {_GOOD}",
     "s6_append": _q(
         "subnet", "interface",
         sql="SELECT account_id, arn, resource_type, md5(configuration) AS state_hash,"

@@ -17,7 +17,8 @@ from cloudinv.plans.store import InventoryStore
 from cloudinv.plans.views import register_live
 from cloudinv.session import configure, workspace
 from cloudinv.sources import schemas, snapshots, tables
-from cloudinv.streaming.ingest import stream_ingest
+from cloudinv.streaming.attempts import MAX_ATTEMPTS
+from cloudinv.streaming.ingest import stream_events, stream_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -117,6 +118,41 @@ def streamed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_times(_streamed(spark, sf_dir).live(AS_OF).select(*_ROW, F.expr(_FROM_FILE)))
 
 
+def _by_events(spark: SparkSession, sf_dir: str, bad: bool, starts: int) -> InventoryStore:
+    """A store fed by messages; each start of the stream makes one attempt at what failed before."""
+    source, messages = _delivered(spark, sf_dir), workspace(spark, "messages")
+    if bad:
+        files.write_bad_snapshots(spark, sf_dir, source)
+    files.write_messages(spark, source, messages)
+    root = workspace(spark, "store")
+    for _ in range(starts):
+        stream_events(
+            spark, messages, root, f"{root}-progress", "{bucket}/{key}", interval=None, ingest_ts=_instant(INGESTED)
+        ).awaitTermination()
+    return InventoryStore(spark, root)
+
+
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of files named by messages, of which every second comes twice and every third late."""
+    store = _by_events(spark, sf_dir, bad=False, starts=1)
+    return _plain_times(store.live(AS_OF).select(*_ROW, F.expr(_FROM_FILE)))
+
+
+def redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are no snapshots, given up after all attempts, and how often each was read."""
+    store = _by_events(spark, sf_dir, bad=True, starts=MAX_ATTEMPTS + 1)
+    dead = store.dead_letters().select("path", "attempt")
+    tried = store.file_log().groupBy(F.col("source_key").alias("path")).agg(F.count_distinct("batch_id").alias("reads"))
+    raw = snapshots.quarantine(snapshots.read_files(spark, [r["path"] for r in dead.collect()]))
+    found = raw.withColumnRenamed("source_key", "path").join(dead, "path").join(tried, "path")
+    return found.select(
+        json_scalar(F.col("raw"), "$.configSnapshotId").alias("lang"),
+        json_scalar(F.col("raw"), "$.configurationItems").try_cast("bigint").alias("documents"),
+        F.col("attempt").alias("attempts"),
+        "reads",
+    )
+
+
 def ingest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What all batches together hold, and how many of four files each there were."""
     log = _streamed(spark, sf_dir, files_per_batch=4).ingest_log()
@@ -309,17 +345,14 @@ def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nightly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole run over the first half of the month, then one over what has come since."""
-    whole, changed = workspace(spark, "version"), workspace(spark, "version")
+    path, changes = workspace(spark, "table"), workspace(spark, "changes")
     before, since = _split(spark, sf_dir)
-    tables.write_version(maintenance.nightly(before, "2024-01-16"), whole)
-    base = tables.read_operational(spark, whole)
+    tables.write_version(maintenance.nightly(before, "2024-01-16"), path)
     now = items.latest_event(spark, sf_dir)
-    touched, rows = maintenance.nightly_changes(base, since, now)
-    tables.write_version(rows, changed)
-    kept = base.join(touched, "account_id", "left_anti")
-    return _plain_times(
-        kept.unionByName(tables.read_operational(spark, changed)).select(*_KEPT)
-    )
+    _, rows = maintenance.nightly_changes(tables.read_operational(spark, path), since, now)
+    tables.write_version(rows, changes)
+    tables.replace_accounts(tables.read_operational(spark, changes), path)
+    return _plain_times(tables.read_operational(spark, path).select(*_KEPT))
 
 
 def expired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,7 +504,9 @@ QUERIES: dict[str, Query] = {
     "s2_read_one_day": read_day,
     "s3_skip_other_files": read_suffix,
     "s4_quarantine": read_quarantine,
+    "s4_redelivery": redelivered,
     "s5_stream_ingest": streamed_rows,
+    "s5_events": event_rows,
     "s6_append": append_rows,
     "s7_export_parquet": export_rows,
     "s8_count_export": export_count,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cloudinv.functions.times import instant
 from cloudinv.operators.shaping import live
+from cloudinv.sources.tables import staged
 
 KEY = ("account_id", "arn")
 RECENCY = ("last_seen_at", "captured_at", "source_key")
@@ -83,29 +84,23 @@ def nightly(df: DataFrame, as_of, days: int = 7) -> DataFrame:
     return drop_expired(merge_latest(df), as_of, days)
 
 
-def _matching(left: DataFrame, right: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
-    """Semi or anti join in which NULL keys are equal, as they are in a window."""
-    return left.join(right, [left[k].eqNullSafe(right[k]) for k in keys], how)
-
-
 def nightly_changes(
     base: DataFrame, landed: DataFrame, as_of, days: int = 7, keys: tuple[str, ...] = KEY
 ) -> tuple[DataFrame, DataFrame]:
     """Accounts that a maintenance run changes, and all their rows after it.
 
     ``base`` is the outcome of an earlier run, one row per key, and ``landed`` what has come
-    since. Accounts that have neither landed nor expired rows are not among the first and
-    need no rewriting; of them only account and time are read. Of the others, only rows whose
-    key has landed are ranked; the rest of ``base`` is not shuffled by key.
+    since; neither has rows without an account. Accounts that have neither landed nor expired
+    rows are not among the first and need no rewriting. Where ``base`` is partitioned by account,
+    the list of accounts prunes its folders: of the others only the time is read.
     """
     cutoff = instant(as_of) - F.expr(f"interval {int(days)} days")
     expired = base.where(F.col("last_seen_at") < cutoff).select("account_id")
-    touched = landed.select("account_id").union(expired).distinct()
-    rows = _matching(base, touched, ("account_id",), "left_semi")
-    seen = landed.select(*keys).distinct()
-    newest = latest(landed.unionByName(_matching(rows, seen, keys, "left_semi")), keys)
-    others = _matching(rows, seen, keys, "left_anti")
-    return touched, drop_expired(newest.unionByName(others), as_of, days)
+    touched = staged(landed.select("account_id").union(expired).distinct(), "accounts")
+    # The comparison says that the list is a selection, which makes Spark prune by it.
+    rows = base.join(touched.where(F.col("account_id") >= ""), "account_id", "left_semi")
+    merged = latest(rows.select(*base.columns).unionByName(landed.select(*base.columns)), keys)
+    return touched, drop_expired(merged, as_of, days)
 
 
 def upsert(

@@ -1,25 +1,26 @@
-"""Where the inventory lives: landed batches, compacted versions, and their logs.
+"""Where the inventory lives: landed batches, the table, and their logs.
 
 ::
 
-    landing/batch_id=N/kind=K/           rows of one ingest batch
-    redriven/version=V/attempt=T/kind=K/ rows of files read again
-    versions/version=V/account_id=A/     accounts as rewritten by a maintenance run
-    ingest_log/batch_id=N/               one row per landed batch
-    file_log/batch_id=N/                 what became of each file of the batch
-    account_log/version=V/               the accounts that the version rewrote, and their rows
-    version_log/                         one row per finished maintenance run
-
-Nothing is overwritten while it is read: a batch replaces only its own folder when it
-is replayed, and maintenance writes a new version that counts once it is logged. A version
-holds the accounts that changed; others stay where an earlier one wrote them. Batch folders
-up to the one a version holds may be deleted; the logs stay.
+    landing/batch_id=N/kind=K/     rows of one ingest batch
+    ingest_log/batch_id=N/         one row per landed batch
+    file_log/batch_id=N/           what became of each file of the batch
+    tasks/, outcomes/, dead_letters/batch_id=N/   attempts at files, see streaming.ingest
+    table/account_id=A/            the table as of the last maintenance run
+    changes/run=R/account_id=A/    the accounts that a run rewrites
+    run_log/                       two rows per maintenance run: prepared, published
+
+A batch replaces only its own folder when it is replayed. A maintenance run writes the
+accounts that change beside the table, logs that they are ready, and then puts them in the place of the
+table's. A run that was cut off before is made again; one cut off while it replaced accounts is
+carried on, and until then its accounts are read from ``changes``. Batch folders up to the one
+that the last run holds and ``changes`` of published runs may be deleted; the logs stay.
 """
 
-from itertools import islice
+from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,14 +28,13 @@ from cloudinv.functions.times import instant
 from cloudinv.operators import maintenance
 from cloudinv.operators.shaping import identified, item_columns, live
 from cloudinv.schema import CORRUPT, OPERATIONAL
-from cloudinv.sources.snapshots import list_files, read_files, unread_files
-from cloudinv.sources.tables import SORT, read_operational, write_version
+from cloudinv.sources.snapshots import list_files, unread_files
+from cloudinv.sources.tables import SORT, read_operational, replace_accounts, write_version
 
 # What became of a file or an item.
 ROW, DROPPED, EMPTY, BAD = "row", "dropped", "empty", "bad"
 
-MAX_ATTEMPTS = 3
-_PATHS_PER_READ = 500
+PREPARED, PUBLISHED = "prepared", "published"
 
 _LANDED = T.StructType(
     [
@@ -43,17 +43,9 @@ _LANDED = T.StructType(
         T.StructField("kind", T.StringType()),
     ]
 )
-_REDRIVEN = T.StructType(
-    [
-        *OPERATIONAL.fields,
-        T.StructField("version", T.LongType()),
-        T.StructField("attempt", T.IntegerType()),
-        T.StructField("kind", T.StringType()),
-    ]
-)
-_VERSION_LOG = "version long, through_batch long, as_of timestamp"
-_ACCOUNT_LOG = "account_id string, rows long, version long"
-_FILE_LOG = "source_key string, kind string, n long, batch_id long"
+_RUN_LOG = "run long, through_batch long, as_of timestamp, state string"
+_FILE_LOG = "source_key string, kind string, batch_id long"
+_DEAD_LETTERS = "path string, version string, attempt int, batch_id long"
 _INGEST_LOG = (
     "files long, rows long, dropped long, bad_files long, accounts long, types long, "
     "ingest_ts timestamp, batch_id long"
@@ -78,6 +70,36 @@ def classify(snapshots: DataFrame, ingest_ts) -> DataFrame:
     return exploded.select(*item_columns(ingest_ts), kind.alias("kind"))
 
 
+class BatchProfile:
+    """What a batch holds, observed while it is written.
+
+    The sets have one entry for each file, account and type of a page of a batch, which is a
+    bounded list of files. Metrics of the tasks that wrote the rows count once: no shuffle comes after.
+    """
+
+    def __init__(self):
+        self.counts = dict.fromkeys((ROW, DROPPED, BAD), 0)
+        self.files, self.accounts, self.types = set(), set(), set()
+
+    def observe(self, rows: DataFrame) -> tuple[DataFrame, Observation]:
+        kind, seen = F.col("kind"), Observation()
+        of_row = lambda c: F.collect_set(F.when(kind == ROW, F.col(c)))
+        return rows.observe(
+            seen,
+            *[F.count_if(kind == k).alias(k) for k in self.counts],
+            F.collect_set(F.struct("source_key", "kind")).alias("files"),
+            of_row("account_id").alias("accounts"),
+            of_row("resource_type").alias("types"),
+        ), seen
+
+    def add(self, seen: dict) -> None:
+        for kind in self.counts:
+            self.counts[kind] += seen[kind]
+        self.files |= {tuple(f) for f in seen["files"]}
+        self.accounts |= set(seen["accounts"])
+        self.types |= set(seen["types"])
+
+
 class InventoryStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -99,13 +121,30 @@ class InventoryStore:
     def file_log(self) -> DataFrame:
         return self._read("file_log", _FILE_LOG)
 
-    def version_log(self) -> DataFrame:
-        return self._read("version_log", _VERSION_LOG)
+    def run_log(self) -> DataFrame:
+        return self._read("run_log", _RUN_LOG)
+
+    def dead_letters(self) -> DataFrame:
+        """Files given up after the last attempt."""
+        return self._read("dead_letters", _DEAD_LETTERS)
+
+    def good_files(self, batch_id: int) -> DataFrame:
+        """``source_key`` of the batch's files that were snapshots."""
+        own = self.file_log().where(F.col("batch_id") == batch_id)
+        good = own.groupBy("source_key").agg(F.bool_and(F.col("kind") != BAD).alias("good"))
+        return good.where("good").select("source_key")
+
+    def failed_files(self, source: str) -> DataFrame:
+        """``source_key`` of documents that are no snapshots, and of listed files that gave no row."""
+        seen = self.file_log()
+        bad = seen.where(F.col("kind") == BAD).select("source_key")
+        listed = list_files(self.spark, source, "*.json.gz")
+        return bad.unionByName(unread_files(listed, seen)).distinct()
 
     def landed(self, after: int = -1, upto: int | None = None) -> DataFrame:
         """Rows of logged batches, by default all; other batch folders are not listed.
 
-        Batch numbers come to the driver: one per batch since the last version.
+        Batch numbers come to the driver: one per batch since the last maintenance run.
         """
         batch = F.col("batch_id")
         logged = self.ingest_log().where(batch > after)
@@ -118,46 +157,39 @@ class InventoryStore:
         reader = self.spark.read.schema(_LANDED).option("basePath", folder)
         return reader.parquet(*[f"{folder}/batch_id={n}" for n in numbers])
 
-    def redriven(self) -> DataFrame:
-        return self._read("redriven", _REDRIVEN)
-
-    def _current(self) -> tuple[int, int]:
-        """The last finished version and the last batch it holds; -1 for none."""
-        newest = F.max(F.struct("version", "through_batch")).alias("v")
-        found = self.version_log().agg(newest).first()["v"]
-        return (found["version"], found["through_batch"]) if found else (-1, -1)
+    def _last_run(self) -> tuple[int, int, bool]:
+        """The last prepared run, the last batch it holds, whether it is published; -1 for none."""
+        # "published" sorts after "prepared".
+        newest = F.max(F.struct("run", "state", "through_batch")).alias("r")
+        found = self.run_log().agg(newest).first()["r"]
+        return (found["run"], found["through_batch"], found["state"] == PUBLISHED) if found else (-1, -1, True)
 
     def _last_batch(self) -> int:
         last = self.ingest_log().agg(F.max("batch_id").alias("b")).first()["b"]
         return -1 if last is None else last
 
-    def operational(self, upto: int | None = None) -> DataFrame:
-        """The whole table: the current version and what has landed since."""
-        version, through = self._current()
-        columns = OPERATIONAL.names
-        recent = self.landed(through, upto).where(F.col("kind") == ROW)
-        again = self.redriven().where((F.col("kind") == ROW) & (F.col("version") == version))
-        table = recent.select(*columns).unionByName(again.select(*columns))
-        if version < 0:
-            return table
-        return self._base(version).unionByName(table)
+    def _changes(self, run: int) -> str:
+        return f"{self.root}/changes/run={run}"
 
-    def _base(self, version: int) -> DataFrame:
-        """The table as of a version: each account from the last one that rewrote it.
+    def _accounts(self, folder: str) -> DataFrame:
+        """Rows of an account-partitioned folder, without the marks of accounts that have no rows left."""
+        return self._read(folder, OPERATIONAL).select(*OPERATIONAL.names).where("arn IS NOT NULL")
 
-        One line per account comes to the driver, as it names the folders to read.
-        """
-        log = self._read("account_log", _ACCOUNT_LOG).where(F.col("version") <= version)
-        last = log.groupBy("account_id").agg(F.max(F.struct("version", "rows")).alias("at"))
-        places = sorted(
-            f"{self.root}/versions/version={r['at']['version']}/account_id={r['account_id']}"
-            for r in last.collect()
-            if r["at"]["rows"]
-        )
-        if not places:
-            return self.spark.createDataFrame([], OPERATIONAL)
-        reader = self.spark.read.schema(OPERATIONAL).option("basePath", f"{self.root}/versions")
-        return reader.parquet(*places).select(*OPERATIONAL.names)
+    def table(self) -> DataFrame:
+        """The table as of the last maintenance run, also while that is being published."""
+        run, _, published = self._last_run()
+        if published:
+            return self._accounts("table")
+        changes = f"changes/run={run}"
+        touched = self._read(changes, OPERATIONAL).select("account_id").distinct()
+        kept = self._accounts("table").join(touched, "account_id", "left_anti").select(*OPERATIONAL.names)
+        return kept.unionByName(self._accounts(changes))
+
+    def operational(self, upto: int | None = None) -> DataFrame:
+        """The whole table: the outcome of the last run and what has landed since."""
+        _, through, _ = self._last_run()
+        recent = self.landed(through, upto).where(F.col("kind") == ROW)
+        return self.table().unionByName(recent.select(*OPERATIONAL.names))
 
     def live(self, as_of, ttl_hours: int = 24) -> DataFrame:
         return live(self.operational(), as_of, ttl_hours)
@@ -168,35 +200,48 @@ class InventoryStore:
         """Write one batch and its log entry; running it again replaces both.
 
         The rows are sorted where they were decoded and not shuffled, and each task
-        writes one file per kind. Maintenance brings accounts together later.
+        writes one file per kind. Maintenance brings accounts together later. What the logs say is
+        observed during the write, so nothing is read back.
         """
+        self.land_pages([snapshots], batch_id, ingest_ts)
+
+    def land_pages(self, pages: Iterable[DataFrame], batch_id: int, ingest_ts) -> None:
+        """The same for a batch that is read in several parts; none make a batch without rows."""
         target = f"{self.root}/landing/batch_id={int(batch_id)}"
-        self._write_kinds(classify(snapshots, ingest_ts), target, "overwrite")
-        rows = F.col("kind") == ROW
-        landed = self.spark.read.schema(_LANDED).parquet(target)
-        cells = landed.groupBy("kind", "source_key", "account_id", "resource_type").agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        entry = cells.agg(
-            F.countDistinct("source_key").alias("files"),
-            F.coalesce(F.sum(F.when(rows, F.col("n"))), F.lit(0)).alias("rows"),
-            F.coalesce(F.sum(F.when(F.col("kind") == DROPPED, F.col("n"))), F.lit(0)).alias(
-                "dropped"
-            ),
-            F.coalesce(F.sum(F.when(F.col("kind") == BAD, F.col("n"))), F.lit(0)).alias(
-                "bad_files"
-            ),
-            F.countDistinct(F.when(rows, F.col("account_id"))).alias("accounts"),
-            F.countDistinct(F.when(rows, F.col("resource_type"))).alias("types"),
-        ).withColumn("ingest_ts", instant(ingest_ts))
-        per_file = cells.groupBy("source_key", "kind").agg(F.sum("n").alias("n"))
+        profile, mode = BatchProfile(), "overwrite"
+        for page in pages:
+            rows, seen = profile.observe(classify(page, ingest_ts))
+            self._write_kinds(rows, target, mode)
+            profile.add(seen.get)
+            mode = "append"
+        if mode == "overwrite":
+            none = self.spark.createDataFrame([], _LANDED).drop("batch_id")
+            self._write_kinds(none, target, mode)
+        files = self.spark.createDataFrame(sorted(profile.files), "source_key string, kind string")
+        entry = {
+            "files": len({f for f, _ in profile.files}),
+            "rows": profile.counts[ROW],
+            "dropped": profile.counts[DROPPED],
+            "bad_files": profile.counts[BAD],
+            "accounts": len(profile.accounts),
+            "types": len(profile.types),
+        }
+        numbers = [F.lit(n).cast("long").alias(name) for name, n in entry.items()]
         # The batch counts once its entry in the ingest log exists, so that comes last.
-        for log, name in ((per_file, "file_log"), (entry, "ingest_log")):
-            target = f"{self.root}/{name}/batch_id={int(batch_id)}"
-            self._write_log(log, target, "overwrite")
+        self.put("file_log", files, batch_id)
+        self.put("ingest_log", self.spark.range(1).select(*numbers, instant(ingest_ts).alias("ingest_ts")), batch_id)
 
-    def _write_log(self, log: DataFrame, target: str, mode: str) -> None:
-        log.coalesce(1).write.mode(mode).option("partitionOverwriteMode", "static").parquet(target)
+    def put(self, name: str, rows: DataFrame, batch_id: int) -> DataFrame:
+        """Write what belongs to a batch into a folder of its own, and read it back."""
+        target = f"{self.root}/{name}/batch_id={int(batch_id)}"
+        rows.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(target)
+        return self.spark.read.schema(rows.schema).parquet(target)
+
+    def made(self, name: str, schema: str) -> str:
+        """The path of a folder, which exists from now on."""
+        path = f"{self.root}/{name}"
+        self.spark.createDataFrame([], schema).write.partitionBy("batch_id").mode("append").parquet(path)
+        return path
 
     def _write_kinds(self, rows: DataFrame, target: str, mode: str) -> None:
         (
@@ -209,65 +254,36 @@ class InventoryStore:
         )
 
     def nightly(self, as_of, days: int = 7, rows_per_file: int | None = None) -> int:
-        """Merge, expire and compact into a new version; the number of that version.
+        """Merge, expire and compact; the number of the run.
 
-        Only accounts with landed or expired rows are written; see ``nightly_changes``. A
-        failed run leaves the current version in place.
+        Only accounts with landed or expired rows are written; see ``nightly_changes``. The
+        others are not read beyond the time column that tells whether rows have expired.
         """
-        version, since = self._current()
+        run, since, published = self._last_run()
+        if not published:
+            self._publish(run)
         through = self._last_batch()
-        columns = OPERATIONAL.names
-        landed = self.landed(since, through).where(F.col("kind") == ROW).select(*columns)
-        again = self.redriven().where((F.col("kind") == ROW) & (F.col("version") == version))
-        landed = landed.unionByName(again.select(*columns))
-        touched, rows = maintenance.nightly_changes(self._base(version), landed, as_of, days)
-        target = f"{self.root}/versions/version={version + 1}"
-        write_version(rows, target, rows_per_file)
-        written = read_operational(self.spark, target).groupBy("account_id").count()
-        log = touched.join(written, "account_id", "left").select(
-            "account_id", F.coalesce("count", F.lit(0)).alias("rows")
+        landed = self.landed(since, through).where(F.col("kind") == ROW).select(*OPERATIONAL.names)
+        touched, rows = maintenance.nightly_changes(self._accounts("table"), landed, as_of, days)
+        # An account without rows keeps its mark, as replacing touches only accounts that are written.
+        marks = touched.select(
+            *[F.col(f.name) if f.name == "account_id" else F.lit(None).cast(f.dataType).alias(f.name) for f in OPERATIONAL]
         )
-        self._write_log(log, f"{self.root}/account_log/version={version + 1}", "overwrite")
+        write_version(rows.unionByName(marks), self._changes(run + 1), rows_per_file)
         entry = self.spark.range(1).select(
-            F.lit(version + 1).cast("long").alias("version"),
+            F.lit(run + 1).cast("long").alias("run"),
             F.lit(through).cast("long").alias("through_batch"),
             instant(as_of).alias("as_of"),
         )
-        self._write_log(entry, f"{self.root}/version_log", "append")
-        return version + 1
-
-    # -- files that could not be read -------------------------------------------
-
-    def failed_files(self, source: str, attempt: int = 0) -> DataFrame:
-        """``source_key`` of files still unread after a number of further attempts.
-
-        These are documents that are no snapshots, and listed files that gave no row.
-        """
-        seen = self.file_log()
-        bad = seen.where(F.col("kind") == BAD).select("source_key")
-        listed = list_files(self.spark, source, "*.json.gz")
-        failed = bad.unionByName(unread_files(listed, seen)).distinct()
-        if attempt < 1:
-            return failed
-        good = self.redriven().where((F.col("kind") != BAD) & (F.col("attempt") <= attempt))
-        return failed.join(good.select("source_key").distinct(), "source_key", "left_anti")
-
-    def redrive(self, source: str, attempt: int, ingest_ts) -> None:
-        """Read failed files again, in pages of paths; attempts count from 1."""
-        if not 1 <= attempt <= MAX_ATTEMPTS:
-            raise ValueError(f"attempt must be between 1 and {MAX_ATTEMPTS}")
-        version, _ = self._current()
-        target = f"{self.root}/redriven/version={version}/attempt={attempt}"
-        # The list is fixed first: the pages below add to what it is computed from.
-        todo = f"{self.root}/redrive_list/version={version}/attempt={attempt}"
-        self.failed_files(source, attempt - 1).write.mode("overwrite").parquet(todo)
-        keys = (r["source_key"] for r in self.spark.read.parquet(todo).toLocalIterator())
-        mode = "overwrite"
-        while page := list(islice(keys, _PATHS_PER_READ)):
-            again = classify(read_files(self.spark, page), ingest_ts)
-            self._write_kinds(again, target, mode)
-            mode = "append"
-
-    def dead_letters(self, source: str) -> DataFrame:
-        """Files given up after the last attempt."""
-        return self.failed_files(source, MAX_ATTEMPTS)
+        self._log(entry, PREPARED)
+        self._publish(run + 1)
+        return run + 1
+
+    def _publish(self, run: int) -> None:
+        """Put a run's accounts in the place of the table's; done again, it changes nothing."""
+        replace_accounts(read_operational(self.spark, self._changes(run)), f"{self.root}/table")
+        entry = self.run_log().where((F.col("run") == run) & (F.col("state") == PREPARED)).drop("state").first()
+        self._log(self.spark.createDataFrame([entry], "run long, through_batch long, as_of timestamp"), PUBLISHED)
+
+    def _log(self, entry: DataFrame, state: str) -> None:
+        entry.withColumn("state", F.lit(state)).coalesce(1).write.mode("append").parquet(f"{self.root}/run_log")

@@ -15,6 +15,10 @@ RUNTIME_CONF = {
     "spark.sql.sources.fileCompressionFactor": "10.0",
     # Rows with long texts reach Python in batches that fit beside the JVM.
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    # The state of streams lies in files beside the executors' memory; timers need this store.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # Splits hot join keys and hot accounts at run time, merges small partitions.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

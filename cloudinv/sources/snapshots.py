@@ -3,6 +3,7 @@
 import re
 from datetime import date, datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,6 +145,24 @@ def read_raw_items(
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Snapshots of named files; characters that form patterns are taken literally."""
-    literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in paths]
-    return _with_source(_options(spark.read, skip_broken=True).json(literal))
+    """Snapshots of named files; characters that form patterns are taken literally.
+
+    Files that are not there, or whose archive is broken, give no row.
+    """
+    literal = {re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in paths}
+    while literal:
+        try:
+            return _with_source(_options(spark.read, skip_broken=True).json(sorted(literal)))
+        except AnalysisException as error:
+            # Spark names one missing path at a time, which is rarely there to be found.
+            missing = _plain((error.getMessageParameters() or {}).get("path"))
+            left = {path for path in literal if _plain(path) != missing}
+            if error.getCondition() != "PATH_NOT_FOUND" or left == literal:
+                raise
+            literal = left
+    return spark.createDataFrame([], SNAPSHOT).withColumn("source_key", F.lit(None).cast("string"))
+
+
+def _plain(path: str | None) -> str | None:
+    """A path without escapes and without the slashes of an empty authority."""
+    return path and re.sub(r"^(\w+:)/+", r"\1/", path.replace("\\", ""))

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from cloudinv.schema import OPERATIONAL
+from cloudinv.session import workspace
 
 SORT = ("account_id", "resource_type", "arn")
 
@@ -46,6 +47,19 @@ def export_parquet(df: DataFrame, path: str) -> None:
     _writer(clustered(df), "overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def replace_accounts(df: DataFrame, path: str) -> None:
+    """The same for rows that already lie account by account: they are not shuffled again."""
+    ordered = df.sortWithinPartitions(*SORT)
+    _writer(ordered, "overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared scratch folder and read back."""
+    path = workspace(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_operational(spark: SparkSession, path: str) -> DataFrame:
     """Read the table with its fixed schema, so account ids stay text."""
     return spark.read.schema(OPERATIONAL).parquet(path).select(*OPERATIONAL.names)

@@ -1,12 +1,26 @@
 """Continuous ingest of snapshot files."""
 
+from collections.abc import Iterator
 from datetime import datetime, timezone
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cloudinv.plans.store import InventoryStore
-from cloudinv.sources.snapshots import Day, stream_snapshots
+from cloudinv.sources.notices import LOCATION, stream_notices
+from cloudinv.sources.snapshots import Day, read_files, stream_snapshots
+from cloudinv.streaming.attempts import DEAD, MAX_ATTEMPTS, OUTCOME, READ, attempts
+
+#: Files that one job reads by name.
+PAGE = 500
+
+
+def _started(rows: DataFrame, land, checkpoint: str, interval: str | None) -> StreamingQuery:
+    trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
+    writer = rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+    return writer.trigger(**trigger).start()
 
 
 def stream_ingest(
@@ -31,11 +45,60 @@ def stream_ingest(
         stamp = ingest_ts or datetime.now(timezone.utc)
         InventoryStore(batch.sparkSession, store_root).land(batch, batch_id, stamp)
 
-    trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
-    return (
-        stream_snapshots(spark, source, region, files_per_batch, day)
-        .writeStream.foreachBatch(land)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
+    snapshots = stream_snapshots(spark, source, region, files_per_batch, day)
+    return _started(snapshots, land, checkpoint, interval)
+
+
+def _pages(tasks: DataFrame, size: int = PAGE) -> Iterator[list[str]]:
+    """Paths to read, a bounded list at a time; a path that several versions name is read once."""
+    paths = (r["path"] for r in tasks.where(F.col("verdict") == READ).select("path").distinct().toLocalIterator())
+    while page := list(islice(paths, size)):
+        yield page
+
+
+def stream_events(
+    spark: SparkSession,
+    messages: str,
+    store_root: str,
+    checkpoint: str,
+    location: str = LOCATION,
+    files_per_batch: int = 25,
+    interval: str | None = "60 seconds",
+    ingest_ts: datetime | None = None,
+    horizon: str = "1 day",
+    most: int = MAX_ATTEMPTS,
+) -> StreamingQuery:
+    """Start landing the files that object-created messages name, without listing their folders.
+
+    ``messages`` is a folder of message files, of which a batch takes ``files_per_batch``. A file
+    that gives no snapshot, or is not there, is read again up to ``most`` times in all and then
+    becomes a dead letter; see :class:`cloudinv.streaming.attempts.Attempts`. Outcomes are written
+    to the store and come back as a second input, one batch later. With ``interval=None`` the query
+    takes what is there and stops, so each start makes one attempt at what failed before.
+
+    A batch that is replayed replaces its own folders, and the state passes over outcomes it has
+    seen. One query feeds a store, as batches are known by its numbers.
+    """
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        store = InventoryStore(session, store_root)
+        tasks = store.put("tasks", batch, batch_id)
+        stamp = ingest_ts or datetime.now(timezone.utc)
+        store.land_pages((read_files(session, page) for page in _pages(tasks)), batch_id, stamp)
+        dead = tasks.where(F.col("verdict") == DEAD).select("path", "version", "attempt")
+        store.put("dead_letters", dead, batch_id)
+        read = tasks.where(F.col("verdict") == READ)
+        outcomes = read.join(store.good_files(batch_id), read["path"] == F.col("source_key"), "left").select(
+            "path", "version", "attempt", F.col("source_key").isNotNull().alias("ok")
+        )
+        # Outcomes come last: what they report is landed by then.
+        store.put("outcomes", outcomes, batch_id)
+
+    store = InventoryStore(spark, store_root)
+    # The stream needs its second input from the start.
+    outcomes = spark.readStream.schema(f"{OUTCOME}, batch_id long").option("maxFilesPerTrigger", files_per_batch)
+    outcomes = outcomes.parquet(store.made("outcomes", f"{OUTCOME}, batch_id long"))
+    outcomes = outcomes.drop("batch_id").withColumn("arrived_at", F.current_timestamp())
+    notices = stream_notices(spark, messages, location, horizon, files_per_batch)
+    return _started(attempts(notices, outcomes, most), land, checkpoint, interval)

@@ -1,16 +1,21 @@
 import gzip
+import json
 import os
+import shutil
 from datetime import datetime
+from urllib.parse import quote_plus
 
 import pytest
 from helpers import collected, deliver, folder, item
 from pyspark.sql import functions as F
 
+from cloudinv.operators import maintenance
 from cloudinv.operators.shaping import explode_items, flatten_items
+from cloudinv.plans import store as store_module
 from cloudinv.plans.store import InventoryStore
 from cloudinv.schema import OPERATIONAL_COLUMNS
-from cloudinv.sources import schemas, snapshots, tables
-from cloudinv.streaming.ingest import stream_ingest
+from cloudinv.sources import notices, schemas, snapshots, tables
+from cloudinv.streaming.ingest import stream_events, stream_ingest
 
 T0 = datetime(2026, 4, 9, 12)
 
@@ -173,14 +178,6 @@ def test_stream_lands_batches_and_sets_bad_files_aside(spark, root, tmp_path):
     bad = snapshots.quarantine(read).collect()
     assert {os.path.basename(r["source_key"]) for r in bad} >= {"array.json.gz", "cut.json.gz"}
 
-    # One file is repaired; the others are given up after three more attempts.
-    deliver(root, "cut.json.gz", [item(ARN="arn:repaired")])
-    for attempt in (1, 2, 3):
-        store.redrive(root, attempt, T0)
-    dead = {os.path.basename(r[0]) for r in store.dead_letters(root).collect()}
-    assert dead == failed - {"cut.json.gz"}
-    assert store.operational().where("arn = 'arn:repaired'").count() == 1
-
 
 def test_stream_restart_takes_only_new_files(spark, root, tmp_path):
     path = str(tmp_path / "store")
@@ -222,7 +219,7 @@ def test_batch_without_log_entry_is_not_read(spark, root, tmp_path):
     assert store.operational().count() == 5
 
 
-def test_nightly_folds_batches_into_a_version(spark, root, tmp_path):
+def test_nightly_folds_batches_into_the_table(spark, root, tmp_path):
     store = InventoryStore(spark, str(tmp_path / "store"))
     assert store.operational().count() == 0
     store.land(snapshots.read_snapshots(spark, root), 0, datetime(2026, 4, 1))
@@ -235,10 +232,142 @@ def test_nightly_folds_batches_into_a_version(spark, root, tmp_path):
     store.land(snapshots.read_snapshots(spark, root, region="us-east-1"), 2, T0)
     assert store.operational().count() == 5
     assert store.nightly(T0) == 1 and store.operational().count() == 5
-    assert store.version_log().count() == 2
-    # Nothing landed and nothing expired: the next version has no rows of its own.
+    assert store.run_log().count() == 4
+    # Nothing landed and nothing expired: the next run has no accounts to write.
     assert store.nightly(T0) == 2 and store.operational().count() == 5
-    assert spark.read.parquet(f"{store.root}/account_log/version=2").count() == 0
+    assert spark.read.schema("arn string").parquet(store._changes(2)).count() == 0
+    # An account of which every row has expired is replaced as well.
+    assert store.nightly(datetime(2026, 5, 1)) == 3 and store.operational().count() == 0
+
+
+@pytest.mark.parametrize("cut", ["write_version", "replace_accounts"])
+def test_a_nightly_run_that_was_cut_off_is_carried_on(spark, root, tmp_path, monkeypatch, cut):
+    store = InventoryStore(spark, str(tmp_path / "store"))
+    store.land(snapshots.read_snapshots(spark, root), 0, T0)
+    store.nightly(T0)
+    deliver(root, "more.json.gz", [item(ARN="arn:more"), item(ARN="arn:full", resourceName="renamed")])
+    new = os.path.join(folder(root), "more.json.gz")
+    store.land(snapshots.read_files(spark, [new]), 1, datetime(2026, 4, 9, 13))
+    want = collected(store.operational().where("arn <> 'arn:full'"), "account_id", "arn")
+    whole = getattr(store_module, cut)
+
+    def half(df, *args):
+        """One of the accounts is gone from the table when the driver is lost."""
+        if cut == "replace_accounts":
+            shutil.rmtree(f"{store.root}/table/account_id=000000000012")
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(store_module, cut, half)
+    with pytest.raises(RuntimeError, match="lost"):
+        store.nightly(T0)
+    monkeypatch.setattr(store_module, cut, whole)
+    assert collected(store.operational().where("arn <> 'arn:full'"), "account_id", "arn") == want
+    store.land(snapshots.read_files(spark, [new]), 2, datetime(2026, 4, 9, 14))
+    store.nightly(T0)
+    names = {r["resource_name"] for r in store.operational().where("arn = 'arn:full' AND account_id = '000000000012'").collect()}
+    assert names == {"renamed"} and store.operational().count() == 6
+    assert spark.read.parquet(f"{store.root}/table").where("arn IS NOT NULL").count() == 6
+
+
+def test_accounts_prune_the_table(spark, root, tmp_path):
+    """A run reads the folders of touched accounts only."""
+    path = str(tmp_path / "table")
+    tables.append(rows(spark, root), path)
+    base = tables.read_operational(spark, path)
+    _, changed = maintenance.nightly_changes(base, base.where("account_id = '000000000099'"), T0)
+    plan = changed._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    assert {r["account_id"] for r in changed.collect()} == {"000000000099"}
+
+
+def test_landing_reads_nothing_back(spark, root, tmp_path, monkeypatch):
+    """The log is observed while rows are written, so the batch's own folder is never scanned."""
+    store = InventoryStore(spark, str(tmp_path / "store"))
+    monkeypatch.setattr(store, "put", lambda name, rows, batch_id: logged.__setitem__(name, rows))
+    logged = {}
+    store.land(snapshots.read_snapshots(spark, root), 7, T0)
+    for rows_ in logged.values():
+        assert not rows_.inputFiles()
+    (entry,) = logged["ingest_log"].drop("ingest_ts").collect()
+    assert entry.asDict() == dict(files=4, rows=5, dropped=4, bad_files=0, accounts=2, types=1)
+
+
+# -- messages ----------------------------------------------------------------------------
+
+
+def message(*paths, bucket="", at="2026-04-09T12:00:00.000Z", version="1"):
+    one = lambda p: {"eventTime": at, "s3": {"bucket": {"name": bucket}, "object": {"key": quote_plus(p, safe="/"), "sequencer": version}}}
+    return json.dumps({"Records": [one(p) for p in paths]})
+
+
+def post(folder_, name, *lines):
+    os.makedirs(folder_, exist_ok=True)
+    with open(os.path.join(folder_, name), "w") as out:
+        out.write("\n".join(lines))
+
+
+def run_events(spark, messages, store, **kwargs):
+    query = stream_events(spark, messages, store, store + "-progress", "file:{bucket}{key}", interval=None, ingest_ts=T0, **kwargs)
+    query.awaitTermination()
+    return InventoryStore(spark, store)
+
+
+def test_notices(spark):
+    lines = [message("/x/a b+c é.json.gz", "/x/other.txt"), message("k.json.gz", bucket="b/"), '{"Event": "test"}', "no json", ""]
+    got = notices.parse_notices(spark.createDataFrame([(line,) for line in lines], "value string"), "file:{bucket}{key}")
+    assert collected(got, "path", "version") == [("file:/x/a b+c é.json.gz", "1"), ("file:b/k.json.gz", "1")]
+
+
+def test_doubled_and_late_messages_land_once(spark, root, tmp_path):
+    first = os.path.join(folder(root), "a b+c.json.gz")
+    second = os.path.join(folder(root, account="000000000099", region="us-east-1", day="2026/12/31"), "other.json.gz")
+    messages, path = str(tmp_path / "messages"), str(tmp_path / "store")
+    post(messages, "1", message(first), message(first), '{"Event": "test"}')
+    assert run_events(spark, messages, path, files_per_batch=1).operational().count() == 4
+    # The file is told of again by a later start, and the other one's message is months late.
+    post(messages, "2", message(first, second, at="2025-01-01T00:00:00.000Z"), message(os.path.join(folder(root), "skipped.json")))
+    store = run_events(spark, messages, path, files_per_batch=1)
+    assert store.operational().count() == 5 and store.dead_letters().count() == 0
+    # A new version of the object is another file.
+    post(messages, "3", message(second, version="2"))
+    assert run_events(spark, messages, path).operational().count() == 6
+
+
+def test_failing_files_get_three_attempts(spark, root, tmp_path):
+    """Also when the driver is lost after a batch was landed and before its checkpoint was written."""
+    deliver(root, "array.json.gz", None, document="[1,2]")
+    deliver(root, "cut.json.gz", None, document='{"configurationItems": [ {')
+    broken(root, "noarchive.json.gz", b"this is no archive")
+    here = folder(root)
+    names = ["a b+c.json.gz", "array.json.gz", "cut.json.gz", "noarchive.json.gz", "absent-file.json.gz"]
+    messages, path = str(tmp_path / "messages"), str(tmp_path / "store")
+    post(messages, "1", *[message(os.path.join(here, n)) for n in names])
+    put, lost = InventoryStore.put, []
+
+    def put_then_fail(self, name, rows_, batch_id):
+        found = put(self, name, rows_, batch_id)
+        if name == "outcomes" and not lost:
+            lost.append(batch_id)
+            raise RuntimeError("lost")
+        return found
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(InventoryStore, "put", put_then_fail)
+        with pytest.raises(Exception, match="lost"):
+            run_events(spark, messages, path)
+    run_events(spark, messages, path)
+    # One of them is repaired before its second attempt.
+    deliver(root, "cut.json.gz", [item(ARN="arn:repaired")])
+    for _ in range(3):
+        store = run_events(spark, messages, path)
+    dead = {(os.path.basename(r.path), r.attempt) for r in store.dead_letters().collect()}
+    assert dead == {("array.json.gz", 3), ("noarchive.json.gz", 3), ("absent-file.json.gz", 3)}
+    assert store.operational().count() == 5
+    tries = store.file_log().where("kind = 'bad'").groupBy("source_key").count().collect()
+    assert {os.path.basename(r.source_key): r["count"] for r in tries} == {"array.json.gz": 3, "cut.json.gz": 1}
+    before = spark.read.parquet(f"{path}/tasks").count()
+    run_events(spark, messages, path)
+    assert spark.read.parquet(f"{path}/tasks").count() == before
 
 
 def test_schema_files(spark, tmp_path):
