@@ -344,6 +344,9 @@ _LATEST = f"SELECT {_KEPT} FROM (SELECT *, {_RANK} AS rn FROM obs) WHERE rn = 1"
 
 ORACLE: dict[str, str] = {
     "s1_read_snapshots": f"{_DELIVERED} SELECT {_ROW} FROM delivered WHERE {_GOOD}",
+    "s1_read_by_item": f"{_DELIVERED} SELECT {_ROW} FROM delivered WHERE {_GOOD}",
+    "s1_broken_files": "SELECT count(*) AS items, (SELECT count(DISTINCT lang) FROM documents) AS bad_files"
+    " FROM events JOIN customer ON user_id = c_custkey",
     "s2_read_one_day": f"{_DELIVERED} SELECT {_ROW} FROM delivered WHERE {_GOOD}"
     " AND ts >= TIMESTAMP '2024-01-16'",
     "s3_skip_other_files": f"{_DELIVERED} SELECT TRUE AS snapshot_file, count(*) AS items FROM delivered",
@@ -364,6 +367,8 @@ ORACLE: dict[str, str] = {
     "s8_count_export": _q("interface", sql="SELECT count(*) AS rows FROM live"),
     "s9_unpack_lines": f"{_DELIVERED} SELECT resource_id, account_id, configuration FROM delivered"
     " WHERE ts < TIMESTAMP '2024-01-16'",
+    "s9_lines_by_item": f"{_DELIVERED} SELECT resource_id, account_id, configuration FROM delivered"
+    " WHERE ts < TIMESTAMP '2024-01-16'",
     "s10_schema_fields": f"WITH {_FIELDS} SELECT resource_type, path, type FROM fields",
     "s11_upsert_vectors": "SELECT vec_id AS key, label AS service, len(embedding)::INT AS dims FROM embeddings"
     " WHERE vec_id NOT IN (SELECT doc_id FROM labels)"

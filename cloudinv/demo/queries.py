@@ -16,6 +16,7 @@ from cloudinv.plans import catalog
 from cloudinv.plans.store import InventoryStore
 from cloudinv.plans.views import register_live
 from cloudinv.session import configure, workspace
+from cloudinv.sources import items as item_source
 from cloudinv.sources import schemas, snapshots, tables
 from cloudinv.streaming.attempts import MAX_ATTEMPTS
 from cloudinv.streaming.ingest import stream_events, stream_ingest
@@ -67,6 +68,23 @@ def read_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(snapshots.read_snapshots(spark, _delivered(spark, sf_dir)), strict=False)
 
 
+def read_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shaping.flatten_items(item_source.read_items(spark, _delivered(spark, sf_dir)), INGESTED)
+    return _plain_times(rows.select(*_ROW, F.expr(_FROM_FILE)))
+
+
+def broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of whole documents and the number of files that are none, from one pass."""
+    root = _delivered(spark, sf_dir)
+    files.write_bad_snapshots(spark, sf_dir, root)
+    texts = item_source.read_item_texts(spark, root)
+    return texts.agg(F.count("value").alias("items"), F.count("error").alias("bad_files"))
+
+
+def lines_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_fields(item_source.read_lines(spark, _delivered(spark, sf_dir), files.REGION, files.DAYS[0]))
+
+
 def read_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = snapshots.read_snapshots(
         spark, _delivered(spark, sf_dir), region=files.REGION, day=files.DAYS[1]
@@ -200,7 +218,11 @@ def export_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unpack_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, out = _delivered(spark, sf_dir), workspace(spark, "lines")
     snapshots.unpack(spark, source, out, files.REGION, files.DAYS[0])
-    return spark.read.text(out).select(
+    return _line_fields(spark.read.text(out))
+
+
+def _line_fields(lines: DataFrame) -> DataFrame:
+    return lines.select(
         json_scalar(F.col("value"), "$.resourceId").alias("resource_id"),
         json_scalar(F.col("value"), "$.awsAccountId").alias("account_id"),
         json_value(F.col("value"), "$.configuration").alias("configuration"),
@@ -501,6 +523,8 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "s1_read_snapshots": read_all,
+    "s1_read_by_item": read_by_item,
+    "s1_broken_files": broken_files,
     "s2_read_one_day": read_day,
     "s3_skip_other_files": read_suffix,
     "s4_quarantine": read_quarantine,
@@ -511,6 +535,7 @@ QUERIES: dict[str, Query] = {
     "s7_export_parquet": export_rows,
     "s8_count_export": export_count,
     "s9_unpack_lines": unpack_lines,
+    "s9_lines_by_item": lines_by_item,
     "s10_schema_fields": schema_fields,
     "s11_upsert_vectors": upsert_vectors,
     "s12_ingest_log": ingest_log,
