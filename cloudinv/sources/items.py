@@ -140,10 +140,12 @@ class Files(InputPartition):
 
 
 def _system(uri: str) -> tuple[pafs.FileSystem, str, str]:
-    """The file system of a URI or local path, the path in it, and what goes before such paths."""
-    system, path = pafs.FileSystem.from_uri(uri)
-    scheme = uri.split("://")[0] + "://" if "://" in uri else "file://"
-    return system, path.rstrip("/"), scheme
+    """The file system of a URI or local path, the path in it, and what goes before such paths in Spark's names."""
+    scheme, _, rest = uri.rpartition("://") if "://" in uri else ("file", "", uri.removeprefix("file:"))
+    system, path = pafs.FileSystem.from_uri(rest if scheme == "file" else f"{scheme.replace('s3a', 's3')}://{rest}")
+    # Paths of object stores begin with the bucket, others with a slash after the host.
+    host = rest.split("/")[0] if path.startswith("/") else ""
+    return system, path.rstrip("/"), "file:" if scheme == "file" else f"{scheme}://{host}"
 
 
 def _pattern(glob: str) -> re.Pattern:

@@ -103,6 +103,7 @@ def test_rows_equal_the_whole_document_reader(spark, tmp_path):
             out.write(data)
     got = collected(flatten_items(items.read_items(spark, root), T0))
     assert got == good and len(got) == 4
+    assert collected(items.read_items(spark, f"file://{root}"), "source_key") == collected(items.read_items(spark, root), "source_key")
     bad = items.read_item_texts(spark, root).where("error IS NOT NULL").collect()
     assert {os.path.basename(r.source_key) for r in bad} == {f"{n}.json.gz" for n in ("array", "half", "noarchive", "cut", "nothing")}
     assert items.read_item_texts(spark, root).where("value IS NULL AND error IS NULL").count() == 1
