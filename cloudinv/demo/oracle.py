@@ -314,16 +314,36 @@ attached AS (
          (l_linenumber = 1)::VARCHAR AS delete_on_termination
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN homes ON o_custkey = c_custkey)
 SELECT * FROM attached"""
-_EDGES = """
-listed AS (
-  SELECT account_id, resource_type AS source_type, resource_id AS source_id,
-         unnest(from_json(relationships, '[{"resourceId":"VARCHAR","resourceType":"VARCHAR","name":"VARCHAR"}]')) AS e
-  FROM live),
-edges AS (
-  SELECT l.account_id, source_type, source_id, e.name AS name, e.resourceType AS target_type,
-         e.resourceId AS target_id, t.arn AS target_arn
-  FROM listed l LEFT JOIN live t ON l.account_id = t.account_id
-   AND e.resourceType = t.resource_type AND e.resourceId = t.resource_id)"""
+
+
+def _pointing(source, name, target, nation, source_id, target_id, found, table):
+    return f"""
+  SELECT {_ACCOUNT.format(nation)} AS account_id, '{target}' AS target_type, ({target_id})::VARCHAR AS target_id,
+         '{source}' AS source_type, ({source_id})::VARCHAR AS source_id, '{name}' AS name,
+         CASE WHEN {found} THEN 'arn:{target.rsplit("::", 1)[-1].lower()}/' || ({target_id}) END AS target_arn
+  FROM {table}"""
+
+
+_IN_VPC, _IN_SUBNET = "Is contained in Vpc", "Is contained in Subnet"
+_ORDERED = "orders JOIN homes ON o_custkey = c_custkey"
+_SEEN = "events JOIN homes ON user_id = c_custkey"
+_RESOLVED = f"WITH {_HOMES}" + " UNION ALL ".join([
+    _pointing("AWS::EC2::Subnet", _IN_VPC, "AWS::EC2::VPC", "c_nationkey", "'subnet-' || c_custkey", "vpc_id", "TRUE", "homes"),
+    _pointing("AWS::EC2::Instance", _IN_VPC, "AWS::EC2::VPC", "c_nationkey", "'i-' || o_orderkey", "vpc_id", "TRUE", _ORDERED),
+    _pointing("AWS::EC2::Instance", _IN_SUBNET, "AWS::EC2::Subnet", "c_nationkey", "'i-' || o_orderkey",
+              "'subnet-' || o_custkey", "TRUE", _ORDERED),
+    _pointing("AWS::EC2::Volume", "Is attached to Instance", "AWS::EC2::Instance", "c_nationkey",
+              "'vol-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey",
+              "'i-' || l_orderkey", "TRUE", "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN homes ON o_custkey = c_custkey"),
+    _pointing("AWS::EC2::NetworkInterface", _IN_SUBNET, "AWS::EC2::Subnet", "c_nationkey", "'eni-' || event_id",
+              "'subnet-' || user_id", "TRUE", _SEEN),
+    _pointing("AWS::EC2::NetworkInterface", _IN_VPC, "AWS::EC2::VPC", "c_nationkey", "'eni-' || event_id", "vpc_id", "TRUE", _SEEN),
+    _pointing("AWS::Lambda::Function", "Is associated with IAM Role", "AWS::IAM::Role", "p_partkey % 25", "'fn-' || p_partkey",
+              "p_partkey % 10", "s_suppkey IS NOT NULL",
+              "part LEFT JOIN supplier ON s_suppkey = p_partkey % 10 AND s_nationkey = p_partkey % 25"),
+    _pointing("AWS::S3::Bucket", "Is encrypted by KMS Key", "AWS::KMS::Key", "page_id % 25", "'b-' || page_id",
+              "'key-' || page_id", "p_partkey IS NOT NULL", "pages LEFT JOIN part ON p_partkey = page_id"),
+])
 
 _MERGE_UPDATE = f"""WITH {_OBS},
 target AS (SELECT * FROM obs WHERE last_seen_at < TIMESTAMP '2024-01-16'),
@@ -424,6 +444,8 @@ ORACLE: dict[str, str] = {
     " WHEN event_type = 'click' THEN 14 WHEN event_type = 'view' THEN 7"
     " WHEN event_type = 'purchase' THEN 1 END AS days FROM events)"
     " WHERE modified_at < TIMESTAMP '2024-01-20' - to_days(days)",
+    "m6_listed_files": "SELECT 3 AS days, ceil(count(*) / 2000.0)::BIGINT AS files FROM events"
+    " UNION ALL SELECT 30, ceil((SELECT count(*) FROM events) / 2000.0)::BIGINT + count(DISTINCT lang) FROM documents",
     "a1_overview": _q(sql=f"{_OVERVIEW} live"),
     "a1_overview_observed": f"WITH {_OBS} {_OVERVIEW} obs WHERE last_seen_at >"
     " (SELECT as_of FROM newest) - INTERVAL 240 HOUR",
@@ -521,12 +543,9 @@ WHERE l_linestatus = 'F' AND l_quantity >= 45""",
         " WHERE lower(configuration) LIKE '%ec2.amazonaws.com%'"
         " AND lower(configuration) LIKE '%sts:assumerole%'",
     ),
-    "q16_resolved_edges": _q(ctes=_EDGES.strip(), sql="SELECT * FROM edges"),
-    "q16_edge_counts": _q(
-        ctes=_EDGES.strip(),
-        sql="SELECT source_type, name, target_type, count(*) AS edge_count,"
-        " count(target_arn) AS resolved_count FROM edges GROUP BY 1, 2, 3",
-    ),
+    "q16_resolved_edges": _RESOLVED,
+    "q16_edge_counts": "SELECT source_type, name, target_type, count(*) AS edge_count,"
+    f" count(target_arn) AS resolved_count FROM ({_RESOLVED}) GROUP BY 1, 2, 3",
     "q17_state_changes": f"""WITH {_OBS}
 SELECT account_id, arn, last_seen_at AS changed_at, before AS previous_state, state_hash AS current_state
 FROM (SELECT *, lag(state_hash) OVER w AS before, row_number() OVER w AS rn FROM obs
@@ -571,6 +590,11 @@ FROM extracted""",
         "vpc", "subnet", "instance", "volume", "interface",
         sql="SELECT aws_region, resource_type, count(*) AS n FROM live GROUP BY 1, 2",
     ),
+    "g3_null_order": _q(
+        "instance", "interface",
+        sql=f"SELECT aws_region, substr({_s('$.subnetId')}, 8, 1) AS digit, count(*) AS n FROM live"
+        " GROUP BY 1, 2 ORDER BY aws_region NULLS LAST, digit NULLS LAST LIMIT 47",
+    ),
     "g3_run_json_sql": _q(
         "vpc", "instance",
         sql=f"SELECT {_s('$.Environment', 'm.tags')} AS environment, {_s('$.cidrBlock', 'n.configuration')} AS cidr,"

@@ -389,6 +389,20 @@ def expired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_times(maintenance.expired_files(stored, rules, "2024-01-20T00:00:00"))
 
 
+def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivered files by a listing, against a rule for each part, two of which are for their folders."""
+    root = _delivered(spark, sf_dir)
+    files.write_bad_snapshots(spark, sf_dir, root)
+    listed = snapshots.list_files(spark, root)
+    place = root.split(":", 1)[-1].lstrip("/") + "/AWSLogs/"
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit(place), "p_name", F.lit("/"), "p_partkey")).limit(10_000)
+    rules = [(r[0], 1) for r in parts.collect()] + [(place, 30), (f"{place}{0:012d}/Config/{files.REGION}/2024/1/15/", 3)]
+    later = F.current_timestamp() + F.expr("interval 10 days")
+    soon = maintenance.expired_files(listed, rules, later)
+    latest_ = maintenance.expired_files(listed, rules, later + F.expr("interval 30 days")).join(soon, "path", "left_anti")
+    return soon.select("days").unionByName(latest_.select("days")).groupBy("days").agg(F.count(F.lit(1)).alias("files"))
+
+
 # -- statistics ------------------------------------------------------------------------
 
 
@@ -492,6 +506,19 @@ def run_readonly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def null_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups without a subnet come last in their region, and the limit cuts within a region."""
+    register_live(spark, _live(spark, sf_dir))
+    return audit.run_readonly(
+        spark,
+        """
+        SELECT aws_region, substr(json_extract_scalar(configuration, '$.subnetId'), 8, 1) AS "digit", COUNT(*) AS n
+        FROM operational_live WHERE resource_type IN ('AWS::EC2::Instance', 'AWS::EC2::NetworkInterface')
+        GROUP BY 1, 2 ORDER BY aws_region, "digit" LIMIT 47
+        """,
+    )
+
+
 def run_json_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_live(spark, _live(spark, sf_dir))
     return audit.run_readonly(
@@ -559,6 +586,7 @@ QUERIES: dict[str, Query] = {
     "m4_compact_files": compact,
     "m5_nightly": nightly,
     "m6_expired_files": expired_files,
+    "m6_listed_files": listed_files,
     "a1_overview": overview,
     "a1_overview_observed": overview_observed,
     "a2_by_type": _catalogued(stats.by_type),
@@ -606,6 +634,7 @@ QUERIES: dict[str, Query] = {
     "g1_extract_sql": extract_sql,
     "g2_validate_sql": validate_sql,
     "g3_run_readonly": run_readonly,
+    "g3_null_order": null_order,
     "g3_run_json_sql": run_json_sql,
     "g4_stage_timings": lambda spark, sf: audit.stage_timings(_jobs(spark, sf)),
     "g4_stage_rows": lambda spark, sf: audit.stage_rows(_jobs(spark, sf)).select(

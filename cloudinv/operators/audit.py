@@ -1,8 +1,8 @@
 """Checks of generated SQL and reports over job documents."""
 
 import re
-import warnings
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,22 +50,60 @@ def validate_sql(statements: DataFrame, sql: str = "sql") -> DataFrame:
     return statements.withColumn("verdict", sql_verdict(F.col(sql)))
 
 
+_CATALYST = "org.apache.spark.sql.catalyst"
+
+
+def _parts(gateway, node) -> list:
+    """What a node of a parsed statement holds: its children, its expressions, and plans within them."""
+    held = [node.children(), node.innerChildren()]
+    if is_instance_of(gateway, node, f"{_CATALYST}.plans.QueryPlan"):
+        held.append(node.expressions())
+    found = [some.apply(i) for some in held for i in range(some.size())]
+    if is_instance_of(gateway, node, f"{_CATALYST}.expressions.PlanExpression"):
+        found.append(node.plan())
+    return found
+
+
+def _sort_keys(gateway, node) -> set[tuple[int, int]]:
+    """First and last character of every sort key in a parsed statement, windows and subqueries included."""
+    found, open_ = set(), [node]
+    while open_:
+        node = open_.pop()
+        if node.getClass().getSimpleName() == "SortOrder":
+            origin = node.origin()
+            if origin.startIndex().isDefined():
+                found.add((origin.startIndex().get(), origin.stopIndex().get()))
+        open_ += _parts(gateway, node)
+    return found
+
+
+def nulls_last(spark: SparkSession, sql: str) -> str:
+    """``sql`` with NULLS LAST behind every sort key that does not say where NULLs go.
+
+    Other engines put them last in both directions, Spark first in ascending order, which decides
+    what a limit keeps. Spark's own parser tells where the keys stand, so text that only looks
+    like an order is left alone.
+    """
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    for first, last in sorted(_sort_keys(spark.sparkContext._gateway, plan), key=lambda k: -k[1]):
+        if not re.search(r"(?i)\bnulls\s+(first|last)$", sql[first : last + 1]):
+            sql = f"{sql[: last + 1]} NULLS LAST{sql[last + 1 :]}"
+    return sql
+
+
 def run_readonly(spark: SparkSession, sql: str, limit: int = ROW_LIMIT) -> DataFrame:
     """Run an accepted SELECT, with at most ``limit`` rows of result.
 
-    Double quotes name columns, as in standard SQL. Ascending order puts NULLs first here and
-    last in other engines, which decides what a limit keeps; a text that orders without saying
-    NULLS FIRST or LAST gives a warning.
+    Double quotes name columns, as in standard SQL, and NULLs come last unless the text says
+    otherwise; see :func:`nulls_last`.
     """
-    if re.search(r"(?i)\border\s+by\b", sql) and not re.search(r"(?i)\bnulls\s+(first|last)\b", sql):
-        warnings.warn("ORDER BY without NULLS FIRST or LAST", stacklevel=2)
     verdict = spark.range(1).select(sql_verdict(F.lit(sql)).alias("v")).first()["v"]
     if verdict != "ok":
         raise ValueError(f"statement refused: {verdict}")
     before = spark.conf.get(_QUOTED, "false")
     spark.conf.set(_QUOTED, "true")
     try:
-        return spark.sql(sql).limit(limit)
+        return spark.sql(nulls_last(spark, sql)).limit(limit)
     finally:
         spark.conf.set(_QUOTED, before)
 

@@ -38,15 +38,6 @@ def test_run_readonly(spark):
             audit.run_readonly(spark, sql)
 
 
-def test_order_of_nulls_is_reported(spark):
-    spark.sql("SELECT * FROM VALUES (1), (NULL) AS t(x)").createOrReplaceTempView("some")
-    with pytest.warns(UserWarning, match="NULLS"):
-        first = audit.run_readonly(spark, "SELECT x FROM some ORDER BY x", 1)
-    assert first.collect()[0][0] is None
-    said = audit.run_readonly(spark, "SELECT x FROM some ORDER BY x NULLS LAST", 1)
-    assert said.collect()[0][0] == 1
-
-
 def jobs(spark):
     def doc(job, status, ms, error=None):
         stages = {s: {"status": "done", "ms": m} for s, m in ms.items()}
@@ -140,3 +131,28 @@ def test_stage_rows(spark):
     assert set(rows) == {"embed", "athena"} and rows["embed"]["ms"] == 750.0
     assert rows["embed"]["started_at"].microsecond == 250000 and rows["athena"]["ended_at"] is None
     assert tuple(parsed.select("result.sql", "result.row_count").first()) == ("SELECT 1", 3)
+
+
+def test_nulls_come_last_where_the_text_does_not_say(spark):
+    last = lambda sql: audit.nulls_last(spark, sql)
+    assert last("SELECT a FROM t ORDER BY a, b DESC LIMIT 3") == (
+        "SELECT a FROM t ORDER BY a NULLS LAST, b DESC NULLS LAST LIMIT 3"
+    )
+    assert last("SELECT a FROM t ORDER BY a NULLS FIRST, lower(b) ASC nulls  last") == (
+        "SELECT a FROM t ORDER BY a NULLS FIRST, lower(b) ASC nulls  last"
+    )
+    assert last("SELECT 'ORDER BY x' AS s FROM t -- ORDER BY y") == "SELECT 'ORDER BY x' AS s FROM t -- ORDER BY y"
+    nested = (
+        "WITH w AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) AS r FROM (SELECT * FROM t ORDER BY c LIMIT 9)) "
+        "SELECT a FROM w WHERE a IN (SELECT max(x) FROM u GROUP BY y ORDER BY y LIMIT 2) ORDER BY 1"
+    )
+    got = last(nested)
+    assert got.count("NULLS LAST") == 4
+    for key in ("ORDER BY b NULLS LAST)", "ORDER BY c NULLS LAST LIMIT", "ORDER BY y NULLS LAST LIMIT", "ORDER BY 1 NULLS LAST"):
+        assert key in got
+
+
+def test_a_limit_keeps_known_values_first(spark):
+    spark.createDataFrame([(None,), (2,), (None,), (1,)], "a int").createOrReplaceTempView("some_nulls")
+    run = lambda order: [r[0] for r in audit.run_readonly(spark, f"SELECT a FROM some_nulls ORDER BY {order} LIMIT 3").collect()]
+    assert run("a") == [1, 2, None] and run("a DESC") == [2, 1, None] and run("a NULLS FIRST") == [None, None, 1]

@@ -190,3 +190,34 @@ def test_update_and_upsert_with_a_hot_key(spark):
     assert counts == {"new": n // 3, "old": n - n // 3}
     merged = M.upsert(target, source, key="arn", order=("last_seen_at",))
     assert merged.count() == n - n // 3 + 1
+
+
+def test_prefix_rules_against_plain_python():
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(4)
+    letters = "ab/é\U0010ffff"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(rng.randrange(n)))
+    for _ in range(200):
+        rules = {word(6): rng.randrange(100) for _ in range(rng.randrange(12))}
+        paths = [word(9) for _ in range(50)] + list(rules) + [None]
+        want = [
+            None if p is None else max(((len(r), d) for r, d in rules.items() if p.startswith(r)), default=(0, None))[1] for p in paths
+        ]
+        got = M.PrefixRules(rules.items()).of(pd.Series(paths, dtype=object))
+        assert [None if pd.isna(x) else int(x) for x in got] == want
+
+
+def test_ten_thousand_rules(spark):
+    rules = [(f"bucket/{i:05d}/", i % 9 + 1) for i in range(10_000)] + [("bucket/", 40), ("bucket/00007/keep/", 400)]
+    files = spark.createDataFrame(
+        [(f"s3://bucket/{i:05d}/x", NOON - timedelta(days=5)) for i in range(0, 10_000, 100)]
+        + [("s3://bucket/00007/keep/x", NOON - timedelta(days=50)), ("s3://bucket/other", NOON - timedelta(days=50)), (None, NOON)],
+        "path string, modified_at timestamp",
+    )
+    got = M.expired_files(files, rules, NOON)
+    want = [(f"s3://bucket/{i:05d}/x", i % 9 + 1) for i in range(0, 10_000, 100) if i % 9 + 1 < 5] + [("s3://bucket/other", 40)]
+    assert collected(got, "path", "days") == sorted(want)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
