@@ -12,12 +12,17 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cloudinv.functions.text import strip
+from cloudinv.sources.tables import staged
 
 DEFAULT_K = 5
 MAX_K = 25
 # Vectors and queries that meet in one task at a time, about.
 VECTOR_BLOCK = 8192
 QUERY_PAGE = 4096
+# At most so many pivots, taken from so many vectors; a pivot has a block of vectors at least, on average.
+MOST_PIVOTS, SAMPLE = 256, 4096
+# Distances are rounded to ten decimals; bounds are loosened by more.
+_SLACK = 1e-8
 # Queries multiplied with a batch of vectors at a time, which bounds the product.
 _QUERIES_AT_ONCE = 256
 
@@ -34,30 +39,27 @@ def _first_per_query(query: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(query)) - np.repeat(starts, runs) < k
 
 
-def _packed(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """Rows in blocks of about ``size``: number of the block, its rows as one Arrow table.
+def _packed(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows as Arrow tables by ``keys``: the keys, and the other columns as ``name``.
 
-    A block may come in several pieces, which does no harm.
+    A key may come in several pieces, which does no harm.
     """
-    blocks = max(1, math.ceil(rows.count() / size))
-    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
+    others = [c for c in rows.columns if c not in keys]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers = batch.column(0).to_numpy()
-            for block in np.unique(numbers):
-                own = batch.filter(pa.array(numbers == block)).select(batch.schema.names[1:])
+            numbers = np.column_stack([batch.column(k).to_numpy() for k in keys])
+            for key in np.unique(numbers, axis=0):
+                own = batch.filter(pa.array((numbers == key).all(axis=1))).select(others)
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, own.schema) as stream:
                     stream.write_batch(own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(block)]), pa.array([sink.getvalue().to_pybytes()])], [f"{name}_block", name]
-                )
+                columns = [pa.array([int(k)]) for k in key] + [pa.array([sink.getvalue().to_pybytes()])]
+                yield pa.RecordBatch.from_arrays(columns, [*keys, name])
 
-    # Numbers are given before the shuffle and sorted after it, so a piece is a whole batch.
-    numbered = rows.select(number.alias("_block"), *rows.columns)
-    dealt = numbered.repartition("_block").sortWithinPartitions("_block")
-    return dealt.mapInArrow(pack, f"{name}_block long, {name} binary"), blocks
+    # Sorted after the shuffle, so that a piece is as good as a whole batch.
+    dealt = rows.select(*keys, *others).repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(pack, ", ".join([*(f"{k} long" for k in keys), f"{name} binary"]))
 
 
 def _frame(packed: bytes) -> pd.DataFrame:
@@ -97,12 +99,133 @@ def _nearest(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFra
     return pd.concat(found) if found else None
 
 
+def _unit(vectors: list) -> np.ndarray:
+    """Vectors of one width as rows of length one; those of length zero stay."""
+    block = np.array(vectors, dtype=np.float64)
+    lengths = np.linalg.norm(block, axis=1, keepdims=True)
+    return np.divide(block, lengths, out=np.zeros_like(block), where=lengths > 0)
+
+
+class Pivots:
+    """Fixed directions, by width; vectors belong to the nearest one.
+
+    For a pivot p whose vectors lie within a radius r of it, no vector of it is nearer to a query q
+    than |q - p| - r. Distances are chords of the unit sphere; a cosine distance c is a chord of sqrt(2 c).
+    """
+
+    def __init__(self, sample: list, count: int):
+        self.by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.count = 0
+        for width in sorted({len(v) for v in sample}):
+            points = _unit([v for v in sample if len(v) == width])
+            share = max(1, count * len(points) // len(sample))
+            picked, near = [0], np.linalg.norm(points - points[0], axis=1)
+            while len(picked) < share and near.max() > 0:
+                picked.append(int(near.argmax()))
+                near = np.minimum(near, np.linalg.norm(points - points[picked[-1]], axis=1))
+            self.by_width[width] = np.arange(self.count, self.count + len(picked)), points[picked]
+            self.count += len(picked)
+        # Widths that the sample lacks share one more, of which nothing is known.
+        self.radius, self.size = np.full(self.count + 1, np.inf), np.zeros(self.count + 1, np.int64)
+
+    def _chords(self, vectors: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
+        """(places in ``vectors``, pivots, chords) width by width."""
+        widths = vectors.map(len).to_numpy()
+        for width in np.unique(widths):
+            rows = np.flatnonzero(widths == width)
+            if width not in self.by_width:
+                yield rows, None, None
+                continue
+            numbers, points = self.by_width[width]
+            block = _unit(vectors.iloc[rows].tolist())
+            square = (block**2).sum(1)[:, None] + 1 - 2 * block @ points.T
+            yield rows, numbers, np.sqrt(np.maximum(square, 0))
+
+    def place(self, vectors: pd.Series) -> pd.DataFrame:
+        """The nearest pivot of each vector and the chord to it."""
+        pivot, gap = np.full(len(vectors), self.count), np.full(len(vectors), np.inf)
+        for rows, numbers, chords in self._chords(vectors):
+            if numbers is not None:
+                best = chords.argmin(axis=1)
+                pivot[rows], gap[rows] = numbers[best], chords[np.arange(len(rows)), best]
+        return pd.DataFrame({"pivot": pivot, "gap": gap})
+
+    def nearest(self, queries: pd.Series, k: int) -> pd.Series:
+        """For each query its nearest pivots, as many as hold ``k`` vectors together."""
+        out = [np.array([self.count])] * len(queries)
+        for rows, numbers, chords in self._chords(queries):
+            if numbers is not None:
+                order = np.argsort(chords, axis=1, kind="stable")
+                enough = np.cumsum(self.size[numbers][order], axis=1) >= k
+                for row, ranked, held in zip(rows, order, enough):
+                    out[row] = numbers[ranked[: 1 + (int(held.argmax()) if held.any() else len(ranked) - 1)]]
+        return pd.Series([[p for p in o if self.size[p]] for o in out], index=queries.index, dtype=object)
+
+    def reachable(self, queries: pd.Series, worst: pd.Series, k: int) -> pd.Series:
+        """The other pivots that may hold a vector as near as ``worst``, a cosine distance or NaN for none."""
+        out = [np.array([self.count])] * len(queries)
+        limits = np.sqrt(2 * np.maximum(worst.to_numpy(dtype=np.float64), 0) + _SLACK)
+        for rows, numbers, chords in self._chords(queries):
+            if numbers is not None:
+                least = chords - self.radius[numbers][None, :] - _SLACK
+                near = ~(least > limits[rows, None])
+                for row, own in zip(rows, near):
+                    out[row] = numbers[own]
+        met = self.nearest(queries, k)
+        return pd.Series(
+            [[p for p in o if self.size[p] and p not in set(m)] for o, m in zip(out, met)], index=queries.index, dtype=object
+        )
+
+
+def _pieces(sizes: dict[int, int], size: int, pivot: str) -> Column:
+    """How many pieces of about ``size`` rows each pivot has; one entry for each pivot."""
+    entries = [x for p, n in sizes.items() for x in (F.lit(p).cast("long"), F.lit(max(1, math.ceil(n / size))).cast("long"))]
+    return F.element_at(F.create_map(*entries), F.col(pivot)) if entries else F.lit(1).cast("long")
+
+
+def _each(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
+def _sizes(rows: DataFrame) -> dict[int, int]:
+    return {r["pivot"]: r["count"] for r in rows.groupBy("pivot").count().collect()}
+
+
+def _met(vectors: DataFrame, held: dict, asked: DataFrame, sizes: dict, page_size: int, k: int, out: T.StructType) -> DataFrame:
+    """The k nearest to each query among the vectors of the pivot it was sent to, piece by piece.
+
+    ``held`` and ``sizes`` say how many vectors and queries a pivot has, ``vectors`` are packed by
+    pivot and piece.
+    """
+    page = F.pmod(F.xxhash64("_row"), _pieces(sizes, page_size, "pivot")).alias("queries_piece")
+    right = _packed(asked.select("*", page), ["pivot", "queries_piece"], "queries")
+    right = right.withColumn("vectors_piece", _each(_pieces(held, VECTOR_BLOCK, "pivot")))
+    left = vectors.where(F.col("pivot").isin(list(sizes)))
+    left = left.withColumn("queries_piece", _each(_pieces(sizes, page_size, "pivot")))
+    pairs = left.join(right, ["pivot", "vectors_piece", "queries_piece"])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(out)
+        for batch in batches:
+            for some, others in zip(*(column.to_pylist() for column in batch.columns)):
+                asking = _frame(others)
+                best = _nearest(_frame(some), asking, k)
+                if best is not None:
+                    who = asking.iloc[best["_query"].to_numpy()]
+                    best = best.assign(_row=who["_row"].to_numpy(), query_id=who["query_id"].to_numpy())
+                    table = pa.Table.from_pandas(best[out.names], schema=arrow, preserve_index=False)
+                    yield from table.to_batches()
+
+    return pairs.select("vectors", "queries").mapInArrow(nearest, out)
+
+
 def cosine_topk(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = DEFAULT_K,
     where: Column | None = None,
     page_size: int = QUERY_PAGE,
+    pivots: int | None = None,
 ) -> DataFrame:
     """The k nearest vectors of every query, with rank, metadata and cosine distance.
 
@@ -111,50 +234,72 @@ def cosine_topk(
     rows that share an id or have none. Rows without a vector, or with one of length zero,
     have no direction and match nothing; :func:`unanswerable` lists them.
 
-    Both sides are dealt into blocks, and each pair of blocks is one key of a join, so that
-    no query passes through the driver and the plan does not grow with their number. A pair
-    leaves k rows per query, and only those are shuffled again.
+    Vectors are dealt to pivots, and those of a pivot into pieces. A query first meets its nearest
+    pivots, as many as hold k vectors. Its k-th distance then rules out every pivot whose
+    vectors all lie farther, and the query is sent to the others only. Each piece of vectors and
+    each piece of queries is one key of a join. No query passes through the driver, which holds
+    the pivots and one line for each. Queries are numbered in a written table, so a task that
+    runs again numbers them as before.
     """
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be between 1 and {MAX_K}")
     pool = vectors if where is None else vectors.where(where)
-    present = pool.where(F.col("key").isNotNull() & F.col("embedding").isNotNull())
-    asked = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
-    numbered = asked.select(F.monotonically_increasing_id().alias("_row"), "query_id", "embedding")
-    left, n_left = _packed(present, VECTOR_BLOCK, "vectors")
-    right, n_right = _packed(numbered, page_size, "queries")
-
-    def each(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    present = pool.where(F.col("key").isNotNull() & (F.size("embedding") > 0))
+    asked = queries.select("query_id", "embedding").where(F.size("embedding") > 0)
+    asked = staged(asked.select(F.monotonically_increasing_id().alias("_row"), "query_id", "embedding"), "queries")
+    n = present.count()
+    wanted = min(MOST_PIVOTS, math.ceil(n / VECTOR_BLOCK)) if pivots is None else pivots
+    sample = [] if wanted < 2 else (
+        present.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("embedding").toArrow()["embedding"].to_pylist()
+    )
+    fixed = Pivots(sample, wanted)
+    place, count = fixed.place, fixed.count
+
+    @F.pandas_udf("pivot long, gap double")
+    def placed(embedding: pd.Series) -> pd.DataFrame:
+        return place(embedding)
+
+    if count:
+        near = staged(present.withColumn("_at", placed("embedding")).select("*", "_at.*").drop("_at"), "placed")
+        for r in near.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("r")).collect():
+            fixed.size[r["pivot"]], fixed.radius[r["pivot"]] = r["n"], r["r"]
+        near = near.drop("gap")
+    else:
+        near = present.withColumn("pivot", F.lit(0).cast("long"))
+        fixed.size[0] = n
+    held = {p: int(m) for p, m in enumerate(fixed.size) if m}
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), _pieces(held, VECTOR_BLOCK, "pivot"))
+    pieces = _packed(near.withColumn("vectors_piece", number), ["pivot", "vectors_piece"], "vectors")
+    pieces = staged(pieces, "pieces") if count else pieces
 
-    pairs = left.withColumn("queries_block", each(n_right)).join(
-        right.withColumn("vectors_block", each(n_left)), ["vectors_block", "queries_block"]
-    )
     meta = [f for f in present.schema.fields if f.name != "embedding"]
     head = [T.StructField("_row", T.LongType()), queries.schema["query_id"]]
     out = T.StructType([*head, *meta, T.StructField("distance", T.DoubleType())])
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(out)
-        for batch in batches:
-            for some, others in zip(*(column.to_pylist() for column in batch.columns)):
-                asking = _frame(others)
-                best = _nearest(_frame(some), asking, k)
-                if best is not None:
-                    who = asking.iloc[best["_query"].to_numpy()]
-                    best = best.assign(_row=who["_row"].to_numpy(), query_id=who["query_id"].to_numpy())
-                    table = pa.Table.from_pandas(best[out.names], schema=arrow, preserve_index=False)
-                    yield from table.to_batches()
-
     by_query = Window.partitionBy("_row").orderBy("distance", "key")
-    return (
-        pairs.select("vectors", "queries")
-        .mapInArrow(nearest, out)
-        .withColumn("rank", F.row_number().over(by_query))
-        .where(F.col("rank") <= k)
-        .drop("_row")
-        .withColumn("distance", F.round("distance", 4))
-    )
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+
+    @F.pandas_udf("array<long>")
+    def first(embedding: pd.Series) -> pd.Series:
+        return fixed.nearest(embedding, k)
+
+    @F.pandas_udf("array<long>")
+    def others(embedding: pd.Series, worst: pd.Series) -> pd.Series:
+        return fixed.reachable(embedding, worst, k)
+
+    if not count:
+        sent = asked.withColumn("pivot", F.lit(0).cast("long"))
+        found = best(_met(pieces, held, sent, {0: asked.count()}, page_size, k, out))
+        return found.drop("_row").withColumn("distance", F.round("distance", 4))
+    sent = staged(asked.withColumn("pivot", F.explode(first("embedding"))), "sent")
+    found = staged(best(_met(pieces, held, sent, _sizes(sent), page_size, k, out)).drop("rank"), "first")
+    worst = found.groupBy("_row").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("d"))
+    limits = worst.select("_row", F.when(F.col("n") == k, F.col("d")).alias("worst"))
+    again = asked.join(limits, "_row", "left").withColumn("pivot", F.explode(others("embedding", "worst")))
+    again = staged(again.drop("worst"), "again")
+    found = best(found.unionByName(_met(pieces, held, again, _sizes(again), page_size, k, out)))
+    return found.drop("_row").withColumn("distance", F.round("distance", 4))
 
 
 def unanswerable(queries: DataFrame) -> DataFrame:

@@ -35,6 +35,45 @@ def test_topk_equals_brute_force(spark, page_size):
     assert collected(got, "query_id", "key", "distance", "rank") == brute(rows, queries, 7)
 
 
+@pytest.mark.parametrize(("pivots", "block"), [(2, 10), (9, 8192), (60, 10)])
+def test_pivots_lose_nothing(spark, monkeypatch, pivots, block):
+    """Also with vectors of several widths, one of them unknown to the sample, ties, and hot directions."""
+    monkeypatch.setattr(R, "VECTOR_BLOCK", block)
+    monkeypatch.setattr(R, "SAMPLE", 100)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 8)).tolist()
+    rows = [(f"k{i:03d}", base[0] if i % 3 == 0 else base[i % 40], "s") for i in range(300)]
+    rows += [("zero", [0.0] * 8, "s"), ("empty", [], "s"), ("three", [1.0, 2.0, 3.0], "s"), (None, base[1], "s"), ("none", None, "s")]
+    queries = [(i, rng.normal(size=8).tolist()) for i in range(20)] + [(30, base[0])]
+    more = [(31, [1.0, 0.0, 0.0]), (32, None), (33, []), (34, [0.0] * 8), (35, [1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "key string, embedding array<double>, service string").repartition(5)
+    asked = spark.createDataFrame(queries + more, "query_id int, embedding array<double>")
+    got = collected(R.cosine_topk(vectors, asked, k=7, page_size=6, pivots=pivots), "query_id", "key", "distance", "rank")
+    eight = [r for r in rows if r[0] and r[1] and len(r[1]) == 8]
+    assert [r for r in got if r[0] < 31] == brute(eight, queries, 7)
+    assert [r for r in got if r[0] >= 31] == [(31, "three", round(1 - 1 / np.sqrt(14), 4), 1)]
+
+
+def test_far_pivots_are_not_met(spark, monkeypatch):
+    """Of clustered vectors a query meets few; the share of pairs that are shipped says how few."""
+    rng = np.random.default_rng(9)
+    middles = rng.normal(size=(30, 16))
+    rows = [(i, (middles[i % 30] + 0.05 * rng.normal(size=16)).tolist()) for i in range(3000)]
+    queries = [(i, (middles[i % 30] + 0.05 * rng.normal(size=16)).tolist()) for i in range(200)]
+    sent, met = [], R._met
+
+    def counted(vectors, held, asked, sizes, *more):
+        sent.append(sum(sizes.values()))
+        return met(vectors, held, asked, sizes, *more)
+
+    monkeypatch.setattr(R, "_met", counted)
+    vectors = spark.createDataFrame(rows, "key int, embedding array<double>")
+    asked = spark.createDataFrame(queries, "query_id int, embedding array<double>")
+    got = collected(R.cosine_topk(vectors, asked, k=5, pivots=30), "query_id", "key", "distance", "rank")
+    assert got == brute([(k, v, None) for k, v in rows], queries, 5)
+    assert len(sent) == 2 and sum(sent) < 0.1 * 30 * len(queries)
+
+
 def test_topk_edges(spark):
     vectors = spark.createDataFrame([("a", [1.0, 0.0], "x"), ("b", [0.0, 1.0], "y")], "key string, embedding array<float>, service string")
     asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<float>")
