@@ -411,6 +411,7 @@ ORACLE: dict[str, str] = {
     " supplementary_configuration FROM delivered",
     "p6_stamps": f"{_DELIVERED} SELECT resource_id, last_seen_at, TRUE AS has_source FROM delivered"
     f" WHERE {_GOOD}",
+    "f10_decoded_paths": "SELECT page_id, 's3://bucket/a+b/' || url || ' é+%/c.json.gz' AS path FROM pages",
     "p7_live": f"WITH {_OBS} SELECT account_id, arn, source_key, last_seen_at FROM obs, newest"
     " WHERE last_seen_at > as_of - INTERVAL 24 HOUR",
     "p8_of_type": _q(
@@ -434,6 +435,7 @@ ORACLE: dict[str, str] = {
     "m1_live_latest": f"WITH {_OBS} {_LATEST} AND last_seen_at > (SELECT as_of FROM newest) - INTERVAL 72 HOUR",
     "m2_merge_collapse": f"WITH {_OBS} {_LATEST}",
     "m2_merge_update": _MERGE_UPDATE,
+    "m2_merge_buckets": f"WITH {_OBS} {_LATEST}",
     "m3_drop_expired": f"WITH {_OBS} SELECT {_KEPT} FROM obs, newest WHERE last_seen_at IS NULL"
     " OR last_seen_at >= as_of - INTERVAL 7 DAY",
     "m4_compact_files": f"WITH {_OBS} SELECT {_KEPT} FROM obs",

@@ -9,6 +9,7 @@ from cloudinv import schema as S
 from cloudinv.demo import files, items
 from cloudinv.demo.items import AS_OF, INGESTED, table
 from cloudinv.functions.jsonpath import json_scalar, json_value
+from cloudinv.functions.text import source_key
 from cloudinv.functions.times import parse_ts
 from cloudinv.functions.vectors import norm, normalize
 from cloudinv.operators import audit, maintenance, relations, retrieval, shaping, stats
@@ -230,13 +231,10 @@ def _line_fields(lines: DataFrame) -> DataFrame:
 
 
 def schema_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = F.map_from_entries(F.collect_list(F.struct("path", "type")))
-    texts = (
-        files.schema_fields(spark, sf_dir)
-        .groupBy("resource_type")
-        .agg(F.to_json(entries).alias("value"))
-    )
-    return schemas.parse_schema_fields(texts)
+    """Written as one file per type and read back."""
+    root = workspace(spark, "schemas")
+    schemas.write_schema_fields(files.schema_fields(spark, sf_dir), root)
+    return schemas.read_schema_fields(spark, root)
 
 
 def upsert_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,6 +296,23 @@ def parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def decoded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of pages as parts of an encoded path; a plus is a plus."""
+    encoded = F.replace(F.url_encode(F.concat("url", F.lit(" é+%"))), F.lit("+"), F.lit("%20"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", source_key(F.concat(F.lit("s3://bucket/a+b/"), encoded, F.lit("/c.json.gz"))).alias("path")
+    )
+
+
+def merged_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of the month in buckets by key, merged with what has come since."""
+    path = workspace(spark, "buckets")
+    before, since = _split(spark, sf_dir)
+    tables.write_buckets(maintenance.merge_latest(before), path, 8)
+    base = tables.read_buckets(spark, path, 8)
+    return _plain_times(maintenance.merge_buckets(base, since).select(*_KEPT))
+
+
 def live_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = items.observations(spark, sf_dir)
     live = shaping.live(seen, items.latest_event(spark, sf_dir))
@@ -457,9 +472,12 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.render_docs(
-        files.schema_fields(spark, sf_dir), files.enrichments(spark, sf_dir)
-    )
+    """Rendered from property files, written as one document per type and read back."""
+    fields, docs = workspace(spark, "schemas"), workspace(spark, "documents")
+    schemas.write_schema_fields(files.schema_fields(spark, sf_dir), fields)
+    rendered = retrieval.render_docs(schemas.read_schema_fields(spark, fields), files.enrichments(spark, sf_dir))
+    schemas.write_documents(rendered, docs)
+    return schemas.read_documents(spark, docs)
 
 
 def doc_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -573,6 +591,7 @@ QUERIES: dict[str, Query] = {
     "p4_parse_ts": parse_times,
     "p5_json_text": json_text,
     "p6_stamps": stamps,
+    "f10_decoded_paths": decoded_paths,
     "p7_live": live_rows,
     "p8_of_type": of_type,
     "p9_has_value": has_key,
@@ -582,6 +601,7 @@ QUERIES: dict[str, Query] = {
     "m1_live_latest": live_latest,
     "m2_merge_collapse": merge_collapse,
     "m2_merge_update": merge_update,
+    "m2_merge_buckets": merged_buckets,
     "m3_drop_expired": drop_expired,
     "m4_compact_files": compact,
     "m5_nightly": nightly,

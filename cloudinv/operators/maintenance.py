@@ -107,6 +107,23 @@ def nightly_changes(
     return touched, drop_expired(merged, as_of, days)
 
 
+def merge_buckets(base: DataFrame, landed: DataFrame) -> DataFrame:
+    """One row per key of ``base``, which has one already, and ``landed``.
+
+    Only what has landed is shuffled, into the buckets of ``base`` (see ``tables.read_buckets``); the
+    base is read bucket by bucket where it lies. Keys are never NULL in the table.
+    """
+    order = [c for c in RECENCY if c in base.columns]
+    # Sorted as `latest` sorts: NULLs are the oldest, a hash of the whole row settles ties.
+    rank = lambda df: F.struct(*[df[c] for c in order], F.xxhash64(*[df[c] for c in base.columns]))
+    newest = latest(landed.select(*base.columns))
+    new = newest.select(*[F.col(k) for k in KEY], F.struct(*base.columns).alias("_new"), rank(newest).alias("_rank_new"))
+    old = base.select(*[F.col(k) for k in KEY], F.struct(*base.columns).alias("_old"), rank(base).alias("_rank_old"))
+    both = old.join(new, list(KEY), "full_outer")
+    takes_new = F.col("_old").isNull() | F.coalesce(F.col("_rank_new") > F.col("_rank_old"), F.lit(False))
+    return both.select(F.when(takes_new, F.col("_new")).otherwise(F.col("_old")).alias("_row")).select("_row.*")
+
+
 def upsert(
     old: DataFrame,
     new: DataFrame,

@@ -139,7 +139,7 @@ class Files(InputPartition):
         self.paths = paths
 
 
-def _system(uri: str) -> tuple[pafs.FileSystem, str, str]:
+def file_system(uri: str) -> tuple[pafs.FileSystem, str, str]:
     """The file system of a URI or local path, the path in it, and what goes before such paths in Spark's names."""
     scheme, _, rest = uri.rpartition("://") if "://" in uri else ("file", "", uri.removeprefix("file:"))
     system, path = pafs.FileSystem.from_uri(rest if scheme == "file" else f"{scheme.replace('s3a', 's3')}://{rest}")
@@ -162,7 +162,7 @@ class ItemsReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         """Files of like size go together, up to a number of compressed bytes."""
-        system, root, _ = _system(self.root)
+        system, root, _ = file_system(self.root)
         wanted = _pattern(self.glob)
         listed = system.get_file_info(pafs.FileSelector(f"{root}/AWSLogs", recursive=True, allow_not_found=True))
         found = [f for f in listed if f.is_file and wanted.fullmatch(f.path.removeprefix(root).lstrip("/"))]
@@ -177,7 +177,7 @@ class ItemsReader(DataSourceReader):
         return [Files(p) for p in parts] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        system, _, scheme = _system(self.root)
+        system, _, scheme = file_system(self.root)
 
         def texts(path: str) -> Iterator[str]:
             with system.open_input_stream(path, compression=None) as stream:

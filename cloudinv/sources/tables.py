@@ -1,5 +1,7 @@
 """The inventory table as zstd parquet partitioned by account."""
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cloudinv.schema import OPERATIONAL
@@ -60,6 +62,38 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# -- buckets ---------------------------------------------------------------------------
+
+KEY = ("account_id", "arn")
+
+
+def _bucketed(spark: SparkSession, path: str, buckets: int) -> str:
+    """The catalogue's name for a bucketed folder; the folder itself holds all there is."""
+    name = f"inventory_{hashlib.sha256(path.encode()).hexdigest()[:16]}"
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in OPERATIONAL)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+        f"CLUSTERED BY ({', '.join(KEY)}) SORTED BY ({', '.join(KEY)}) INTO {int(buckets)} BUCKETS LOCATION '{path}'"
+    )
+    return name
+
+
+def write_buckets(df: DataFrame, path: str, buckets: int) -> None:
+    """Write the table in files by hash of the key, so that joins by key need not move it.
+
+    One task writes a bucket: the number of buckets grows with the table. Keys are spread by account
+    and ARN, so a large account is in all of them.
+    """
+    name = _bucketed(df.sparkSession, path, buckets)
+    rows = df.select(*OPERATIONAL.names).repartition(buckets, *KEY)
+    writer = rows.write.format("parquet").option("compression", "zstd").option("path", path).mode("overwrite")
+    writer.bucketBy(buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+
+
+def read_buckets(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    return spark.table(_bucketed(spark, path, buckets)).select(*OPERATIONAL.names)
+
+
 def read_operational(spark: SparkSession, path: str) -> DataFrame:
     """Read the table with its fixed schema, so account ids stay text."""
     return spark.read.schema(OPERATIONAL).parquet(path).select(*OPERATIONAL.names)

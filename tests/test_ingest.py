@@ -383,6 +383,35 @@ def test_schema_files(spark, tmp_path):
     assert collected(docs) == [("AWS::EC2::Volume", "# AWS::EC2::Volume\n")]
 
 
+def test_documents_are_written_one_file_per_type(spark, tmp_path):
+    root = str(tmp_path / "docs")
+    docs = spark.createDataFrame([("AWS::EC2::Volume", "# é\n"), ("a b#%+", "x"), ("none", None)], "resource_type string, document string")
+    schemas.write_documents(docs, root)
+    assert collected(schemas.read_documents(spark, root)) == [("AWS::EC2::Volume", "# é\n"), ("a b#%+", "x")]
+    assert os.path.getsize(f"{root}/none.md") == 0  # Spark gives no row for an empty file.
+    # More files are added, or take the place of all others of the suffix.
+    (tmp_path / "docs" / "kept.txt").write_text("other")
+    schemas.write_documents(docs.where("document = 'x'").withColumn("document", F.lit("y")), root, "append")
+    assert sorted(os.listdir(root)) == ["AWS::EC2::Volume.md", "a b#%+.md", "kept.txt", "none.md"]
+    schemas.write_documents(docs.where("document = 'x'"), root)
+    assert sorted(os.listdir(root)) == ["a b#%+.md", "kept.txt"]
+    schemas.write_documents(docs.where("false"), root)
+    assert os.listdir(root) == ["kept.txt"]
+
+
+def test_a_failed_write_leaves_the_files_as_they_were(spark, tmp_path):
+    root = str(tmp_path / "docs")
+    write = lambda rows_: schemas.write_documents(
+        spark.createDataFrame(rows_, "resource_type string, document string").repartition(4), root
+    )
+    write([("a", "1"), ("b", "2")])
+    for bad in ([("a", "new"), ("c", "3"), ("x/y", "no name")], [("a", "new"), ("c", "3"), ("c", "4")], [("a", "new"), (None, "4")]):
+        with pytest.raises(Exception):
+            write(bad)
+        assert collected(schemas.read_documents(spark, root)) == [("a", "1"), ("b", "2")]
+        assert sorted(os.listdir(root)) == ["a.md", "b.md"]
+
+
 def test_list_files_reads_no_contents(spark, root):
     listed = snapshots.list_files(spark, root, "*.json.gz")
     assert listed.count() == 4
