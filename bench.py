@@ -104,12 +104,12 @@ def main() -> None:
         took: dict[str, float] = {}
 
         operational = items.operational(spark, SF_DIR)
-        tables.append(operational, path + "-warm")
-        took["build_and_append"] = _timed(lambda: tables.append(operational, path))
-        stored = tables.read_operational(spark, path)
+        tables.append(operational, path + "-warm", payload=True)
+        took["build_and_append"] = _timed(lambda: tables.append(operational, path, payload=True))
+        stored = tables.read_parsed(spark, path)
 
         def nightly():
-            tables.write_version(maintenance.nightly(stored, items.AS_OF), path + "-v1")
+            tables.write_version(maintenance.nightly(tables.read_operational(spark, path), items.AS_OF), path + "-v1")
 
         nightly()
         took["nightly_version"] = _timed(nightly)

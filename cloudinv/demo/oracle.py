@@ -624,3 +624,6 @@ FROM long GROUP BY stage""",
     "g6_failures": f"WITH {_JOBS} SELECT stage, error, count(*) AS failed_jobs FROM jobs"
     " WHERE status = 'failed' GROUP BY 1, 2",
 }
+for _new, _old in (("q4_parsed_volumes", "q4_largest_volumes"), ("q8_parsed_volumes_all", "q8_instance_volumes_all"),
+                   ("q12_parsed_vpcs", "q12_top_vpcs")):
+    ORACLE[_new] = ORACLE[_old]

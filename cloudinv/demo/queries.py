@@ -191,6 +191,17 @@ def ingest_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("rows", "accounts", "types")
 
 
+def _parsed(question: Callable[..., DataFrame], **kwargs) -> Query:
+    """A question over a stored table with its payload parsed when it was written."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = workspace(spark, "parsed")
+        tables.append(items.operational(spark, sf_dir), path, payload=True)
+        return question(shaping.live(tables.read_parsed(spark, path), AS_OF), **kwargs)
+
+    return run
+
+
 def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace(spark, "table")
     tables.append(items.subnets(spark, sf_dir), path)
@@ -626,6 +637,9 @@ QUERIES: dict[str, Query] = {
     "q7_engines_by_version": _catalogued(catalog.engines_by_version),
     "q8_instance_volumes": _catalogued(catalog.instance_volumes),
     "q8_instance_volumes_all": _catalogued(catalog.instance_volumes, limit=None),
+    "q4_parsed_volumes": _parsed(catalog.largest_volumes),
+    "q8_parsed_volumes_all": _parsed(catalog.instance_volumes, limit=None),
+    "q12_parsed_vpcs": _parsed(catalog.top_vpcs),
     "q9_function_roles": _catalogued(catalog.function_roles, limit=None),
     "q10_volume_keys": _catalogued(catalog.volume_keys, limit=None),
     "q11_subnet_occupancy": _catalogued(catalog.subnet_occupancy),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cloudinv.schema import PAYLOAD, PAYLOAD_TEXT
+
 _STEP = re.compile(r"\.([^.\[\]]+)|\[(\d+)\]|\['([^']+)'\]")
 
 
@@ -14,6 +16,26 @@ def _holds_string(json: Column, path: str) -> Column:
     return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
+def with_payload(df: DataFrame, column: str = "configuration") -> DataFrame:
+    """Parse a JSON column once, for all later probes, and keep its text beside it.
+
+    Text that a Variant cannot hold (no JSON, a member named twice, too large) is kept apart, and
+    probes look at that.
+    """
+    rows = df.withColumn(PAYLOAD, F.try_parse_json(column))
+    return rows.withColumn(PAYLOAD_TEXT, F.when(F.col(PAYLOAD).isNull(), F.col(column)))
+
+
+def payload_scalar(path: str) -> Column:
+    """What :func:`json_scalar` gives for the configuration, from its parsed form."""
+    payload, text = F.col(PAYLOAD), F.col(PAYLOAD_TEXT)
+    found = F.try_variant_get(payload, path, "string")
+    kind = F.schema_of_variant(F.try_variant_get(payload, path, "variant"))
+    # A list or object is given as its JSON text, which only its kind tells from a string.
+    scalar = F.when(~_container(found), found).when(kind == "STRING", found)
+    return F.when(text.isNotNull(), json_scalar(text, path)).otherwise(scalar)
+
+
 def _container(text: Column) -> Column:
     return text.startswith("{") | text.startswith("[")
 
@@ -87,8 +109,13 @@ def with_members(
     Exploding a one-element array keeps the parse in a step of its own. A plain column
     would be copied into every filter over a member, and parse again there.
 
-    A path that does not fit into one schema with those before it is probed by itself.
+    A path that does not fit into one schema with those before it is probed by itself. Where
+    the configuration lies parsed beside its text, members come from there.
     """
+    if column == "configuration" and PAYLOAD in df.columns:
+        for path in paths.values():
+            _steps(path)
+        return df.select(*df.columns, *[payload_scalar(path).alias(name) for name, path in paths.items()])
     steps = {name: _steps(path) for name, path in paths.items()}
     parsed: dict[str, list[str]] = {}
     for name, path in steps.items():

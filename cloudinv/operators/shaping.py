@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cloudinv.functions.jsonpath import with_members
 from cloudinv.functions.text import contains_all
 from cloudinv.functions.times import instant, parse_ts
-from cloudinv.schema import OPERATIONAL_COLUMNS
+from cloudinv.schema import OPERATIONAL_COLUMNS, PAYLOAD, PAYLOAD_TEXT
 
 
 def explode_items(snapshots: DataFrame) -> DataFrame:
@@ -83,5 +83,6 @@ def probe(
     df: DataFrame, paths: dict[str, str], keep: tuple[str, ...] = (), column: str = "configuration"
 ) -> DataFrame:
     """Project named JSON members next to the columns to keep."""
-    rows = df.select(*dict.fromkeys((*keep, column)))
+    parsed = [c for c in (PAYLOAD, PAYLOAD_TEXT) if column == "configuration" and c in df.columns]
+    rows = df.select(*dict.fromkeys((*keep, *(parsed or [column]))))
     return with_members(rows, paths, column).select(*keep, *paths)

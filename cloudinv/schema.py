@@ -85,6 +85,9 @@ OPERATIONAL = T.StructType(
     ]
 )
 
+#: The configuration parsed once when it was written, and its text where it could not be.
+PAYLOAD, PAYLOAD_TEXT = "payload", "payload_text"
+
 RELATIONSHIPS = "array<struct<resourceId:string,resourceType:string,name:string>>"
 
 JOB = (

@@ -3,8 +3,10 @@
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from cloudinv.schema import OPERATIONAL
+from cloudinv.functions.jsonpath import with_payload
+from cloudinv.schema import OPERATIONAL, PAYLOAD, PAYLOAD_TEXT
 from cloudinv.session import workspace
 
 SORT = ("account_id", "resource_type", "arn")
@@ -24,9 +26,9 @@ def _writer(df: DataFrame, mode: str, rows_per_file: int | None = None):
     return writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer
 
 
-def append(df: DataFrame, path: str) -> None:
-    """Add rows to the table."""
-    _writer(clustered(df), "append").parquet(path)
+def append(df: DataFrame, path: str, payload: bool = False) -> None:
+    """Add rows to the table; with ``payload`` the configuration is parsed once, here, for all readers."""
+    _writer(clustered(with_payload(df) if payload else df), "append").parquet(path)
 
 
 def write_version(df: DataFrame, path: str, rows_per_file: int | None = None) -> None:
@@ -99,5 +101,15 @@ def read_operational(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(OPERATIONAL).parquet(path).select(*OPERATIONAL.names)
 
 
+def read_parsed(spark: SparkSession, path: str) -> DataFrame:
+    """A table written with ``payload``: the parsed configuration beside its text.
+
+    Questions of the catalogue read it in place of the text. Rows written without it would have
+    no members, so all of a table's rows are written alike.
+    """
+    columns = T.StructType([*OPERATIONAL.fields, T.StructField(PAYLOAD, T.VariantType()), T.StructField(PAYLOAD_TEXT, T.StringType())])
+    return spark.read.schema(columns).parquet(path).select(*columns.names)
+
+
 def count_export(spark: SparkSession, path: str) -> int:
     return spark.read.schema(OPERATIONAL).parquet(path).count()

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from cloudinv.functions.jsonpath import json_scalar, with_members
+from cloudinv.functions.jsonpath import json_scalar, with_members, with_payload
 from cloudinv.functions.quantiles import exact_median
 from cloudinv.functions.text import contains_all, source_key, strip
 from cloudinv.functions.times import instant, parse_ts
@@ -100,6 +100,20 @@ def test_with_members_equals_single_probes(spark):
     assert set(got[1]) == {None} and set(got[2]) == {None}
 
 
+def test_members_of_a_parsed_payload_equal_those_of_text(spark):
+    """Also where the text is no JSON or names a member twice, so that no Variant holds it."""
+    texts = [JSON, None, "not json", '{"s": 1, "s": 2}', '{"s": "[old]", "n": null, "o": {"k": 1}, "l": [1, "{}"]}', "[1]", '"text"']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, configuration string")
+    names = {f"c{i}": p for i, p in enumerate(PATHS)} | {"first": "$.l[0]", "second": "$.l[1]"}
+    plain = {r.id: tuple(r)[2:] for r in df.select("*", *[json_scalar(F.col("configuration"), p).alias(n) for n, p in names.items()]).collect()}
+    parsed = with_payload(df)
+    got = with_members(parsed, names)
+    assert {r.id: tuple(r[n] for n in names) for r in got.collect()} == plain
+    assert parsed.where("payload_text IS NOT NULL").count() == 2
+    with pytest.raises(ValueError):
+        with_members(parsed, {"a": "$..x"})
+
+
 def test_with_members_rejects_unknown_path_forms(spark):
     with pytest.raises(ValueError):
         with_members(spark.range(1), {"a": "$..x"}, "id")
