@@ -21,7 +21,7 @@ too, S rounded up and K rounded down to a level, so that theirs add up to one or
 """
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudinv.llm.common import held_out, read, stored, words
+from cloudinv.llm.common import held_out, read, stored
 
 FOLDS, HELD = 7, 2
 BASE = math.sqrt(2.0)
@@ -97,38 +97,80 @@ _KEY = np.uint64(16)
 S_KEY, K_KEY = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
-class _Hashes(dict):
-    def __init__(self, limit: int = 300_000):
-        self.limit = limit
+#: A number for each byte, the same for A-Z and a-z, and the odd base of the words' polynomials.
+_BYTES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _C1)
+_BYTES[65:91] = _BYTES[97:123]
+_POINT = int(_C2)
+#: Bytes that are hashed at once.
+_AT_ONCE = 1 << 20
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
 
+class _Powers:
+    """Powers of the base, up and down, for as many bytes as were needed so far."""
 
-_HASHES = _Hashes()
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
+    def grow(self, n: int) -> None:
+        if len(self.up) < n:
+            size = 1 << (n - 1).bit_length()
+            make = lambda base: np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)])
+            self.up, self.down = make(_POINT), make(pow(_POINT, -1, 1 << 64))
 
-def token_blocks(texts: list[str]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+
+_POWERS = _Powers()
+
+
+def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words that begin and end at places in ``data``, A-Z as a-z.
+
+    A word's polynomial is a difference of running sums, divided by the power of where it begins.
+    """
+    out = np.empty(len(begins), np.uint64)
+    at = 0
+    while at < len(begins):
+        first = begins[at]
+        to = max(at + 1, int(np.searchsorted(ends, first + _AT_ONCE, "right")))
+        n = int(ends[to - 1] - first)
+        _POWERS.grow(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[data[first : first + n]] * _POWERS.up[:n], out=sums[1:])
+        start = begins[at:to] - first
+        out[at:to] = (sums[ends[at:to] - first] - sums[start]) * _POWERS.down[start]
+        at = to
+    return mix(out)
+
+
+def token_blocks(column) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
     """(texts, histories, words, index of the text of each token), about BLOCK tokens at a time.
 
-    The end stands before the first word too, so it is the history of each text's first token.
+    ``column``: an Arrow array of texts. Words are ``[^\\x20\\x09-\\x0D]+``. The end stands before the first
+    word too, so it is the history of each text's first token.
     """
-    at, held, sizes, total = 0, [], [], 0
-    for i, text in enumerate(texts):
-        found = words(text)
-        held.append(np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found)))
-        held.append(END[None])
-        sizes.append(len(found) + 1)
-        total += sizes[-1]
-        if total >= BLOCK or i == len(texts) - 1:
-            w = np.concatenate(held)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            h = np.concatenate((END[None], w[:-1]))
-            yield slice(at, i + 1), h, w, doc
-            at, held, sizes, total = i + 1, [], [], 0
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    texts = column.cast(pa.large_binary()).fill_null(b"")
+    if not len(texts):
+        return
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    whole = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK * TOKEN, "right")) - 1)
+        places = offsets[at : to + 1] - offsets[at]
+        data = whole[offsets[at] : offsets[to]]
+        word = np.concatenate(([False], ~((data == 32) | ((data >= 9) & (data <= 13))), [False]))
+        starts = np.zeros(len(data) + 2, bool)
+        starts[places + 1] = True
+        begins = np.flatnonzero(word[1:-1] & (~word[:-2] | starts[1:-1]))
+        ends = np.flatnonzero(word[1:-1] & (~word[2:] | starts[2:])) + 1
+        many = np.diff(np.searchsorted(begins, places))
+        doc = np.repeat(np.arange(to - at), many)
+        w = np.full(len(begins) + to - at, END)
+        w[np.arange(len(begins)) + doc] = word_hashes(data, begins, ends)
+        h = np.concatenate((END[None], w[:-1]))
+        yield slice(at, to), h, w, np.repeat(np.arange(to - at), many + 1)
+        at = to
 
 
 def _summed(h: np.ndarray, w: np.ndarray, n: np.ndarray | None):
@@ -151,7 +193,7 @@ def sampled(train: DataFrame) -> tuple[list[int], int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, w, _ in token_blocks([t or "" for t in batch.column(0).to_pylist()]):
+            for _, _, w, _ in token_blocks(batch.column(0)):
                 word, n = np.unique(w, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["w", "n"])
 
@@ -171,8 +213,7 @@ def count_grams(train: DataFrame, parts: int, hot: list[int]) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [t or "" for t in batch.column(0).to_pylist()]
-            for _, h, w, _ in token_blocks(rows):
+            for _, h, w, _ in token_blocks(batch.column(0)):
                 h, w, n = _summed(h, w >> np.uint64(32), None)
                 spread = mix(h)
                 if len(hot_words):
@@ -456,7 +497,8 @@ def train_model(train: DataFrame, n_segments: int = SEGMENTS, frequent: int = FR
 def _in_parts(keys: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
     """Sorted keys in order of the part of the filter they are in, the runs of one part, and the parts."""
     part = segments(keys, n) // TOGETHER
-    order = np.argsort(part, kind="stable")
+    # Small numbers sort by their bytes.
+    order = np.argsort(part.astype(np.uint16) if n // TOGETHER < 1 << 16 else part, kind="stable")
     return keys[order], _runs(part[order]), part[order]
 
 
@@ -469,7 +511,7 @@ def answers(blocks: DataFrame, broadcast, dealt: DataFrame) -> DataFrame:
     n = broadcast.value.n_segments
 
     def ask(rows: pa.Table) -> pa.Table:
-        keys, edges, part = _in_parts(_asked(broadcast.value, rows.column("text")), n)
+        keys, edges, part = _in_parts(_asked(broadcast.value, token_blocks(rows.column("text"))), n)
         return pa.table(
             [
                 pa.array([int(part[a]) for a, _ in edges], pa.int64()), pa.nulls(len(edges), pa.int64()),
@@ -502,10 +544,10 @@ def answers(blocks: DataFrame, broadcast, dealt: DataFrame) -> DataFrame:
     return met.mapInArrow(answer, "block long, part long, levels binary")
 
 
-def _asked(model: Model, column) -> np.ndarray:
-    """All keys that texts ask for, sorted; the order of the texts makes no difference."""
-    found = [model.asked(h, w) for _, h, w, _ in token_blocks([t or "" for t in column.to_pylist()])]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+def _asked(model: Model, blocks: Iterable[tuple]) -> np.ndarray:
+    """All keys that tokens ask for, sorted; the order of the texts makes no difference."""
+    found = [model.asked(h, w) for _, h, w, _ in blocks]
+    return (np.unique(np.concatenate(found)) if len(found) > 1 else found[0]) if found else np.zeros(0, np.uint64)
 
 
 def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -521,24 +563,24 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from score(batch, None)
+            yield from score(batch, token_blocks(batch.column("text")), None)
 
     def run_block(rows: pa.Table, told: pa.Table) -> pa.Table:
         """The texts of a block, whose keys stand in the order in which they were asked."""
-        model = broadcast.value
-        keys, edges, part = _in_parts(_asked(model, rows.column("text")), model.n_segments)
+        model, rows = broadcast.value, rows.combine_chunks()
+        blocks = list(token_blocks(rows.column("text")))
+        keys, edges, part = _in_parts(_asked(model, blocks), model.n_segments)
         given = dict(zip(told.column("part").to_pylist(), told.column("levels").to_pylist()))
         lv = np.concatenate([np.frombuffer(given[int(part[a])], np.uint8) for a, _ in edges])
         order = np.argsort(keys)
         keys, lv = keys[order], lv[order].astype(np.int64)
-        scored = [b for batch in rows.to_batches() for b in score(batch, lambda asked: lv[np.searchsorted(keys, asked)])]
-        return pa.Table.from_batches(scored)
+        (batch,) = rows.to_batches()
+        return pa.Table.from_batches(list(score(batch, blocks, lambda asked: lv[np.searchsorted(keys, asked)])))
 
-    def score(batch: pa.RecordBatch, read) -> Iterator[pa.RecordBatch]:
+    def score(batch: pa.RecordBatch, blocks: Iterable[tuple], read) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
-        rows = [t or "" for t in batch.column("text").to_pylist()]
         uid, ids = batch.column("uid").to_numpy(), batch.column("doc_id")
-        for own, h, w, doc in token_blocks(rows):
+        for own, h, w, doc in blocks:
             count, logs, backed = model.score_block(h, w, read)
             size, exact = own.stop - own.start, count >= 0
             share = np.where(exact, model.log_share(np.maximum(count, 0)), 0)
