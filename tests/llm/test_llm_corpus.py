@@ -208,7 +208,7 @@ def test_tokens_against_plain_python():
         for part, h, words, doc in blocks:
             assert h.tolist() == [int(lm.END), *words.tolist()[:-1]]
             assert np.bincount(doc, minlength=part.stop - part.start).tolist() == [len(split_words(t or "")) + 1 for t in texts[part]]
-    assert len(set(seen.values())) == len(seen) > 1000
+    assert len(set(seen.values())) == len(seen) > 900
 
 
 def test_numbers_are_packed_and_read_back():
