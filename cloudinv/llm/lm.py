@@ -7,8 +7,8 @@ bounded sample are dealt by (history, word), so that no part gathers one of them
 Filter: a count of c is held as its level, 1 + floor(log_b(c / cut)), by inserting the key once for
 each level up to its own. A reader probes level after level until one is missing. The cut-off is 2 at
 every size: bigrams found once are left to the share of their words. The number of segments follows the
-entries. Up to SEGMENTS the filter is broadcast; a larger one stays in the shared folder, and segments
-and probes meet in a shuffle, where a block of texts asks for each of its keys once.
+entries. The filter stays in the shared folder; its segments and the probes meet in a shuffle, where a
+block of texts asks for each of its keys once. One of bounded size may be broadcast instead.
 
 Probability of word w after history h, with the kept counts q (rounded down to their level):
 
@@ -36,8 +36,7 @@ FOLDS, HELD = 7, 2
 BASE = math.sqrt(2.0)
 #: Bigrams found less often are not kept.
 CUT = 2.0
-#: Segments of 65,536 bits: the least that are made and the most that are broadcast (32 MB), and how
-#: many of them a task holds at a time.
+#: Segments of 65,536 bits: the least that are made, and how many of them a task holds at a time.
 SEGMENTS, TOGETHER = 4096, 512
 BITS_EACH = 16
 PROBES = 4
@@ -173,6 +172,22 @@ def token_blocks(column) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.nda
         at = to
 
 
+def _unique(x: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def _unique_places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted, each once, and where each number stands among them."""
+    order = np.argsort(x)
+    ranked = x[order]
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(x) else np.zeros(0, bool)
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ranked[new], at
+
+
 def _summed(h: np.ndarray, w: np.ndarray, n: np.ndarray | None):
     """Equal (h, w) once, sorted by h, with the sum of n."""
     key = mix(h + w * _C1)
@@ -388,10 +403,10 @@ class Model:
 
     def asked(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         """All keys whose levels :meth:`score_block` may read, once each."""
-        rare = np.unique(h)
+        rare = _unique(h)
         rare = rare[~self._frequent(rare)[1]]
         pairs = pair_key(h, w >> np.uint64(32))
-        return np.unique(np.concatenate((history_key(rare, S_KEY), history_key(rare, K_KEY), pairs)))
+        return _unique(np.concatenate((history_key(rare, S_KEY), history_key(rare, K_KEY), pairs)))
 
     def score_block(self, h: np.ndarray, w: np.ndarray, read: Callable[[np.ndarray], np.ndarray] | None = None):
         """For each token: its count or -1 if not among the frequent words, the log10 of its
@@ -400,7 +415,7 @@ class Model:
         ``read`` gives the levels of keys; by default they are read from ``bits``.
         """
         read = read or (lambda keys: levels(self.bits, keys))
-        both, at = np.unique(np.concatenate((w, h)), return_inverse=True)
+        both, at = _unique_places(np.concatenate((w, h)))
         place, frequent = self._frequent(both)
         count, s, k = np.full(len(both), -1, np.int64), np.zeros(len(both)), np.zeros(len(both))
         count[frequent], s[frequent], k[frequent] = (
@@ -420,7 +435,9 @@ class Model:
         known = s > 0
         lv = np.zeros(len(w), np.int64)
         lv[known] = read(pair_key(h[known], w[known] >> np.uint64(32)))
-        q = np.where(lv > 0, np.floor(self.cut * BASE ** (lv - 1.0) + 1e-9), 0)
+        held = np.floor(self.cut * BASE ** (np.arange(256) - 1.0) + 1e-9)
+        held[0] = 0
+        q = held[lv]
         q = np.minimum(q, s)
         # A kept bigram's word occurs at least as often as the bigram.
         share = 10 ** self.log_share(np.where(count >= 0, count, q))
@@ -431,10 +448,13 @@ class Model:
         return count, np.where(seen, direct, backed), ~seen
 
 
-def train_model(train: DataFrame, n_segments: int = SEGMENTS, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
+def train_model(
+    train: DataFrame, n_segments: int = SEGMENTS, frequent: int = FREQUENT, broadcast_to: int = 0
+) -> tuple[Model, DataFrame]:
     """The model of ``train.text`` and the exact (w, c) of every token; see the module's text.
 
-    ``n_segments``: the least number of segments, and the most that are broadcast.
+    ``n_segments``: the least number of segments. A filter of up to ``broadcast_to`` segments is
+    broadcast; by default none is, so that a corpus is scored in the same way at every size.
     """
     hot, about = sampled(train)
     grams = stored(count_grams(train, max(8, math.ceil(about / PART)), hot), "grams")
@@ -456,7 +476,7 @@ def train_model(train: DataFrame, n_segments: int = SEGMENTS, frequent: int = FR
         "histories",
     )
     need = histories.agg(F.sum(F.col("entries") + F.col("s_level") + F.col("k_level"))).first()[0] or 0
-    most, n_segments = n_segments, max(n_segments, math.ceil(need * BITS_EACH / 65_536))
+    n_segments = max(n_segments, math.ceil(need * BITS_EACH / 65_536))
 
     bucket = F.floor(F.log2("c") * 16).cast("int")
     least, total = 1 << 30, 0
@@ -487,7 +507,7 @@ def train_model(train: DataFrame, n_segments: int = SEGMENTS, frequent: int = FR
     )
     entries = entries.mapInArrow(keyed, "key long, level long")
     bits = dealt = None
-    if n_segments > most:
+    if n_segments > broadcast_to:
         dealt = stored(filter_segments(entries, n_segments), "segments")
     else:
         bits = build_filter(entries, n_segments)
@@ -547,7 +567,7 @@ def answers(blocks: DataFrame, broadcast, dealt: DataFrame) -> DataFrame:
 def _asked(model: Model, blocks: Iterable[tuple]) -> np.ndarray:
     """All keys that tokens ask for, sorted; the order of the texts makes no difference."""
     found = [model.asked(h, w) for _, h, w, _ in blocks]
-    return (np.unique(np.concatenate(found)) if len(found) > 1 else found[0]) if found else np.zeros(0, np.uint64)
+    return (_unique(np.concatenate(found)) if len(found) > 1 else found[0]) if found else np.zeros(0, np.uint64)
 
 
 def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -575,7 +595,12 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
         order = np.argsort(keys)
         keys, lv = keys[order], lv[order].astype(np.int64)
         (batch,) = rows.to_batches()
-        return pa.Table.from_batches(list(score(batch, blocks, lambda asked: lv[np.searchsorted(keys, asked)])))
+
+        def read(asked: np.ndarray) -> np.ndarray:
+            own, at = _unique_places(asked)
+            return lv[np.searchsorted(keys, own)][at]
+
+        return pa.Table.from_batches(list(score(batch, blocks, read)))
 
     def score(batch: pa.RecordBatch, blocks: Iterable[tuple], read) -> Iterator[pa.RecordBatch]:
         model = broadcast.value

@@ -250,9 +250,9 @@ def test_scores_against_plain_python(spark):
         return out
 
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for most in (lm.SEGMENTS, 1):
-        model, counts = lm.train_model(docs.where("doc_id < 250"), n_segments=most)
-        assert (model.dealt is None) == (most > 1)
+    for most in (lm.SEGMENTS, 0):
+        model, counts = lm.train_model(docs.where("doc_id < 250"), broadcast_to=most)
+        assert (model.dealt is None) == (most > 0)
         # The filter's false positives are rare, so nearly all texts score as they should.
         got = {r.doc_id: r.score for r in lm.score_documents(docs, model, counts).collect()}
         right = [abs(got[i] - score(t)) < 1e-6 for i, t in texts.items()]
@@ -284,7 +284,7 @@ def test_probabilities_add_up_to_one(spark):
     texts = [" ".join(rng.choices(vocabulary, k=30, weights=range(1, 41))) for _ in range(200)]
     train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     for frequent in (lm.FREQUENT, 5):
-        model, counts = lm.train_model(train, frequent=frequent)
+        model, counts = lm.train_model(train, frequent=frequent, broadcast_to=lm.SEGMENTS)
         exact = {r.h % 2**64: r.c for r in counts.collect()}
         _, _, words, _ = next(lm.token_blocks(pa.array([" ".join(vocabulary) + " unknown"])))
         for h in words:
@@ -310,7 +310,7 @@ def test_a_filter_beyond_the_broadcast_keeps_all_counts(spark):
     docs = documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
     model, counts = lm.train_model(docs, 1, 20)
     assert model.cut == 2 and model.n_segments > 1 and model.bits is None
-    whole, same = lm.train_model(docs, model.n_segments, 20)
+    whole, same = lm.train_model(docs, model.n_segments, 20, model.n_segments)
     assert whole.cut == 2 and whole.n_segments == model.n_segments and whole.dealt is None
     got = {r.doc_id: r for r in lm.score_documents(docs, model, counts).collect()}
     want = {r.doc_id: r for r in lm.score_documents(docs, whole, same).collect()}
