@@ -100,8 +100,8 @@ S_KEY, K_KEY = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _BYTES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _C1)
 _BYTES[65:91] = _BYTES[97:123]
 _POINT = int(_C2)
-#: Bytes that are hashed at once.
-_AT_ONCE = 1 << 20
+#: Bytes that are hashed at once, few enough for a processor's cache.
+_AT_ONCE = (1 << 17) - 1
 
 
 class _Powers:
