@@ -390,6 +390,62 @@ def test_prior_is_that_of_all_labels(spark):
     assert {round(r.score, 9) for r in toxicity.toxicity(docs, labels, per_class=2).collect()} == {round(share, 9)}
 
 
+def test_votes_against_plain_python(spark):
+    """The neighbours' votes, one document and one neighbour at a time."""
+    rows = [(i, prose(3000 + i, 20 + i) + (" !! 12 AB" * (i % 3)), None, None, 0) for i in range(60)] + [(60, "", None, None, 0), (61, None, None, None, 0)]
+    docs = documents(spark, rows)
+    model = quality.train(docs, spark.createDataFrame([(i, int(i % 3 == 1), 0) for i in range(60)], LABELS))
+
+    def plain(text):
+        found = [0.0] * quality.SIZE
+        last = None
+        for word in (text or "").encode().split():
+            w, s = xxhash.xxh64_intdigest(word.lower()) % 4096, 4096 + xxhash.xxh64_intdigest(quality.shape(word)) % 1023
+            found[w] += 1
+            found[s] += 1
+            found[quality.REPEAT] += (w, s) == last
+            last = w, s
+        if not any(found):
+            return model.prior
+        shapes = max(1, sum(found[4096 : quality.REPEAT]))
+        parts = [math.log1p(c) * float(i) for c, i in zip(found[:4096], model.idf)], [math.sqrt(c / shapes) for c in found[4096:]]
+        x = []
+        for part, share in zip(parts, (quality.WORD_PART, quality.SHAPE_PART)):
+            length = math.sqrt(sum(c * c for c in part))
+            x += [share * c / length for c in part]
+        at = [sum(c * float(a) for c, a in zip(x, axis) if c) for axis in model.axes.T]
+        length = math.sqrt(sum(c * c for c in at))
+        votes = []
+        for point, label, weight in zip(model.points, model.labels, model.weights):
+            votes.append((sum(c * float(p) for c, p in zip(at, point)) / length, int(label), float(weight)))
+        votes = [(max(0.0, like) ** quality.POWER * weight, label) for like, label, weight in sorted(votes)[-quality.NEIGHBOURS :]]
+        return sum(v for v, label in votes if label) / sum(v for v, _ in votes)
+
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert len(model.points) > 30 and len({round(s, 6) for s in got.values()}) > 10
+    assert all(got[i] == pytest.approx(plain(t), abs=1e-3) for i, t, *_ in rows)
+
+
+def test_logits_against_all_pairs(spark):
+    """The factorization machine's score, one pair of terms at a time."""
+    rows = [(i, prose(4000 + i, 30) + (" insult group" if i % 2 else " insult" if i % 3 else " group"), None, None, 0) for i in range(400)]
+    docs = documents(spark, [*rows, (400, None, None, None, 0)])
+    model = toxicity.train(docs, spark.createDataFrame([(i, 1, i % 2) for i in range(400)], LABELS))
+    place = {int(t): i for i, t in enumerate(model.known)}
+    assert model.learned and len(place) > 3
+
+    def plain(text):
+        bare = {w.encode().strip(toxicity.MARKS) or w.encode() for w in split_words(lowered(text or ""))}
+        own = {xxhash.xxh64_intdigest(t) % toxicity.BUCKETS for w in bare for t in (b"w" + w, b"4" + w[:4], b"5" + w[:5])}
+        at = [place[t] for t in own if t in place]
+        z = model.bias + sum(float(model.weights[i]) for i in at)
+        z += sum(float(a * b) for n, i in enumerate(at) for j in at[:n] for a, b in zip(model.factors[i], model.factors[j]))
+        return 1 / (1 + math.exp(-z))
+
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all(got[i] == pytest.approx(plain(t), abs=1e-9) for i, t, *_ in rows) and got[400] == pytest.approx(plain(None))
+
+
 def test_pairs_of_terms_are_learned():
     """Neither word alone is toxic, both together are."""
     rng, rows, labels = random.Random(0), [], []
@@ -449,6 +505,38 @@ def test_reading_stops_at_the_threshold(monkeypatch):
     assert sorted((-score).tolist()) == want and sum(met) < 5000
 
 
+@pytest.mark.parametrize("kind", ["clustered", "random", "equal"])
+def test_blocks_that_cannot_reach_a_floor_are_not_met(spark, kind):
+    """Of clustered vectors few pairs are shipped and fewer scored; of random and equal ones all may be."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    x = rng.normal(size=(n, 16)) * (0.05 if kind == "clustered" else 1) + (rng.normal(size=(40, 16))[rng.integers(0, 40, n)] if kind == "clustered" else 0)
+    x = np.ones((n, 16)) if kind == "equal" else x
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = vectors.where("vec_id % 20 = 0")
+    own, asked = topk.blocks(vectors, queries, 100, 20)
+    asked = topk.with_floors(asked, own, 5)
+    met = topk.meetings(asked, own).collect()
+    shipped = sum(len(r.places) // 4 for r in met) / (200 * own.count())
+    cells = {r.v_block: (np.frombuffer(r.v_ids, "<i8"), topk._numbers(r.v_cells, 16)) for r in own.collect()}
+    some = {r.q_block: r for r in asked.collect()}
+    scored = 0
+    for r in met:
+        q, at, block = some[r.m_query], np.frombuffer(r.places, "<i4"), topk.Block(*cells[r.m_block])
+        block.top(np.frombuffer(q.q_ids, "<i8")[at], topk._numbers(q.q_cells, 16)[at], 5, np.frombuffer(q.floors, "<i8")[at])
+        scored += block.scored
+    if kind == "clustered":
+        assert shipped < 0.3 and scored / (200 * n) < 0.25
+    whole = np.floor(64 * x).astype(np.int64)
+    want = []
+    for i in range(0, n, 20):
+        scores = whole @ whole[i]
+        best = [j for j in np.lexsort((np.arange(n), -scores)).tolist() if j != i][:5]
+        want += [(i, place, j, int(scores[j])) for place, j in enumerate(best, 1)]
+    assert order(tuple(r) for r in topk.topk(vectors, queries, 5, 100, 20).collect()) == order(want)
+
+
 # -- pipeline --------------------------------------------------------------------------
 
 
