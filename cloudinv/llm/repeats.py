@@ -7,8 +7,9 @@ anchors, about one in 27, take part:
 1. Texts that another row holds as a whole are settled first; only the first holder goes on.
 2. Anchors are dealt by their hash, and those whose seed occurs once are dropped.
 3. The suffixes at the others, with all strings that they are the anchor of, are range-partitioned by
-   their leading bytes: the splitters come from a bounded sample. A bucket sorts its suffixes by
-   multikey quicksort, eight bytes at a time, and marks the strings that occur earlier.
+   their leading bytes: the splitters come from what a bounded sample of documents sends, by its bytes,
+   and a seed that fills a bucket has one of its own. A bucket sorts its suffixes by multikey
+   quicksort, eight bytes at a time, and marks the strings that occur earlier.
 4. A seed found more than DENSE times would make a bucket grow with the corpus. Its strings are dealt
    by a 128-bit hash of the string instead. A task sends on only its first holder of each string; the
    buckets compare these first holders, which stands for the comparison across buckets' borders.
@@ -168,9 +169,9 @@ def first_holders(base: DataFrame, special: DataFrame) -> DataFrame:
     return once.select(*columns).union(alike.select(*columns)).union(others.select("doc", F.lit(0), "text"))
 
 
-def sampled(base: DataFrame, special: DataFrame, n: int, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bounded sample: hashes of seeds found in FREQUENT documents, those of them that must be
-    found over DENSE / 2 times in all, and sorted splitting seeds."""
+def sampled(some: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bounded sample: hashes of seeds found in FREQUENT documents, and those of them that must
+    be found over DENSE / 2 times in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,21 +179,64 @@ def sampled(base: DataFrame, special: DataFrame, n: int, ranges: int) -> tuple[n
                 found, piece, anchor, _, _ = runs(data, pieces)
                 seen = np.unique(np.stack([found.seed[anchor], piece.astype(np.uint64)], axis=1), axis=0)[:, 0]
                 seed, count = np.unique(seen, return_counts=True)
-                place = dict(zip(found.seed[anchor].tolist(), anchor.tolist()))
-                lead = [data[place[s] : place[s] + SEED] for s in seed.tolist()]
-                yield _batch("seed lead n", seed.view(np.int64), pa.array(lead, pa.binary()), count)
+                yield _batch("seed n", seed.view(np.int64), count)
+
+    got = some.mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    often = got.where(f"n >= {FREQUENT}").toArrow()
+    seeds, n = (often.column(c).to_numpy() for c in ("seed", "n"))
+    return np.sort(seeds.view(np.uint64)), np.sort(seeds[n / share > DENSE / 2].view(np.uint64))
+
+
+def wanted(batch: pa.RecordBatch, often: np.ndarray, heavy: np.ndarray):
+    """Of each buffer (data, found, pieces, piece, anchor, first, last, own, hot): as :func:`runs`, and
+    which runs have a repeated seed, those of seeds found over DENSE times apart."""
+    listed = dict(zip(zip(batch.column("doc").to_pylist(), batch.column("sub").to_pylist()), batch.column("places").to_pylist()))
+    for data, pieces in chunks(_keyed(batch)):
+        found, piece, anchor, first, last = runs(data, pieces)
+        if not len(piece):
+            continue
+        seed = found.seed[anchor]
+        own, hot = np.isin(seed, often), np.isin(seed, heavy)
+        edges = np.searchsorted(piece, np.arange(len(pieces) + 1))
+        for i, p in enumerate(pieces):
+            a, b = edges[i], edges[i + 1]
+            places = anchor[a:b] + (p[1] - p[2])
+            own[a:b] |= np.isin(places, listed[p[0]])
+            hot[a:b] |= np.isin(-2 - places, listed[p[0]])
+        yield data, found, pieces, piece, anchor, first, last, np.flatnonzero(own & ~hot), hot
+
+
+def sent_bytes(some: DataFrame, often: np.ndarray, heavy: np.ndarray) -> DataFrame:
+    """(lead, n): how many bytes of strings the documents of a sample send for each seed."""
 
-    share = min(1.0, SAMPLE / max(1, n))
-    got = first_holders(base.sample(share, 7), special).mapInArrow(run, "seed long, lead binary, n long")
-    got = stored(got.groupBy("seed").agg(F.first("lead").alias("lead"), F.sum("n").alias("n")), "sample")
-    often = {s: c for s, c in got.where(f"n >= {FREQUENT}").select("seed", "n").collect()}
-    heavy = [s for s, c in often.items() if c / share > DENSE / 2]
-    few = min(1.0, 64 * ranges / max(1, got.count()))
-    picked = got.where(F.col("n") <= share * DENSE / 2).select("lead", "n").sample(few, 7).collect()
-    leads = sorted(bytes(r["lead"]) for r in picked for _ in range(r["n"]))
-    cuts = [leads[len(leads) * i // ranges] for i in range(1, ranges)] if leads else []
-    hashes = [np.sort(np.array(list(x), np.int64).view(np.uint64)) for x in (often, heavy)]
-    return *hashes, np.unique(np.array(cuts, f"S{SEED}"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, _, _, _, anchor, first, last, own, _ in wanted(batch, often, heavy):
+                leads = [data[a : a + SEED] for a in anchor[own].tolist()]
+                yield _batch("lead n", pa.array(leads, pa.binary()), (last - first + LENGTH)[own])
+
+    return some.mapInArrow(run, "lead binary, n long").groupBy("lead").agg(F.sum("n").alias("n"))
+
+
+def split(sent: DataFrame, share: float) -> tuple[np.ndarray, int]:
+    """Sorted splitting seeds, and over how many buckets by hash the seeds of a range are dealt.
+
+    ``sent``: (lead, n) of a sample, which is ``share`` of all. A bucket gets about BUCKET bytes, a
+    seed with as many gets a range of its own. Of the lighter leads some come to the driver, by
+    their weight; they stand for the others. So it gets some 128 leads for each range.
+    """
+    total = sent.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranges = max(1, min(RANGES, math.ceil(total / share / BUCKET)))
+    step = max(1.0, total / ranges / 64)
+    chance = F.pmod(F.xxhash64("lead"), F.lit(1 << 20)) / (1 << 20)
+    picked = sorted((bytes(r.lead), max(step, r.n)) for r in sent.where(chance * step < F.col("n")).collect())
+    cuts, held, goal = [], 0.0, sum(n for _, n in picked) / ranges
+    for i, (lead, n) in enumerate(picked):
+        if i and held + n > goal:
+            cuts.append(lead)
+            held = 0.0
+        held += n
+    return np.unique(np.array(cuts, f"S{SEED}")), max(1, math.ceil(total / share / BUCKET / ranges))
 
 
 def repeated_anchors(firsts: DataFrame, total: int, often: np.ndarray) -> DataFrame:
@@ -310,34 +354,23 @@ NAMES = "bucket seed other doc sub start stop string"
 
 
 def send_suffixes(
-    near: DataFrame, often: np.ndarray, heavy: np.ndarray, splitters: np.ndarray, parts: int
+    near: DataFrame, often: np.ndarray, heavy: np.ndarray, splitters: np.ndarray, parts: int, least: int
 ) -> DataFrame:
-    """Suffixes with their strings for the buckets; see ROW.
+    """Suffixes with their strings for the buckets, of which frequent seeds have at least ``least``; see ROW.
 
     With ``string``: the bytes from ``start`` to ``stop`` of a document, whose strings have one anchor.
     Without: one string of a frequent seed, its hash in seed and other. With a null seed: a stretch
     from ``start`` to ``stop`` that is settled already.
     """
     buckets = (len(splitters) + 1) * parts
+    dealt = max(least, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            listed = dict(zip(zip(batch.column("doc").to_pylist(), batch.column("sub").to_pylist()), batch.column("places").to_pylist()))
-            for data, pieces in chunks(_keyed(batch)):
-                found, piece, anchor, first, last = runs(data, pieces)
-                if not len(piece):
-                    continue
+            for data, found, pieces, piece, anchor, first, last, own, hot in wanted(batch, often, heavy):
                 shift = np.array([p[1] - p[2] for p in pieces])
                 keys = np.array([p[0] for p in pieces], np.int64)
                 seed = found.seed[anchor]
-                wanted, hot = np.isin(seed, often), np.isin(seed, heavy)
-                edges = np.searchsorted(piece, np.arange(len(pieces) + 1))
-                for i, p in enumerate(pieces):
-                    a, b = edges[i], edges[i + 1]
-                    places = anchor[a:b] + shift[i]
-                    wanted[a:b] |= np.isin(places, listed[p[0]])
-                    hot[a:b] |= np.isin(-2 - places, listed[p[0]])
-                own = np.flatnonzero(wanted & ~hot)
                 leads = np.array([data[a : a + SEED] for a in anchor[own].tolist()], f"S{SEED}")
                 to = np.searchsorted(splitters, leads, side="right").astype(np.int64) * parts
                 to += ((seed[own] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
@@ -361,12 +394,12 @@ def send_suffixes(
         again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
         f, empty = ~again, pa.nulls(int((~again).sum()), pa.binary())
         yield _batch(
-            NAMES, buckets + ((one[f] >> np.uint64(32)) % np.uint64(SPREAD * buckets)).astype(np.int64), one[f].view(np.int64),
+            NAMES, buckets + ((one[f] >> np.uint64(32)) % np.uint64(SPREAD * dealt)).astype(np.int64), one[f].view(np.int64),
             two[f].view(np.int64), doc[f], sub[f], start[f], start[f] + LENGTH, empty,
         )
         doc, sub, begin, end = stretches(doc[again], sub[again], start[again])
         yield _batch(
-            NAMES, -1 - ((mix(doc.view(np.uint64)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64),
+            NAMES, -1 - ((mix(doc.view(np.uint64)) >> np.uint64(32)) % np.uint64(dealt)).astype(np.int64),
             pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int64()), doc, sub, begin, end, pa.nulls(len(doc), pa.binary()),
         )
 
@@ -506,12 +539,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows alike in id and text all but one are repeats. Texts shorter than LENGTH stay.
     """
     base, special, total, n = prepared(docs)
-    ranges = max(4, min(RANGES, math.ceil(total / BUCKET)))
-    often, heavy, splitters = sampled(base, special, n, ranges)
+    share = min(1.0, SAMPLE / max(1, n))
+    some = stored(first_holders(base.sample(share, 7), special), "sample")
+    often, heavy = sampled(some, share)
     firsts = first_holders(base, special)
-    near, _ = with_lists(firsts, stored(repeated_anchors(firsts, total, often), "anchors"), ["doc", "sub"])
-    parts = max(1, math.ceil(total / BUCKET / ranges))
-    found = stored(settle(send_suffixes(near, often, heavy, splitters, parts)), "stretches")
+    anchors = stored(repeated_anchors(firsts, total, often), "anchors")
+    near, _ = with_lists(firsts, anchors, ["doc", "sub"])
+    # The sample has some SAMPLE rows, which bounds the broadcast of their ids.
+    listed = anchors.join(F.broadcast(some.select("doc", "sub").distinct()), ["doc", "sub"])
+    splitters, parts = split(stored(sent_bytes(some.join(listed, ["doc", "sub"]), often, heavy), "sent"), share)
+    least = max(4, math.ceil(total / BUCKET))
+    found = stored(settle(send_suffixes(near, often, heavy, splitters, parts, least)), "stretches")
 
     # All that is known of the texts under one doc_id, nearly always one.
     care = special.select("doc", F.struct("row", "copy", "sub", "same").alias("care"), F.lit(None).alias("span"))

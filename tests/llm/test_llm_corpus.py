@@ -151,6 +151,21 @@ def test_repeats_of_dense_seeds(spark, monkeypatch):
         assert order(found_repeats(documents(spark, rows))) == want
 
 
+def test_hot_seeds_have_buckets_of_their_own(spark, monkeypatch):
+    """Near copies that send most of all bytes are spread over buckets of a bounded size."""
+    monkeypatch.setattr(repeats, "BUCKET", 1 << 16)
+    monkeypatch.setattr(repeats, "SAMPLE", 200)
+    copy = prose(77, 300)
+    rows = [(i, copy + f" {i}" if i % 2 else prose(7000 + i, 60), None, None, None) for i in range(600)]
+    sent, plain = [], repeats.settle
+    monkeypatch.setattr(repeats, "settle", lambda df: plain(sent.append(stored(df, "sent")) or sent[-1]))
+    found = {r.doc_id: r.n_removed for r in repeats.remove_repeats(documents(spark, rows)).collect()}
+    assert found == {r[0]: p[1] for r, p in zip(rows, plain_repeats([r[1] for r in rows]))}
+    sizes = sent[0].groupBy("bucket").agg(F.sum(F.length("string")).alias("n"), F.countDistinct("seed").alias("seeds")).collect()
+    total, most = sum(r.n for r in sizes), max(r.n for r in sizes)
+    assert len(sizes) > 8 and most < 3 * total / len(sizes) and sum(r.seeds for r in sizes) > 40
+
+
 @pytest.mark.parametrize("most", [4096, 2])
 def test_document_filter_grows_with_its_keys(spark, monkeypatch, most):
     """More keys than the least filter has bits: others still stay out, or all are joined."""
