@@ -2,9 +2,12 @@
 
 An item's set of word shingles has a MinHash signature: its smallest shingle hashes, as many as its
 size asks for. An item of n shingles of which a share of at least t lies in a document misses at
-most n - ceil(t n) of them there, so of the n - ceil(t n) + 1 smallest at least one is in the
-document. The sizes of the items so partition the search: each size has its own signature length,
-and no document however long can hide an item. Candidates are verified by exact containment.
+most n - ceil(t n) of them there, so of any n - ceil(t n) + 1 at least one is in the document. The
+sizes of the items so partition the search: each size has its own signature length, and no document
+however long can hide an item. Shingles that fewer items hold come first in a signature, by hash
+among equally rare ones, so an opening that many items share makes no candidates. Candidates are
+verified by exact containment, as counts of shared shingles. Items with one set of shingles are one
+until the end.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -30,9 +33,12 @@ def _starts(words: Column, shingle: int) -> Column:
     return F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), last))
 
 
+def _hash(words: Column, at: Column, shingle: int) -> Column:
+    return F.xxhash64(*[F.get(words, at + F.lit(j)) for j in range(shingle)])
+
+
 def _hashes(words: str, shingle: int) -> Column:
-    parts = lambda i: F.xxhash64(*[F.get(words, i + F.lit(j)) for j in range(shingle)])
-    return F.transform(_starts(F.col(words), shingle), parts)
+    return F.transform(_starts(F.col(words), shingle), lambda i: _hash(F.col(words), i, shingle))
 
 
 def _shingles(words: str, shingle: int) -> Column:
@@ -41,18 +47,31 @@ def _shingles(words: str, shingle: int) -> Column:
     return F.array_distinct(F.transform(_starts(F.col(words), shingle), joined))
 
 
-def signatures(items: DataFrame, shingle: int, containment: float) -> DataFrame:
-    """item_id, shingles, and signature: the smallest hashes, of which a match holds at least one."""
-    n = F.size("shingles")
+def signatures(items: DataFrame, shingle: int, containment: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(item_id, item), the distinct shingle sets (item, n, shingles), and signatures (h, item).
+
+    ``item`` names a set of shingles. A document that holds enough of the set holds a shingle of its
+    signature.
+    """
+    named = stored(
+        items.select("item_id", F.array_sort(_shingles("words", shingle)).alias("shingles"))
+        .where(F.size("shingles") > 0)
+        .select("item_id", F.md5(F.array_join("shingles", "\n").cast("binary")).alias("item"), "shingles"),
+        "named",
+    )
+    sets = stored(named.groupBy("item").agg(F.first("shingles").alias("shingles")), "sets")
+    hashed = stored(
+        sets.select("item", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+        .select("item", "n", _hash(F.split("s", " "), F.lit(0), shingle).alias("h")), "hashed"
+    )
+    held = stored(hashed.groupBy("h").agg(F.count("*").alias("held")), "held")
     # The least number of shared shingles that is enough, kept from the rounding of t * n.
-    enough = F.ceil(F.lit(containment) * n - F.lit(1e-9)).cast("int")
-    return (
-        items.select("item_id", _words().alias("words"))
-        .select("item_id", _shingles("words", shingle).alias("shingles"),
-                F.array_distinct(_hashes("words", shingle)).alias("hashes"))
-        .where(n > 0)
-        .select("item_id", "shingles", F.slice(F.array_sort("hashes"), F.lit(1), n - enough + 1).alias("signature"))
+    enough = F.ceil(F.lit(containment) * F.col("n") - F.lit(1e-9)).cast("int")
+    ordered = (
+        hashed.join(held, "h").groupBy("item", "n").agg(F.array_sort(F.collect_list(F.struct("held", "h"))).alias("order"))
+        .select("item", F.explode(F.slice("order", F.lit(1), F.col("n") - enough + 1)).alias("own"))
     )
+    return named.select("item_id", "item").distinct(), sets, ordered.select("own.h", "item")
 
 
 def find_items(
@@ -67,16 +86,8 @@ def find_items(
     items like others; of items repeated under one id each text counts as an item, and equal ones
     once. Rows that share doc_id and text are found once.
     """
-    signed = stored(
-        signatures(items.dropDuplicates(["item_id", "text"]), shingle, containment).withColumn(
-            "item", F.xxhash64("item_id", F.array_join("shingles", "\n"))
-        ),
-        "items",
-    )
-    probes = stored(
-        signed.select(F.explode("signature").alias("h"), "item").groupBy("h").agg(F.collect_list("item").alias("items")),
-        "probes",
-    )
+    members, sets, signed = signatures(items.select("item_id", _words().alias("words")), shingle, containment)
+    probes = stored(signed.groupBy("h").agg(F.collect_list("item").alias("items")), "probes")
     rows, highest = probes.agg(F.count("*"), F.max("h")).first()
     hashes = F.array_distinct(F.filter(_hashes("words", shingle), lambda h: h <= F.lit(highest)))
     shingled = (
@@ -84,39 +95,26 @@ def find_items(
         .select("doc_id", "row", F.explode(hashes).alias("h"))
     )
     near = F.broadcast(probes) if rows <= BROADCAST_ROWS else probes
-    candidates = (
-        shingled.join(near, "h").select("doc_id", "row", F.explode("items").alias("item"))
-        .groupBy("doc_id", "row").agg(F.collect_set("item").alias("candidates"))
-    )
-    candidates = stored(candidates, "candidates")
-    pairs = (
-        candidates.select("doc_id", "row", F.explode("candidates").alias("item"))
-        .join(signed.select("item", "item_id", "shingles").hint("rebalance"), "item")
-        .groupBy("doc_id", "row")
-        .agg(F.collect_list(F.struct("item_id", "shingles")).alias("items"))
+    candidates = stored(
+        shingled.join(near, "h").select("doc_id", "row", F.explode("items").alias("item")).distinct(), "candidates"
     )
     left = docs.select(F.col("doc_id").alias("d"), "text", text_key().alias("r"))
-    on = left["d"].eqNullSafe(pairs["doc_id"]) & (left["r"] == pairs["row"])
-    found = (
-        left.join(pairs, on)
-        .withColumn("words", _words())
-        .withColumn("own", _shingles("words", shingle))
-        .select(
-            "doc_id", "row",
-            F.explode(
-                F.transform(
-                    "items",
-                    lambda x: F.struct(
-                        x["item_id"].alias("item_id"),
-                        F.size(x["shingles"]).alias("n_shingles"),
-                        F.size(F.array_intersect(x["shingles"], F.col("own"))).alias("n_shared"),
-                    ),
-                )
-            ).alias("x"),
-        )
-        .select("doc_id", "row", "x.*")
+    which = candidates.select("doc_id", "row").distinct()
+    on = left["d"].eqNullSafe(which["doc_id"]) & (left["r"] == which["row"])
+    # Shingles of the few documents that have candidates, once for rows alike in id and text.
+    own = (
+        left.join(which, on, "left_semi").dropDuplicates(["d", "r"])
+        .withColumn("words", _words()).select("d", "r", F.explode(_shingles("words", shingle)).alias("t"))
+    )
+    wanted = candidates.join(
+        sets.select("item", F.size("shingles").alias("n_shingles"), F.explode("shingles").alias("s")).hint("rebalance"), "item"
+    )
+    same = wanted["doc_id"].eqNullSafe(own["d"]) & (wanted["row"] == own["r"]) & (wanted["s"] == own["t"])
+    shared = (
+        wanted.join(own, same).groupBy("doc_id", "row", "item", "n_shingles").agg(F.count("*").cast("int").alias("n_shared"))
+        .where(F.col("n_shared") >= F.lit(containment) * F.col("n_shingles") - F.lit(1e-9))
     )
-    return found.where(F.col("n_shared") >= F.lit(containment) * F.col("n_shingles") - F.lit(1e-9)).distinct()
+    return stored(shared, "shared").join(members, "item").select("doc_id", "row", "item_id", "n_shingles", "n_shared").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:

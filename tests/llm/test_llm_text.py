@@ -129,6 +129,21 @@ def test_every_share_of_an_item(spark):
     assert got == plain_find(rows, items) and len(got) > 5
 
 
+def test_an_opening_that_all_items_share_makes_no_candidates(spark):
+    """Signatures hold what few items hold; equal sets of shingles are looked for once."""
+    opening = "choose the one right answer below "
+    items = [(i, opening + prose(5000 + i, 12)) for i in range(400)] + [(1000 + i, opening + prose(5007, 12)) for i in range(50)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    _, sets, signed = decontamination.signatures(table.select("item_id", decontamination._words().alias("words")), 5, 0.8)
+    assert sets.count() == 400
+    assert signed.groupBy("h").count().agg({"count": "max"}).first()[0] == 1
+    rows = [(i, opening + prose(9000 + i, 40), None, None, None) for i in range(100)]
+    rows += [(200, prose(1, 10) + " " + items[7][1] + " " + prose(2, 10), None, None, None)]
+    found = decontamination.find_items(documents(spark, rows), table).collect()
+    got = {(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in found}
+    assert got == plain_find(rows, items) and {r[1] for r in got} == {7, *range(1000, 1050)}
+
+
 def test_nothing_to_find(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find_items(documents(spark), none).count() == 0
