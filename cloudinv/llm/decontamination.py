@@ -99,7 +99,8 @@ def find_items(
         shingled.join(near, "h").select("doc_id", "row", F.explode("items").alias("item")).distinct(), "candidates"
     )
     left = docs.select(F.col("doc_id").alias("d"), "text", text_key().alias("r"))
-    which = candidates.select("doc_id", "row").distinct()
+    # Joined by a shuffle at every size: a broadcast that ends at some size makes the work jump there.
+    which = candidates.select("doc_id", "row").distinct().hint("merge")
     on = left["d"].eqNullSafe(which["doc_id"]) & (left["r"] == which["row"])
     # Shingles of the few documents that have candidates, once for rows alike in id and text.
     own = (
