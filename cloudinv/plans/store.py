@@ -3,7 +3,7 @@
 ::
 
     landing/batch_id=N/kind=K/     rows of one ingest batch
-    ingest_log/batch_id=N/         one row per landed batch
+    ingest_log/batch_id=N/         a row for each share of the files of a landed batch
     file_log/batch_id=N/           what became of each file of the batch
     tasks/, outcomes/, dead_letters/batch_id=N/   attempts at files, see streaming.ingest
     table/account_id=A/            the table as of the last maintenance run
@@ -28,7 +28,7 @@ from cloudinv.functions.times import instant
 from cloudinv.operators import maintenance
 from cloudinv.operators.shaping import identified, item_columns, live
 from cloudinv.schema import CORRUPT, OPERATIONAL
-from cloudinv.sources.snapshots import list_files, unread_files
+from cloudinv.sources.snapshots import list_files, plain, unread_files
 from cloudinv.sources.tables import SORT, read_operational, replace_accounts, write_version
 
 # What became of a file or an item.
@@ -46,10 +46,8 @@ _LANDED = T.StructType(
 _RUN_LOG = "run long, through_batch long, as_of timestamp, state string"
 _FILE_LOG = "source_key string, kind string, batch_id long"
 _DEAD_LETTERS = "path string, version string, attempt int, batch_id long"
-_INGEST_LOG = (
-    "files long, rows long, dropped long, bad_files long, accounts long, types long, "
-    "ingest_ts timestamp, batch_id long"
-)
+_ENTRY = "files long, rows long, dropped long, bad_files long, accounts long, types long"
+_INGEST_LOG = f"{_ENTRY}, ingest_ts timestamp, batch_id long"
 
 
 def classify(snapshots: DataFrame, ingest_ts) -> DataFrame:
@@ -71,33 +69,58 @@ def classify(snapshots: DataFrame, ingest_ts) -> DataFrame:
 
 
 class BatchProfile:
-    """What a batch holds, observed while it is written.
+    """What each file of a batch holds, observed while the batch is written.
 
-    The sets have one entry for each file, account and type of a page of a batch, which is a
-    bounded list of files. Metrics of the tasks that wrote the rows count once: no shuffle comes after.
+    There is one entry for each document of a page of a batch, which is a bounded list of files.
+    Metrics of the tasks that wrote the rows count once: no shuffle comes after.
     """
 
     def __init__(self):
-        self.counts = dict.fromkeys((ROW, DROPPED, BAD), 0)
-        self.files, self.accounts, self.types = set(), set(), set()
-
-    def observe(self, rows: DataFrame) -> tuple[DataFrame, Observation]:
-        kind, seen = F.col("kind"), Observation()
-        of_row = lambda c: F.collect_set(F.when(kind == ROW, F.col(c)))
-        return rows.observe(
-            seen,
-            *[F.count_if(kind == k).alias(k) for k in self.counts],
-            F.collect_set(F.struct("source_key", "kind")).alias("files"),
-            of_row("account_id").alias("accounts"),
-            of_row("resource_type").alias("types"),
-        ), seen
+        self.files: dict[str, list] = {}
+
+    def observe(self, snapshots: DataFrame) -> tuple[DataFrame, Observation]:
+        """To be observed before the items are exploded: a document is one row."""
+        items, bad, seen = F.col("configurationItems"), F.col(CORRUPT).isNotNull(), Observation()
+        good = F.filter(items, lambda i: identified(i["awsAccountId"], i["ARN"]))
+        some = F.when(~bad, good)
+        names = lambda c: F.array_distinct(F.transform(some, lambda i: i[c]))
+        size = lambda a: F.coalesce(F.array_size(a), F.lit(0))
+        document = F.struct(
+            F.col("source_key"),
+            bad.alias("bad"),
+            # A list without items gives one marker row.
+            F.greatest(size(items), F.lit(1)).alias("all"),
+            size(F.filter(items, lambda i: i.isNull())).alias("none"),
+            size(items).alias("items"),
+            size(some).alias("rows"),
+            names("awsAccountId").alias("accounts"),
+            names("resourceType").alias("types"),
+        )
+        return snapshots.observe(seen, F.collect_list(document).alias("documents")), seen
 
     def add(self, seen: dict) -> None:
-        for kind in self.counts:
-            self.counts[kind] += seen[kind]
-        self.files |= {tuple(f) for f in seen["files"]}
-        self.accounts |= set(seen["accounts"])
-        self.types |= set(seen["types"])
+        for d in seen["documents"]:
+            counts, accounts, types = self.files.setdefault(
+                d["source_key"], [dict.fromkeys((ROW, DROPPED, EMPTY, BAD), 0), set(), set()]
+            )
+            if d["bad"]:
+                counts[BAD] += d["all"]
+                continue
+            counts[ROW] += d["rows"]
+            counts[DROPPED] += d["items"] - d["none"] - d["rows"]
+            counts[EMPTY] += d["none"] if d["items"] else 1
+            accounts.update(d["accounts"] or ())
+            types.update(t for t in d["types"] or () if t is not None)
+
+    def kinds(self) -> list[tuple[str, str]]:
+        return sorted((f, kind) for f, (counts, _, _) in self.files.items() for kind, n in counts.items() if n)
+
+    def entry(self, files: Iterable[str]) -> tuple:
+        """Files, rows, dropped, bad files, accounts and types of some of the files."""
+        found = [self.files[f] for f in files]
+        total = lambda kind: sum(counts[kind] for counts, _, _ in found)
+        union = lambda i: len(set().union(*[f[i] for f in found]))
+        return len(found), total(ROW), total(DROPPED), total(BAD), union(1), union(2)
 
 
 class InventoryStore:
@@ -144,13 +167,13 @@ class InventoryStore:
     def landed(self, after: int = -1, upto: int | None = None) -> DataFrame:
         """Rows of logged batches, by default all; other batch folders are not listed.
 
-        Batch numbers come to the driver: one per batch since the last maintenance run.
+        Batch numbers come to the driver: one per folder since the last maintenance run.
         """
         batch = F.col("batch_id")
         logged = self.ingest_log().where(batch > after)
         if upto is not None:
             logged = logged.where(batch <= upto)
-        numbers = sorted(r["batch_id"] for r in logged.select("batch_id").collect())
+        numbers = sorted(r["batch_id"] for r in logged.select("batch_id").distinct().collect())
         if not numbers:
             return self.spark.createDataFrame([], _LANDED)
         folder = f"{self.root}/landing"
@@ -196,40 +219,44 @@ class InventoryStore:
 
     # -- writing ---------------------------------------------------------------
 
-    def land(self, snapshots: DataFrame, batch_id: int, ingest_ts) -> None:
+    def land(
+        self, snapshots: DataFrame, batch_id: int, ingest_ts, shares: list[list[str]] | None = None
+    ) -> None:
         """Write one batch and its log entry; running it again replaces both.
 
         The rows are sorted where they were decoded and not shuffled, and each task
         writes one file per kind. Maintenance brings accounts together later. What the logs say is
         observed during the write, so nothing is read back.
         """
-        self.land_pages([snapshots], batch_id, ingest_ts)
+        self.land_pages([snapshots], batch_id, ingest_ts, shares)
 
-    def land_pages(self, pages: Iterable[DataFrame], batch_id: int, ingest_ts) -> None:
-        """The same for a batch that is read in several parts; none make a batch without rows."""
+    def land_pages(
+        self, pages: Iterable[DataFrame], batch_id: int, ingest_ts, shares: list[list[str]] | None = None
+    ) -> None:
+        """The same for a batch that is read in several parts; none make a batch without rows.
+
+        ``shares`` deals the names of the files out to log entries, each a batch of its own to the
+        reader of the log; by default all files have one entry.
+        """
         target = f"{self.root}/landing/batch_id={int(batch_id)}"
         profile, mode = BatchProfile(), "overwrite"
         for page in pages:
-            rows, seen = profile.observe(classify(page, ingest_ts))
-            self._write_kinds(rows, target, mode)
+            documents, seen = profile.observe(page)
+            self._write_kinds(classify(documents, ingest_ts), target, mode)
             profile.add(seen.get)
             mode = "append"
         if mode == "overwrite":
             none = self.spark.createDataFrame([], _LANDED).drop("batch_id")
             self._write_kinds(none, target, mode)
-        files = self.spark.createDataFrame(sorted(profile.files), "source_key string, kind string")
-        entry = {
-            "files": len({f for f, _ in profile.files}),
-            "rows": profile.counts[ROW],
-            "dropped": profile.counts[DROPPED],
-            "bad_files": profile.counts[BAD],
-            "accounts": len(profile.accounts),
-            "types": len(profile.types),
-        }
-        numbers = [F.lit(n).cast("long").alias(name) for name, n in entry.items()]
-        # The batch counts once its entry in the ingest log exists, so that comes last.
+        place = {plain(name): i for i, names in enumerate(shares or []) for name in names}
+        dealt: list[list[str]] = [[] for _ in shares or [[]]]
+        for file in profile.files:
+            dealt[place.get(plain(file), 0)].append(file)
+        files = self.spark.createDataFrame(profile.kinds(), "source_key string, kind string")
+        entries = self.spark.createDataFrame([profile.entry(share) for share in dealt], _ENTRY)
+        # The batch counts once its entries in the ingest log exist, so those come last.
         self.put("file_log", files, batch_id)
-        self.put("ingest_log", self.spark.range(1).select(*numbers, instant(ingest_ts).alias("ingest_ts")), batch_id)
+        self.put("ingest_log", entries.withColumn("ingest_ts", instant(ingest_ts)), batch_id)
 
     def put(self, name: str, rows: DataFrame, batch_id: int) -> DataFrame:
         """Write what belongs to a batch into a folder of its own, and read it back."""

@@ -12,6 +12,8 @@ from cloudinv.schema import CORRUPT, SNAPSHOT
 
 SUFFIX = "*.json.gz"
 DEFAULT_REGION = "eu-west-2"
+# What a listing of files has.
+_LISTED = "path string, modificationTime timestamp, length long, content binary"
 
 
 def today() -> date:
@@ -72,16 +74,17 @@ def read_snapshots(
     return _with_source(reader.json(snapshot_glob(root, region, day, account)))
 
 
-def stream_snapshots(
-    spark: SparkSession, root: str, region: str = "*", files_per_batch: int = 25, day: Day = None
+def stream_names(
+    spark: SparkSession, root: str, region: str = "*", files_per_trigger: int = 25, day: Day = None
 ) -> DataFrame:
-    """The same rows as a stream that takes a bounded number of files per batch.
+    """``path`` of snapshot files as a stream, a bounded number per trigger; no file is opened.
 
     Each trigger lists the folders again. A job started for some days, such as today and
     yesterday, lists only theirs, however long the history is.
     """
-    reader = _options(spark.readStream, skip_broken=True).option("maxFilesPerTrigger", files_per_batch)
-    return _with_source(reader.json(snapshot_glob(root, region, day)))
+    reader = spark.readStream.format("binaryFile").schema(_LISTED).option("pathGlobFilter", SUFFIX)
+    reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.load(snapshot_glob(root, region, day)).select("path")
 
 
 def quarantine(snapshots: DataFrame) -> DataFrame:
@@ -155,14 +158,14 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
             return _with_source(_options(spark.read, skip_broken=True).json(sorted(literal)))
         except AnalysisException as error:
             # Spark names one missing path at a time, which is rarely there to be found.
-            missing = _plain((error.getMessageParameters() or {}).get("path"))
-            left = {path for path in literal if _plain(path) != missing}
+            missing = plain((error.getMessageParameters() or {}).get("path"))
+            left = {path for path in literal if plain(path) != missing}
             if error.getCondition() != "PATH_NOT_FOUND" or left == literal:
                 raise
             literal = left
     return spark.createDataFrame([], SNAPSHOT).withColumn("source_key", F.lit(None).cast("string"))
 
 
-def _plain(path: str | None) -> str | None:
+def plain(path: str | None) -> str | None:
     """A path without escapes and without the slashes of an empty authority."""
     return path and re.sub(r"^(\w+:)/+", r"\1/", path.replace("\\", ""))

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cloudinv.plans.store import InventoryStore
 from cloudinv.sources.notices import LOCATION, stream_notices
-from cloudinv.sources.snapshots import Day, read_files, stream_snapshots
+from cloudinv.sources.snapshots import Day, read_files, stream_names
 from cloudinv.streaming.attempts import DEAD, MAX_ATTEMPTS, OUTCOME, READ, attempts
 
 #: Files that one job reads by name.
@@ -36,17 +36,24 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Start landing new snapshot files in batches.
 
+    A trigger takes the names of as many whole batches as ``PAGE`` files make, reads the files in
+    one job, and logs each batch of ``files_per_batch`` files by itself. So the fixed cost of a
+    trigger is paid once for all of them.
+
     ``interval=None`` takes what is there, in the same bounded batches, and stops. The
-    checkpoint fixes which files a batch holds, and a replayed batch replaces its own
+    checkpoint fixes which files a trigger holds, and a replayed one replaces its own
     folder, so a lost driver or executor neither loses nor doubles rows.
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        names = sorted(r["path"] for r in batch.collect())
+        shares = [names[i : i + files_per_batch] for i in range(0, len(names), files_per_batch)]
         stamp = ingest_ts or datetime.now(timezone.utc)
-        InventoryStore(batch.sparkSession, store_root).land(batch, batch_id, stamp)
+        InventoryStore(session, store_root).land(read_files(session, names), batch_id, stamp, shares)
 
-    snapshots = stream_snapshots(spark, source, region, files_per_batch, day)
-    return _started(snapshots, land, checkpoint, interval)
+    together = max(1, PAGE // files_per_batch) * files_per_batch
+    return _started(stream_names(spark, source, region, together, day), land, checkpoint, interval)
 
 
 def _pages(tasks: DataFrame, size: int = PAGE) -> Iterator[list[str]]:

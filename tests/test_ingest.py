@@ -292,6 +292,23 @@ def test_landing_reads_nothing_back(spark, root, tmp_path, monkeypatch):
     assert entry.asDict() == dict(files=4, rows=5, dropped=4, bad_files=0, accounts=2, types=1)
 
 
+def test_a_trigger_lands_many_batches(spark, root, tmp_path):
+    """Each has its own entry in the log, and all are written by one job."""
+    path = str(tmp_path / "store")
+    deliver(root, "bad.json.gz", None, document="[1,2]")
+    store = run_stream(spark, root, path, files_per_batch=1, ingest_ts=T0)
+    log = store.ingest_log().collect()
+    assert [f for f in os.listdir(f"{path}/landing") if f.startswith("batch_id=")] == ["batch_id=0"]
+    assert sorted((r.files, r.rows, r.dropped, r.bad_files, r.accounts, r.types) for r in log) == [
+        (1, 0, 0, 0, 0, 0), (1, 0, 0, 0, 0, 0), (1, 0, 0, 1, 0, 0), (1, 1, 0, 0, 1, 1), (1, 4, 4, 0, 1, 1),
+    ]
+    kinds = {(os.path.basename(r.source_key), r.kind) for r in store.file_log().collect()}
+    assert kinds == {
+        ("a b+c.json.gz", "row"), ("a b+c.json.gz", "dropped"), ("other.json.gz", "row"),
+        ("none.json.gz", "empty"), ("absent.json.gz", "empty"), ("bad.json.gz", "bad"),
+    }
+
+
 # -- messages ----------------------------------------------------------------------------
 
 
