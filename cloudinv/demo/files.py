@@ -128,7 +128,8 @@ def write_other_files(spark: SparkSession, sf_dir: str, root: str) -> None:
 def write_messages(spark: SparkSession, root: str, out: str) -> None:
     """A message for each file below a folder, some twice and some late, and one that names none."""
     names = list_files(spark, root).select("path", F.pmod(F.xxhash64("path"), F.lit(6)).alias("n"))
-    cut = F.length(F.lit(root)) + F.locate(root, F.col("path"))
+    # The listing spells the root its own way, such as with fewer slashes.
+    cut = F.locate("/AWSLogs/", F.col("path"))
     key = F.replace(F.replace(F.url_encode(F.expr("substring(path, 1 + char_length(bucket))")), F.lit("%2F"), F.lit("/")), F.lit("%3D"), F.lit("="))
     day = F.when(F.col("n") % 3 == 0, "2024-01-01").otherwise("2024-02-01")
     record = F.struct(

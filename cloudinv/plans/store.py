@@ -153,7 +153,7 @@ class InventoryStore:
 
     def good_files(self, batch_id: int) -> DataFrame:
         """``source_key`` of the batch's files that were snapshots."""
-        own = self.file_log().where(F.col("batch_id") == batch_id)
+        own = self._read(f"file_log/batch_id={int(batch_id)}", "source_key string, kind string")
         good = own.groupBy("source_key").agg(F.bool_and(F.col("kind") != BAD).alias("good"))
         return good.where("good").select("source_key")
 

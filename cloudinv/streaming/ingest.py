@@ -58,7 +58,9 @@ def stream_ingest(
 
 def _pages(tasks: DataFrame, size: int = PAGE) -> Iterator[list[str]]:
     """Paths to read, a bounded list at a time; a path that several versions name is read once."""
-    paths = (r["path"] for r in tasks.where(F.col("verdict") == READ).select("path").distinct().toLocalIterator())
+    # A partition that is iterated over is a job, and a stream's session does not merge them.
+    paths = tasks.where(F.col("verdict") == READ).select("path").distinct().coalesce(1)
+    paths = (r["path"] for r in paths.toLocalIterator())
     while page := list(islice(paths, size)):
         yield page
 
@@ -90,7 +92,8 @@ def stream_events(
     def land(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         store = InventoryStore(session, store_root)
-        tasks = store.put("tasks", batch, batch_id)
+        # One file, by a shuffle: brought together without one, all partitions of the state are one task.
+        tasks = store.put("tasks", batch.repartition(1), batch_id)
         stamp = ingest_ts or datetime.now(timezone.utc)
         store.land_pages((read_files(session, page) for page in _pages(tasks)), batch_id, stamp)
         dead = tasks.where(F.col("verdict") == DEAD).select("path", "version", "attempt")

@@ -9,6 +9,7 @@ import pytest
 from helpers import collected, deliver, folder, item
 from pyspark.sql import functions as F
 
+from cloudinv.demo.files import write_messages
 from cloudinv.operators import maintenance
 from cloudinv.operators.shaping import explode_items, flatten_items
 from cloudinv.plans import store as store_module
@@ -350,6 +351,32 @@ def test_doubled_and_late_messages_land_once(spark, root, tmp_path):
     assert run_events(spark, messages, path).operational().count() == 6
 
 
+def test_state_is_not_brought_into_one_task(spark, root, tmp_path):
+    """What a batch asks for is written as one file, but its state is not computed by one task."""
+    messages, path, plans = str(tmp_path / "messages"), str(tmp_path / "store"), []
+    post(messages, "1", message(os.path.join(folder(root), "a b+c.json.gz")))
+    put = InventoryStore.put
+
+    def seen(self, name, rows_, batch_id):
+        if name == "tasks":
+            plans.append(rows_._jdf.queryExecution().optimizedPlan().toString())
+        return put(self, name, rows_, batch_id)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(InventoryStore, "put", seen)
+        assert run_events(spark, messages, path).operational().count() == 4
+    assert plans and all("Repartition 1, true" in p for p in plans)
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_messages_name_the_files(spark, root, tmp_path, scheme):
+    out = str(tmp_path / "messages")
+    write_messages(spark, scheme + root, out)
+    got = notices.parse_notices(spark.read.text(out), "{bucket}/{key}").select("path").distinct()
+    listed = snapshots.list_files(spark, root, "*.json.gz").select("path")
+    assert collected(got) == collected(listed)
+
+
 def test_failing_files_get_three_attempts(spark, root, tmp_path):
     """Also when the driver is lost after a batch was landed and before its checkpoint was written."""
     deliver(root, "array.json.gz", None, document="[1,2]")
