@@ -1,7 +1,9 @@
 """The plans scale: filters reach the scan, few shuffles, no cross products, hot keys split."""
 
+import json
+
 import pytest
-from helpers import inventory
+from helpers import collected, inventory
 from pyspark.sql import functions as F
 
 from cloudinv import schema as S
@@ -289,3 +291,21 @@ def test_timings_need_no_shuffle(spark, sf_dir):
     text = plan(audit.stage_timings(jobs))
     assert "hashpartitioning" not in text and text.count("from_json") == 1
     assert plan(audit.stage_rows(jobs)).count("from_json") == 1
+
+
+def test_only_types_that_edges_name_are_targets(spark):
+    """Resources of other types are not brought to the join; results are as by a join with all."""
+    points = lambda kind, name: json.dumps([{"resourceType": kind, "resourceId": name, "name": "in"}])
+    rows = inventory(
+        spark,
+        dict(resource_type="A", resource_id="a", arn="arn:a"),
+        dict(resource_type="A", resource_id="a", arn="arn:0"),
+        dict(resource_type="B", resource_id="b", arn="arn:b", relationships=points("A", "a")),
+        dict(resource_type="B", resource_id="b2", arn="arn:b2", relationships=points("C", "none")),
+        dict(resource_type=None, resource_id="n", arn="arn:n"),
+    )
+    assert collected(relations._named_targets(rows), "target_type", "target_arn") == [("A", "arn:0"), ("A", "arn:a")]
+    got = relations.resolve_edges(rows).select("source_id", "target_arn").collect()
+    assert sorted(map(tuple, got)) == [("b", "arn:0"), ("b2", None)]
+    counts = relations.edge_counts(rows).select("target_type", "edge_count", "resolved_count")
+    assert collected(counts) == [("A", 1, 1), ("C", 1, 0)]
