@@ -27,8 +27,12 @@ def _writer(df: DataFrame, mode: str, rows_per_file: int | None = None):
 
 
 def append(df: DataFrame, path: str, payload: bool = False) -> None:
-    """Add rows to the table; with ``payload`` the configuration is parsed once, here, for all readers."""
-    _writer(clustered(with_payload(df) if payload else df), "append").parquet(path)
+    """Add rows to the table; with ``payload`` the configuration is parsed once, here, for all readers.
+
+    It is parsed where rows are written, so the parsed form is neither shuffled nor sorted.
+    """
+    rows = clustered(df)
+    _writer(with_payload(rows) if payload else rows, "append").parquet(path)
 
 
 def write_version(df: DataFrame, path: str, rows_per_file: int | None = None) -> None:

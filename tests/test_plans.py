@@ -309,3 +309,19 @@ def test_only_types_that_edges_name_are_targets(spark):
     assert sorted(map(tuple, got)) == [("b", "arn:0"), ("b2", None)]
     counts = relations.edge_counts(rows).select("target_type", "edge_count", "resolved_count")
     assert collected(counts) == [("A", 1, 1), ("C", 1, 0)]
+
+
+def test_parsed_payload_is_not_shuffled(spark, tmp_path, monkeypatch):
+    plans, write = [], tables._writer
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, *args)
+
+    monkeypatch.setattr(tables, "_writer", seen)
+    path = str(tmp_path / "parsed")
+    tables.append(inventory(spark, dict(arn="a", configuration={"size": 8}), dict(arn="b", configuration="no json")), path, payload=True)
+    (found,) = plans
+    assert found.index("payload") < found.index("Rebalance") and "payload" not in found[found.index("Rebalance"):]
+    got = tables.read_parsed(spark, path).selectExpr("arn", "payload IS NULL", "payload_text")
+    assert collected(got.toDF("arn", "none", "text")) == [("a", False, None), ("b", True, "no json")]
