@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cloudinv.plans.store import InventoryStore
+from cloudinv.session import setting
 from cloudinv.sources.notices import LOCATION, stream_notices
 from cloudinv.sources.snapshots import Day, read_files, stream_names
 from cloudinv.streaming.attempts import DEAD, MAX_ATTEMPTS, OUTCOME, READ, attempts
@@ -16,6 +17,18 @@ from cloudinv.streaming.attempts import DEAD, MAX_ATTEMPTS, OUTCOME, READ, attem
 #: Files that one job reads by name.
 PAGE = 500
 
+_PARTITIONS = "spark.sql.shuffle.partitions"
+
+
+def _together(files_per_batch: int) -> int:
+    """Files of as many whole batches as a page makes."""
+    return max(1, PAGE // files_per_batch) * files_per_batch
+
+
+def _state_partitions(spark: SparkSession) -> int:
+    """One for each core, or fewer where the session asks for fewer."""
+    return min(int(spark.conf.get(_PARTITIONS)), spark.sparkContext.defaultParallelism)
+
 
 def _started(rows: DataFrame, land, checkpoint: str, interval: str | None) -> StreamingQuery:
     trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
@@ -52,8 +65,8 @@ def stream_ingest(
         stamp = ingest_ts or datetime.now(timezone.utc)
         InventoryStore(session, store_root).land(read_files(session, names), batch_id, stamp, shares)
 
-    together = max(1, PAGE // files_per_batch) * files_per_batch
-    return _started(stream_names(spark, source, region, together, day), land, checkpoint, interval)
+    names = stream_names(spark, source, region, _together(files_per_batch), day)
+    return _started(names, land, checkpoint, interval)
 
 
 def _pages(tasks: DataFrame, size: int = PAGE) -> Iterator[list[str]]:
@@ -76,10 +89,12 @@ def stream_events(
     ingest_ts: datetime | None = None,
     horizon: str = "1 day",
     most: int = MAX_ATTEMPTS,
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
     """Start landing the files that object-created messages name, without listing their folders.
 
-    ``messages`` is a folder of message files, of which a batch takes ``files_per_batch``. A file
+    ``messages`` is a folder of message files, of which a batch takes as many times ``files_per_batch``
+    as ``PAGE`` has room for: its fixed cost is the same for one message as for many. A file
     that gives no snapshot, or is not there, is read again up to ``most`` times in all and then
     becomes a dead letter; see :class:`cloudinv.streaming.attempts.Attempts`. Outcomes are written
     to the store and come back as a second input, one batch later. With ``interval=None`` the query
@@ -87,6 +102,9 @@ def stream_events(
 
     A batch that is replayed replaces its own folders, and the state passes over outcomes it has
     seen. One query feeds a store, as batches are known by its numbers.
+
+    State lies in ``state_partitions``, by default one for each core: each costs a task per trigger and
+    step, however few rows come. A checkpoint keeps the number that it began with.
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
@@ -107,8 +125,10 @@ def stream_events(
 
     store = InventoryStore(spark, store_root)
     # The stream needs its second input from the start.
-    outcomes = spark.readStream.schema(f"{OUTCOME}, batch_id long").option("maxFilesPerTrigger", files_per_batch)
+    together = _together(files_per_batch)
+    outcomes = spark.readStream.schema(f"{OUTCOME}, batch_id long").option("maxFilesPerTrigger", together)
     outcomes = outcomes.parquet(store.made("outcomes", f"{OUTCOME}, batch_id long"))
     outcomes = outcomes.drop("batch_id").withColumn("arrived_at", F.current_timestamp())
-    notices = stream_notices(spark, messages, location, horizon, files_per_batch)
-    return _started(attempts(notices, outcomes, most), land, checkpoint, interval)
+    notices = stream_notices(spark, messages, location, horizon, together)
+    with setting(spark, _PARTITIONS, str(state_partitions or _state_partitions(spark))):
+        return _started(attempts(notices, outcomes, most), land, checkpoint, interval)

@@ -15,6 +15,7 @@ from cloudinv.operators.shaping import explode_items, flatten_items
 from cloudinv.plans import store as store_module
 from cloudinv.plans.store import InventoryStore
 from cloudinv.schema import OPERATIONAL_COLUMNS
+from cloudinv.session import setting
 from cloudinv.sources import notices, schemas, snapshots, tables
 from cloudinv.streaming.ingest import stream_events, stream_ingest
 
@@ -368,6 +369,35 @@ def test_state_is_not_brought_into_one_task(spark, root, tmp_path):
     assert plans and all("Repartition 1, true" in p for p in plans)
 
 
+def test_state_has_a_partition_for_each_core(spark, root, tmp_path):
+    """Not as many as a shuffle of the whole session; a checkpoint keeps its number."""
+    messages, path = str(tmp_path / "messages"), str(tmp_path / "store")
+    post(messages, "1", message(os.path.join(folder(root), "a b+c.json.gz")))
+
+    def started(**kwargs):
+        query = stream_events(spark, messages, path, path + "-progress", "file:{bucket}{key}", interval=None, **kwargs)
+        query.awaitTermination()
+        progress = json.loads(query.lastProgress.json)
+        return {o["numShufflePartitions"] for o in progress["stateOperators"]}
+
+    with setting(spark, "spark.sql.shuffle.partitions", "11"):
+        assert started() == {8}
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "11"
+        post(messages, "2", message(os.path.join(folder(root), "none.json.gz")))
+        assert started(state_partitions=3) == {8}
+    assert InventoryStore(spark, path).operational().count() == 4
+
+
+def test_a_batch_takes_many_message_files(spark, root, tmp_path):
+    messages, path = str(tmp_path / "messages"), str(tmp_path / "store")
+    names = ["a b+c.json.gz", "none.json.gz", "absent.json.gz"]
+    for n, name in enumerate(names):
+        post(messages, str(n), message(os.path.join(folder(root), name)))
+    store = run_events(spark, messages, path, files_per_batch=1)
+    (entry,) = store.ingest_log().where("files > 0").collect()
+    assert (entry["files"], entry["rows"]) == (3, 4)
+
+
 @pytest.mark.parametrize("scheme", ["", "file://"])
 def test_messages_name_the_files(spark, root, tmp_path, scheme):
     out = str(tmp_path / "messages")
