@@ -1,13 +1,14 @@
 """The inventory table as zstd parquet partitioned by account."""
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from cloudinv.functions.jsonpath import with_payload
 from cloudinv.schema import OPERATIONAL, PAYLOAD, PAYLOAD_TEXT
-from cloudinv.session import workspace
+from cloudinv.session import setting, workspace
 
 SORT = ("account_id", "resource_type", "arn")
 
@@ -26,13 +27,20 @@ def _writer(df: DataFrame, mode: str, rows_per_file: int | None = None):
     return writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer
 
 
-def append(df: DataFrame, path: str, payload: bool = False) -> None:
+def append(
+    df: DataFrame, path: str, payload: bool = False, complete: Callable[[DataFrame], DataFrame] | None = None
+) -> None:
     """Add rows to the table; with ``payload`` the configuration is parsed once, here, for all readers.
 
-    It is parsed where rows are written, so the parsed form is neither shuffled nor sorted.
+    It is parsed where rows are written, so the parsed form is neither shuffled nor sorted. The same
+    holds for what ``complete`` adds to rows that come without columns that follow from others, such as
+    a hash, which no codec makes smaller on its way. The columns of ``SORT`` are there before.
     """
     rows = clustered(df)
-    _writer(with_payload(rows) if payload else rows, "append").parquet(path)
+    rows = complete(rows) if complete else rows
+    # What the write has shuffled goes when it is done, not when the driver collects its garbage.
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        _writer(with_payload(rows) if payload else rows, "append").parquet(path)
 
 
 def write_version(df: DataFrame, path: str, rows_per_file: int | None = None) -> None:

@@ -325,3 +325,62 @@ def test_parsed_payload_is_not_shuffled(spark, tmp_path, monkeypatch):
     assert found.index("payload") < found.index("Rebalance") and "payload" not in found[found.index("Rebalance"):]
     got = tables.read_parsed(spark, path).selectExpr("arn", "payload IS NULL", "payload_text")
     assert collected(got.toDF("arn", "none", "text")) == [("a", False, None), ("b", True, "no json")]
+
+
+def test_columns_that_follow_from_others_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Such as the hash of the configuration; what the write has shuffled goes with its end."""
+    cleanup, found, write = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], tables._writer
+
+    def seen(df, *args):
+        found.append((df._jdf.queryExecution().optimizedPlan().toString(), spark.conf.get(cleanup)))
+        return write(df, *args)
+
+    monkeypatch.setattr(tables, "_writer", seen)
+    path, before = str(tmp_path / "parsed"), spark.conf.get(cleanup)
+    whole = inventory(
+        spark,
+        dict(arn="arn:volume/vol-1/a", resource_id="vol-1/a", resource_type=S.VOLUME, configuration={"size": 8}),
+        dict(arn="arn:key/", resource_id="", resource_type=S.KEY),
+        dict(arn=None, resource_type=S.ROLE, aws_region="ASIA", configuration="no json"),
+    )
+    own = whole.select(*items.OWN)
+    own = spark.createDataFrame(own.collect(), own.schema)
+    tables.append(own, path, payload=True, complete=items.completed)
+    ((text, during),) = found
+    moved = text[text.index("Rebalance"):]
+    assert "md5" in text and not any(c in moved for c in ("md5", "state_hash", "resource_id", "last_seen_at", "payload"))
+    assert during == "true" and spark.conf.get(cleanup) == before
+    got = tables.read_parsed(spark, path)
+    assert collected(got, "resource_type", "arn", "resource_id", "availability_zone", "configuration", "payload_text") == collected(
+        whole.selectExpr(
+            "resource_type", "arn", "resource_id", "aws_region || '-a'", "configuration", "IF(configuration = 'no json', configuration, NULL)"
+        )
+    )
+    assert got.where("state_hash = md5(configuration)").count() == 2
+    # Rows that have more of their own keep it.
+    more = whole.select(*items.OWN).withColumn("resource_id", F.lit("own"))
+    assert {r["resource_id"] for r in items.completed(more).collect()} == {"own"}
+
+
+@pytest.mark.parametrize("question", [catalog.largest_volumes, catalog.top_vpcs])
+def test_parsed_questions_move_own_columns(spark, sf_dir, monkeypatch, question):
+    """The registered queries over a parsed table write it that way."""
+    plans, write = [], tables._writer
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, *args)
+
+    monkeypatch.setattr(tables, "_writer", seen)
+    name = "q4_parsed_volumes" if question is catalog.largest_volumes else "q12_parsed_vpcs"
+    assert collected(QUERIES[name](spark, sf_dir)) == collected(question(live(items.operational(spark, sf_dir), items.AS_OF)))
+    (found,) = plans
+    assert "md5" in found and "md5" not in found[found.index("Rebalance"):]
+
+
+def test_orders_find_their_homes_before_lines(spark, sf_dir):
+    """So that lines, of which there are most, are shuffled for one join."""
+    text = items.volumes(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in text.splitlines() if "Join" in line]
+    at = {key: next(i for i, line in enumerate(joins) if key in line) for key in ("l_orderkey", "c_custkey")}
+    assert at["l_orderkey"] < at["c_custkey"]
