@@ -18,6 +18,7 @@ from cloudinv.streaming.attempts import DEAD, MAX_ATTEMPTS, OUTCOME, READ, attem
 PAGE = 500
 
 _PARTITIONS = "spark.sql.shuffle.partitions"
+_LISTERS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 def _together(files_per_batch: int) -> int:
@@ -130,5 +131,7 @@ def stream_events(
     outcomes = outcomes.parquet(store.made("outcomes", f"{OUTCOME}, batch_id long"))
     outcomes = outcomes.drop("batch_id").withColumn("arrived_at", F.current_timestamp())
     notices = stream_notices(spark, messages, location, horizon, together)
-    with setting(spark, _PARTITIONS, str(state_partitions or _state_partitions(spark))):
+    # The files of a page are listed by a task for each core, not one for each file.
+    listers = str(spark.sparkContext.defaultParallelism)
+    with setting(spark, _PARTITIONS, str(state_partitions or _state_partitions(spark))), setting(spark, _LISTERS, listers):
         return _started(attempts(notices, outcomes, most), land, checkpoint, interval)
